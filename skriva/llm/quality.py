@@ -75,7 +75,7 @@ def word_length(m: dict, _: list[bytes]) -> np.ndarray:
 
 
 def duplicate_lines(m: dict, _: list[bytes]) -> np.ndarray:
-    return 10 * m["n_dup_lines"] > 3 * m["n_lines"]
+    return 2 * m["n_dup_lines"] > m["n_lines"]
 
 
 def letter_share(m: dict, texts: list[bytes]) -> np.ndarray:
