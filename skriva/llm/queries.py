@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, idcodec, langid, quality
+from . import decontam, idcodec, langid, quality, toccurrence
 from .shared import table
 
 
@@ -37,7 +37,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), model, ["doc_id", "held_out"])
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toccurrence.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
 SQL: dict[str, str] = {}
 
 SQL["op2_decontamination"] = r"""
