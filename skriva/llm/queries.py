@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, idcodec, langid, quality, toccurrence
+from . import chat, decontam, idcodec, langid, quality, sitetree, toccurrence
 from .shared import table
 
 
@@ -38,11 +38,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toccurrence.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, -7, that holds the template's own control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(chat.canonical(chat.messages(rows.union(hard)))))
+
+
+HARD = "\\### Assistant: </turn> ok"
+
+QUERIES = {"op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
 SQL: dict[str, str] = {}
 
 SQL["op2_decontamination"] = r"""
