@@ -1,8 +1,8 @@
 """Token-id output: frequency-ranked ids in a byte-aligned code whose control bytes stand apart.
 
-A text is cut before each single space that has no white space beside it. A byte-level BPE takes no
-pair across such a place, so the ids of the parts, joined, are the ids of the text; each worker keeps
-the ids of the parts it saw last. The corpus counts of all ids give each a rank, the commonest 0.
+A text is cut before each lone space and around each lone newline: one that has no white space beside it.
+A byte-level BPE takes no pair across such a place, so the ids of the parts, joined, are the ids of the
+text; each worker keeps the ids of the parts it saw last. The corpus counts of all ids give each a rank, the commonest 0.
 
 A file holds blocks, each ended by a newline. A block: MAGIC, bucket, number in the bucket, ids of the
 bucket before it, documents, ids, bytes of control and of data (unsigned 64-bit, little-endian); then
@@ -15,8 +15,8 @@ Null text: empty. Empty text: the end id alone. An empty table: no files, no row
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -32,49 +32,132 @@ from . import shared
 MAGIC = b"SKVB"
 HEAD = struct.Struct("<4s7Q")
 #: Parts whose ids a worker keeps at once, ids in a block, and blocks in a file.
-PARTS, BLOCK, PER_FILE = 400_000, 1 << 20, 16
+PARTS, BLOCK, PER_FILE = 300_000, 1 << 20, 16
 #: A part of more code points isn't kept beyond its batch.
 LONG = 200
-_ODD = re.compile(r"^ |[\s] | [\s]| $")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = shared.SPACE.copy()
+_WHITE[0x1C:0x20] = True
+MARKS = frozenset(",.;:!?")
 #: The lengths that a control byte names.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, with the tokenizers library."""
+    """UTF-8 text to unsigned 32-bit ids, with the tokenizers library.
+
+    The parts of a piece of text are told apart by hash, so that only one of each is looked up, by its
+    text, in the ids of the parts seen last (two generations of a bounded cache). What is new is cut once
+    more, between letters and one mark after them, and reaches the library many words in a call.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        gc.disable()  # the cache is millions of small objects without cycles; each pass over them costs a second
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.long: list[str] = []
-
-    def _learn(self, parts: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = [p for p in parts if p not in known]
-        self.long += [p for p in new if len(p) > LONG]
-        if len(known) + len(new) > PARTS:
-            known.clear()
-            new = list(parts)
-        for some in shared.chunked(new, 4096):
-            for p, e in zip(some, self.library.encode_batch_fast([lead + p for p in some], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        self.long = []
-        cut = [t.split(" ") if not _ODD.search(t) else _CUT.split(t) for t in texts]
-        self._learn({c[0] for c in cut}, self.first, "")
-        self._learn({p for c in cut for p in c[1:]}, self.rest, " ")
-        rest = self.rest.__getitem__
-        out = [self.first[c[0]] + b"".join(map(rest, c[1:])) for c in cut]
-        for p in self.long:
-            self.first.pop(p, None)
-            self.rest.pop(p, None)
-        return out
+        #: Which ids begin with a space: a word of letters after a space begins with one and has no other.
+        self.leads = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.leads[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.parts: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
+
+    def learn(self, parts: list[bytes], lead: str = "") -> list[bytes]:
+        """The ids of distinct parts, each after lead."""
+        if len(self.parts) > PARTS:
+            self.old, self.parts = self.parts, {}
+        found = list(map(self.parts.get, parts))
+        fresh = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            if (ids := self.old.get(parts[i])) is None:
+                fresh.append(i)
+            else:
+                found[i] = self.parts[parts[i]] = ids
+        cut = [atoms(lead + parts[i].decode("utf-8", "replace")) for i in fresh]
+        if len(self.atoms) > PARTS:
+            self.atoms = {}
+        self._encode({a for c in cut for a in c}.difference(self.atoms))
+        get = self.atoms.__getitem__
+        for i, c in zip(fresh, cut, strict=True):
+            found[i] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+            if len(parts[i]) <= LONG:
+                self.parts[parts[i]] = found[i]
+            else:
+                self.atoms.pop(c[0], None)
+        return found
+
+    def _encode(self, new: set[str]) -> None:
+        words = [a for a in new if a[:1] == " " and a[1:].isalpha()]
+        alone = list(new.difference(words))
+        for some in shared.chunked(shared.chunked(words, 128), 64):
+            for group, e in zip(some, self.library.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(self.leads[ids])
+                if len(at) != len(group):
+                    alone += group
+                    continue
+                data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                for a, i, j in zip(group, at, at[1:]):  # noqa: B905
+                    self.atoms[a] = data[i:j]
+        for some in shared.chunked(alone, 4096):
+            for a, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.atoms[a] = np.array(e.ids, "<u4").tobytes()
+
+    def spans(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans, ids by span); keys are hashes of the spans."""
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        data = buf.tobytes()
+        found = self.learn([data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], lead)
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes = size[which]
+        begin = (np.cumsum(size) - size)[which] - (np.cumsum(sizes) - sizes)
+        return pool[np.repeat(begin, sizes) + np.arange(sizes.sum())], sizes
+
+    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids by text)."""
+        starts = parts(buf, off)
+        ids, sizes = self.spans(buf, starts, np.append(starts[1:], len(buf)), shared.hashes(buf, starts, np.append(starts[1:], len(buf))))
+        return ids, shared.row_sums(sizes, np.diff(np.searchsorted(starts, off)))
+
+
+def white(buf: np.ndarray) -> np.ndarray:
+    """Which bytes are of white space of any kind."""
+    out = _WHITE[buf]
+    if buf.max(initial=0) >= 0xC2:
+        pad = np.concatenate([buf, np.zeros(2, np.uint8)])
+        b, c = pad[1:-1], pad[2:]
+        two = (buf == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = (buf == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        three |= (buf == 0xE1) & (b == 0x9A) & (c == 0x80) | (buf == 0xE3) & (b == 0x80) & (c == 0x80)
+        for at in (np.flatnonzero(two | three), np.flatnonzero(two | three) + 1, np.flatnonzero(three) + 2):
+            out[at] = True
+    return out
+
+
+def parts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the parts begin: at each text, at each lone space, and at and after each lone newline."""
+    w = white(buf)
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[off] = True
+    alone = w.copy()
+    alone[1:] &= ~w[:-1] & ~edge[1:-1]
+    alone[:-1] &= ~w[1:] & ~edge[1:-1]
+    if len(buf):
+        alone[0] = alone[-1] = False
+    edge[:-1] |= alone & (buf == 32)
+    line = np.flatnonzero(alone & (buf == 10))
+    edge[line] = edge[line + 1] = True
+    return np.flatnonzero(edge[:-1])
+
+
+def atoms(part: str) -> list[str]:
+    """The part, cut before a last mark after letters."""
+    if part[-1:] in MARKS and part[1:-1].isalpha() and (part[0] == " " or part[0].isalpha()):
+        return [part[:-1], part[-1]]
+    return [part]
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -142,16 +225,17 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, id_column: str = "
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def tokens(batches):
-        coder, end, seen = Encoder(vocabulary), np.array([end_id], "<u4").tobytes(), np.zeros(1 << 16, np.int64)
-        for rows, _, _ in shared.pieces(batches):
+        coder, seen = Encoder(vocabulary), np.zeros(1 << 16, np.int64)
+        for rows, buf, off in shared.pieces(batches):
             keys = rows.column(0).to_pylist()
-            made = [x + end for x in coder([t or "" for t in rows.column(1).to_pylist()])]
-            count = np.bincount(np.frombuffer(b"".join(made), "<u4"))
+            ids, counts = coder.texts(buf, off)
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype(f"<u{wide}"), counts + 1
+            count = np.bincount(ids)
             if len(count) > len(seen):
                 seen = np.concatenate([seen, np.zeros(len(count) - len(seen), np.int64)])
             seen[: len(count)] += count
-            small = [pa.compress(np.frombuffer(x, "<u4").astype(f"<u{wide}"), "zstd", asbytes=True) for x in made]
-            yield shared.as_batch(["bucket", "doc_id", "ids", "n", "k"], [[0 if k is None else bisect_right(bounds, k) for k in keys], keys, small, [len(x) // 4 for x in made], [None] * len(keys)], kinds)
+            small = [pa.compress(x, "zstd", asbytes=True) for x in np.split(ids, np.cumsum(counts)[:-1])]
+            yield shared.as_batch(["bucket", "doc_id", "ids", "n", "k"], [[0 if k is None else bisect_right(bounds, k) for k in keys], keys, small, counts, [None] * len(keys)], kinds)
         k = np.flatnonzero(seen)
         yield shared.as_batch(["bucket", "doc_id", "ids", "n", "k"], [[None] * len(k), [None] * len(k), [None] * len(k), seen[k], k], kinds)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, idcodec, langid, quality, sitetree, toccurrence
+from . import chat, decontam, idcodec, langid, lm, quality, sitetree, toccurrence
 from .shared import table
 
 
@@ -15,10 +15,21 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _fold(k: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % k
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns where crc32(doc_id as text) mod 7 is not 2; scores every row."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = _fold(7) == 2
+    return lm.scores(docs, held_out, lm.fit(docs.filter(~held_out), vocabulary()), vocabulary())
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null or empty text: the end id alone. Empty table: no rows."""
     folder, order = idcodec.encode(table(spark, sf_dir, "documents"), vocabulary())
@@ -32,7 +43,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns where crc32(doc_id as text) mod 4 is not 2 and lang isn't null; predicts every row."""
     docs = table(spark, sf_dir, "documents")
-    held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2).alias("held_out")
+    held_out = (_fold(4) == 2).alias("held_out")
     model = langid.train(docs.filter(~held_out))
     return langid.predict(docs.select("doc_id", held_out, "text"), model, ["doc_id", "held_out"])
 
@@ -55,7 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HARD = "\\### Assistant: </turn> ok"
 
-QUERIES = {"op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
+QUERIES = {"op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
 SQL: dict[str, str] = {}
 
 SQL["op2_decontamination"] = r"""
