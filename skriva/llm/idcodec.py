@@ -1,7 +1,7 @@
 """Token-id output: frequency-ranked ids in a byte-aligned code whose control bytes stand apart.
 
-A text is cut before each lone space and around each lone newline: one that has no white space beside it.
-A byte-level BPE takes no pair across such a place, so the ids of the parts, joined, are the ids of the
+A text is cut before each lone space and around each lone newline (one without white space beside it), and
+between a letter and a mark. A byte-level BPE takes no pair across such a place, so the ids of the parts, joined, are the ids of the
 text; each worker keeps the ids of the parts it saw last. The corpus counts of all ids give each a rank, the commonest 0.
 
 A file holds blocks, each ended by a newline. A block: MAGIC, bucket, number in the bucket, ids of the
@@ -32,12 +32,16 @@ from . import shared
 MAGIC = b"SKVB"
 HEAD = struct.Struct("<4s7Q")
 #: Parts whose ids a worker keeps at once, ids in a block, and blocks in a file.
-PARTS, BLOCK, PER_FILE = 300_000, 1 << 20, 16
+PARTS, BLOCK, PER_FILE = 500_000, 1 << 20, 16
 #: A part of more code points isn't kept beyond its batch.
 LONG = 200
 _WHITE = shared.SPACE.copy()
 _WHITE[0x1C:0x20] = True
-MARKS = frozenset(",.;:!?")
+_MARK = np.zeros(256, bool)
+_MARK[list(b",.;:!?")] = True
+#: ASCII letters; of the others, those of the Latin-1 block are known by their two bytes.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: The lengths that a control byte names.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -46,8 +50,8 @@ class Encoder:
     """UTF-8 text to unsigned 32-bit ids, with the tokenizers library.
 
     The parts of a piece of text are told apart by hash, so that only one of each is looked up, by its
-    text, in the ids of the parts seen last (two generations of a bounded cache). What is new is cut once
-    more, between letters and one mark after them, and reaches the library many words in a call.
+    text, in the ids of the parts seen last (two generations of a bounded cache). What is new reaches the
+    library many words in a call.
     """
 
     def __init__(self, vocabulary: str):
@@ -62,64 +66,52 @@ class Encoder:
         self.leads[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
         self.parts: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
 
-    def learn(self, parts: list[bytes], lead: str = "") -> list[bytes]:
-        """The ids of distinct parts, each after lead."""
+    def learn(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts."""
         if len(self.parts) > PARTS:
             self.old, self.parts = self.parts, {}
         found = list(map(self.parts.get, parts))
-        fresh = []
-        for i in [i for i, x in enumerate(found) if x is None]:
-            if (ids := self.old.get(parts[i])) is None:
-                fresh.append(i)
-            else:
-                found[i] = self.parts[parts[i]] = ids
-        cut = [atoms(lead + parts[i].decode("utf-8", "replace")) for i in fresh]
-        if len(self.atoms) > PARTS:
-            self.atoms = {}
-        self._encode({a for c in cut for a in c}.difference(self.atoms))
-        get = self.atoms.__getitem__
-        for i, c in zip(fresh, cut, strict=True):
-            found[i] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
-            if len(parts[i]) <= LONG:
-                self.parts[parts[i]] = found[i]
-            else:
-                self.atoms.pop(c[0], None)
+        fresh = [i for i, x in enumerate(found) if x is None]
+        if self.old:
+            known = list(map(self.old.get, [parts[i] for i in fresh]))
+            for i, ids in zip(fresh, known, strict=True):
+                found[i] = ids
+            fresh = [i for i, ids in zip(fresh, known, strict=True) if ids is None]
+        made = self._encode([parts[i].decode("utf-8", "replace") for i in fresh])
+        for i, ids in zip(fresh, made, strict=True):
+            found[i] = ids
+        self.parts.update((p, ids) for p, ids in zip(parts, found, strict=True) if len(p) <= LONG)
         return found
 
-    def _encode(self, new: set[str]) -> None:
-        words = [a for a in new if a[:1] == " " and a[1:].isalpha()]
-        alone = list(new.difference(words))
+    def _encode(self, new: list[str]) -> list[bytes]:
+        made: list = [None] * len(new)
+        words = [i for i, a in enumerate(new) if a[:1] == " " and a[1:].isalpha()]
         for some in shared.chunked(shared.chunked(words, 128), 64):
-            for group, e in zip(some, self.library.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False), strict=True):
+            for group, e in zip(some, self.library.encode_batch_fast(["".join([new[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 at = np.flatnonzero(self.leads[ids])
-                if len(at) != len(group):
-                    alone += group
-                    continue
-                data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-                for a, i, j in zip(group, at, at[1:]):  # noqa: B905
-                    self.atoms[a] = data[i:j]
-        for some in shared.chunked(alone, 4096):
-            for a, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.atoms[a] = np.array(e.ids, "<u4").tobytes()
-
-    def spans(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all spans, ids by span); keys are hashes of the spans."""
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+                if len(at) == len(group):
+                    data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                    for i, j, k in zip(group, at, at[1:]):  # noqa: B905
+                        made[i] = data[j:k]
+        for some in shared.chunked([i for i, x in enumerate(made) if x is None], 4096):
+            for i, e in zip(some, self.library.encode_batch_fast([new[i] for i in some], add_special_tokens=False), strict=True):
+                made[i] = np.array(e.ids, "<u4").tobytes()
+        return made
+
+    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids by text)."""
+        starts = parts(buf, off)
+        ends = np.append(starts[1:], len(buf))
+        _, first, which = np.unique(shared.hashes(buf, starts, ends), return_index=True, return_inverse=True)
         data = buf.tobytes()
-        found = self.learn([data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], lead)
+        found = self.learn([data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         pool = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         sizes = size[which]
         begin = (np.cumsum(size) - size)[which] - (np.cumsum(sizes) - sizes)
-        return pool[np.repeat(begin, sizes) + np.arange(sizes.sum())], sizes
-
-    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids by text)."""
-        starts = parts(buf, off)
-        ids, sizes = self.spans(buf, starts, np.append(starts[1:], len(buf)), shared.hashes(buf, starts, np.append(starts[1:], len(buf))))
+        ids = pool[np.repeat(begin, sizes) + np.arange(sizes.sum())]
         return ids, shared.row_sums(sizes, np.diff(np.searchsorted(starts, off)))
 
 
@@ -138,7 +130,7 @@ def white(buf: np.ndarray) -> np.ndarray:
 
 
 def parts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where the parts begin: at each text, at each lone space, and at and after each lone newline."""
+    """Where the parts begin: at each text, each lone space, and each mark after a letter; at and after each lone newline."""
     w = white(buf)
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
@@ -150,16 +142,12 @@ def parts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     edge[:-1] |= alone & (buf == 32)
     line = np.flatnonzero(alone & (buf == 10))
     edge[line] = edge[line + 1] = True
+    letter = _LETTER[buf]
+    letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+    edge[1:-1] |= letter[:-1] & _MARK[buf[1:]]
     return np.flatnonzero(edge[:-1])
 
 
-def atoms(part: str) -> list[str]:
-    """The part, cut before a last mark after letters."""
-    if part[-1:] in MARKS and part[1:-1].isalpha() and (part[0] == " " or part[0].isalpha()):
-        return [part[:-1], part[-1]]
-    return [part]
-
-
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned ranks."""
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
