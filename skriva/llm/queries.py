@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, idcodec, langid, lm, quality, sitetree, toccurrence
+from . import chat, compact, decontam, idcodec, langid, lm, quality, sitetree, toccurrence
 from .shared import table
 
 
@@ -53,6 +53,11 @@ def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_spans, n_repeat_words and spans of each document that shares a passage of over 50 words."""
+    return compact.report(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toccurrence.join(table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HARD = "\\### Assistant: </turn> ok"
 
-QUERIES = {"op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
+QUERIES = {"op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op8_substring_dedup": op8_substring_dedup, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
 SQL: dict[str, str] = {}
 
 SQL["op2_decontamination"] = r"""
