@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compact, decontam, idcodec, langid, lm, quality, sitetree, toccurrence
+from . import chat, compact, decontam, idcodec, langid, lm, mixing, quality, sitetree, toccurrence
 from .shared import table
 
 
@@ -19,6 +19,15 @@ def _fold(k: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % k
 
 
+#: Domains of the labels table and their share of the mix's tokens.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'clean' END"
+MIX = {"clean": 0.9, "low": 0.1, "toxic": 0.0}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), MIX)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +80,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HARD = "\\### Assistant: </turn> ok"
 
-QUERIES = {"op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op8_substring_dedup": op8_substring_dedup, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
+QUERIES = {"op1_mixing": op1_mixing, "op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op8_substring_dedup": op8_substring_dedup, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id}
 SQL: dict[str, str] = {}
 
 SQL["op2_decontamination"] = r"""
