@@ -267,3 +267,44 @@ _COLOURS = ", ".join(f"({i}, '{n}', {v >> 16}, {v >> 8 & 255}, {v & 255})" for i
 @query(f"WITH c(i, name, r, g, b) AS (VALUES {_COLOURS}), p AS (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS v FROM part) SELECT p_partkey, nullif(arg_min(name, [(((v >> 16) - r) * ((v >> 16) - r) + (((v >> 8) & 255) - g) * (((v >> 8) & 255) - g) + ((v & 255) - b) * ((v & 255) - b))::BIGINT, i]), 'black') AS colour FROM p, c GROUP BY p_partkey")
 def nearest_colour(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", sequences.nearest_colour((F.col("p_partkey") * 7919 % 16777216).cast("int")).alias("colour"))
+
+
+# --- captures from bytes to report ----------------------------------------------------------------------------------
+
+
+def _capture_files(spark, sf_dir):
+    """The events as frames in capture files, one file a fifth of the events, written by Spark and read back as bytes."""
+    from ..sources import packet
+    from ..sources.capture import write_classic
+
+    rows = packets(spark, sf_dir).select((F.col("seq") % 5).alias("g"), "seq", "at_ns", "kind", "src_key", "dst_key", "proto_num", "src_port", "dst_port", "tcp_flags", "query")
+
+    def files(key, table):
+        out = []
+        for r in table.sort_by("seq").to_pylist():
+            data = packet.build(r["src_key"][1:], r["dst_key"][1:], r["proto_num"], r["src_port"], r["dst_port"], r["tcp_flags"], r["query"])
+            out.append((r["at_ns"], data if r["kind"] == "ip" else data[:12] + (b"\x08\x06" if r["kind"] == "arp" else b"\x88\xcc") + data[14:]))
+        import pyarrow as pa
+
+        return pa.table({"path": [f"capture-{key[0].as_py()}"], "content": pa.array([write_classic(out, order=">" if key[0].as_py() % 2 else "<")], pa.binary())})
+
+    return rows.groupBy("g").applyInArrow(files, "path string, content binary")
+
+
+@query(f"SELECT * EXCLUDE (bytes) FROM (SELECT {_KEYS}, packets, bytes, first_ns, last_ns, opens, resets, finishes, accepted FROM ({_CONV}))")
+def pcap_roundtrip(spark, sf_dir):
+    """Frames built, written in the capture format, read, decoded and rolled up: the same conversations."""
+    from ..sources import capture, packet
+
+    read = packet.decoded(capture.read_content(_capture_files(spark, sf_dir))).withColumn("file", F.lit("events"))
+    return flows.conversations(read).select(*_wide(), "packets", "first_ns", "last_ns", "opens", "resets", "finishes", "accepted")
+
+
+@query()
+def capture_report(spark, sf_dir):
+    """The report of each file of pcap_roundtrip; tests hold it against a fixture's text."""
+    from ..sources import capture, packet
+    from .capture_report import report
+
+    raw = capture.read_content(_capture_files(spark, sf_dir))
+    return report(packet.decoded(raw), raw.filter("seq is null").select("file", "truncated", "capped"))
