@@ -8,7 +8,7 @@ rest, so only those short lists are built, as a distributed index, and merged. T
 by binary search for the few candidates that the merge leaves.
 
 Sets that are equal become one node first. A list isn't expanded into its pairs: each round takes hubs
-from it (1, then 4, 16, ... in the order of their place in the list) and tests the others against them,
+from it (1, then 15, 240, ... in the order of their place in the list) and tests the others against them,
 unless a link already joins them. A list is done when its members are in one component or each has been
 tested against each. So every link between different sets is found or already implied by others.
 
@@ -146,23 +146,20 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
 
     index = docs.mapInArrow(short_lists, "key long, sig long, n int, pos int").repartition("key")
     place = F.struct("pos", "n", "sig")
-    shape = index.groupBy("key").agg(F.min(place).alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("key", "hub")
-    lists = shared.written(index.join(shape, "key"))
+    shape = index.groupBy("key").agg(F.min(place).alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("m")).filter("low <> high").select("key", "hub", "m")
+    lists = shared.written(index.join(shape, "key").dropDuplicates(["key", "sig"]))
     fits = F.expr(f"{100 + percent} * least(n - pos, hub.n - hub.pos) >= {percent} * (n + hub.n)")
-    texts = _texts(docs, nodes, lists.filter((F.col("sig") != F.col("hub.sig")) & fits | (F.col("sig") == F.col("hub.sig"))).select("sig").distinct(), k)
+    texts = _texts(docs, nodes, lists.select("sig").distinct(), k)
     first = lists.filter((F.col("sig") != F.col("hub.sig")) & fits).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()
     comp = components(_linked(first, texts, k, percent))
-    at, more = 1, 4
-    lists = lists.select("key", "sig", "n", "pos").distinct()
-    whole = False
+    at, more = 1, 15
+    lists = lists.filter("m >= 3").select("key", "sig", "n", "pos")
     while True:
         named = lists.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter(f"low <> high and m >= {at + 2}")
         lists = shared.written(named.join(split.select("key"), "key"))
         if lists.isEmpty():
             break
-        if not whole:
-            texts, whole = _texts(docs, nodes, lists.select("sig").distinct(), k), True
         ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos", "n", "sig")))
         hubs = ranked.filter((F.col("rank") > at) & (F.col("rank") <= at + more)).select("key", F.struct("pos", "n", "sig").alias("hub"), F.col("comp").alias("of"))
         pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (place > F.col("hub")) & fits)
@@ -174,7 +171,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
             merged = components(linked).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
             old = comp.union(linked.select(F.col("a").alias("node"), F.col("a").alias("comp"))).union(linked.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
             comp = shared.written(old.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")))
-        at, more = at + more, more * 4
+        at, more = at + more, more * 16
         lists = lists.select("key", "sig", "n", "pos")
     of = nodes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -184,7 +181,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """sig and text, once for each wanted node."""
+    """sig and text of each wanted node (again for each row that has its id and set)."""
 
     def checked(batches):
         for rows, buf, off in shared.pieces(batches):
@@ -193,7 +190,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> Data
 
     ids = wanted.join(nodes, "sig")
     found = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id)).select("sig", "text").mapInArrow(checked, "sig long, text string")
-    return shared.written(found).dropDuplicates(["sig"])
+    return shared.written(found)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
