@@ -308,3 +308,120 @@ def capture_report(spark, sf_dir):
 
     raw = capture.read_content(_capture_files(spark, sf_dir))
     return report(packet.decoded(raw), raw.filter("seq is null").select("file", "truncated", "capped"))
+
+
+# --- messages, tables, archives, office files -----------------------------------------------------------------------
+
+_CATEGORY = "CASE r WHEN 'french' THEN CASE WHEN n <= 1 THEN 'one' ELSE 'other' END WHEN 'polish' THEN CASE WHEN n = 1 THEN 'one' WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END WHEN 'russian' THEN CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 'one' WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END ELSE CASE WHEN n = 1 THEN 'one' ELSE 'other' END END"
+_RULE_OF = "CASE o_orderkey % 4 WHEN 0 THEN 'one_other' WHEN 1 THEN 'french' WHEN 2 THEN 'polish' ELSE 'russian' END"
+
+
+@query(f"SELECT o_orderkey, {_CATEGORY} AS category FROM (SELECT o_orderkey, {_RULE_OF} AS r, o_custkey % 130 AS n FROM orders)")
+def plural_forms(spark, sf_dir):
+    from ..functions import messages
+
+    return _read(spark, sf_dir, "orders").select("o_orderkey", messages.category(F.expr(_RULE_OF), F.col("o_custkey") % 130).alias("category"))
+
+
+@query("SELECT o_orderkey, o_orderpriority || ' has {left} of ' || o_custkey || ', } {other}' AS said FROM orders")
+def template_fill(spark, sf_dir):
+    from ..functions import messages
+
+    values = F.create_map(F.lit("what"), F.col("o_orderpriority"), F.lit("n"), F.col("o_custkey").cast("string"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", messages.filled_native(F.lit("{what} has {{left}} of {n}, }} {other}"), ["what", "n"], values).alias("said"))
+
+
+@query("SELECT c_custkey, CASE WHEN l IN ('de', 'fr') THEN l WHEN l = 'fr-ca' THEN 'fr' WHEN l = 'de_at' THEN 'de' ELSE 'en' END AS lang FROM (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr-ca' WHEN 2 THEN 'de_at' WHEN 3 THEN 'fr' ELSE 'ja' END AS l FROM customer)")
+def language_match(spark, sf_dir):
+    from ..functions import messages
+
+    wanted = F.expr("CASE c_nationkey % 5 WHEN 0 THEN 'DE' WHEN 1 THEN 'fr-CA' WHEN 2 THEN 'de_AT' WHEN 3 THEN 'fr' ELSE 'ja' END")
+    return _read(spark, sf_dir, "customer").select("c_custkey", messages.matched_language(wanted, ["en", "de", "fr"]).alias("lang"))
+
+
+@query("SELECT 'nation.csv' AS path, 'Table with 25 rows and 3 columns.' || chr(10) || chr(10) || string_agg('Row ' || i || '. n nationkey: ' || n_nationkey || '. n name: ' || n_name || ', \"the\" one. Column 3: ' || CASE WHEN n_regionkey = 0 THEN 'empty.' ELSE n_regionkey || '.' END, chr(10) ORDER BY i) AS text FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation)")
+def table_spoken(spark, sf_dir):
+    """nation written as delimited text, with quotes and an empty heading, read by the exact parser and narrated."""
+    from ..sources import files
+
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit(', ""the"" one",'), F.when(F.col("n_regionkey") == 0, F.lit(" ")).otherwise(F.col("n_regionkey").cast("string"))).alias("line"))
+    text = rows.agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "line"))).alias("all")).select(F.concat(F.lit("n_nationkey,n_name,\r\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\r\n")).alias("text"))
+    return files.speak_tables(files.read_tables(text.select(F.lit("nation.csv").alias("path"), F.col("text").cast("binary").alias("content"))))
+
+
+def _playlist(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    brand = F.col("p_brand")
+    have = part.select(brand.alias("archive"), F.col("p_partkey").cast("int").alias("entry_index"), F.concat(F.lit("Disc/"), F.lower("p_name"), F.lit(" "), (F.col("p_partkey") % 9).cast("string"), F.lit(".mp3")).alias("path"))
+    listed = part.filter("p_partkey % 3 < 2").select(brand.alias("archive"), F.col("p_partkey").cast("int").alias("line"), F.concat(F.when(F.col("p_partkey") % 11 == 0, F.lit("lost ")).otherwise(F.lit("")), F.upper("p_name"), F.lit(" "), (F.col("p_partkey") % 9).cast("string"), F.lit(".MP3")).alias("name"), F.lit("speech").alias("kind"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_size").cast("long")).alias("pos"))
+    return have, listed
+
+
+_LISTED = """w AS (SELECT *, row_number() OVER (PARTITION BY archive, key ORDER BY pos2) AS k FROM (SELECT p_brand AS archive, p_partkey AS line, name, lower(name) AS key, row_number() OVER (PARTITION BY p_brand ORDER BY pos NULLS LAST, p_partkey) AS pos2 FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'lost ' ELSE '' END || upper(p_name) || ' ' || (p_partkey % 9) || '.MP3' AS name, CASE WHEN p_partkey % 5 > 0 THEN p_size END AS pos FROM part WHERE p_partkey % 3 < 2)) WHERE pos2 <= 500),
+h AS (SELECT *, row_number() OVER (PARTITION BY archive, key ORDER BY nat, entry_index) AS k FROM (SELECT p_brand AS archive, p_partkey::INTEGER AS entry_index, 'Disc/' || n AS path, n AS key, list_transform(regexp_extract_all('Disc/' || n, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN '0' || lpad(x, 20, '0') ELSE '1' || lower(x) END) AS nat FROM (SELECT *, lower(p_name) || ' ' || (p_partkey % 9) || '.mp3' AS n FROM part)))"""
+
+
+@query(f"WITH {_LISTED}, t AS (SELECT h.archive, h.path, 'speech' AS kind, h.entry_index, 0 AS part, w.pos2, NULL AS nat FROM w JOIN h ON w.archive = h.archive AND w.key = h.key AND w.k = h.k UNION ALL SELECT h.archive, h.path, 'unlisted', h.entry_index, 1, 0, h.nat FROM h WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.archive = h.archive AND w.key = h.key AND w.k = h.k)) SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY part, pos2, nat, entry_index) AS track_no, path, kind, entry_index::BIGINT AS entry_index FROM t QUALIFY track_no <= 500")
+def playlist_arrange(spark, sf_dir):
+    tracks = sequences.arrange(*_playlist(spark, sf_dir))[0]
+    return tracks.select("archive", F.col("track_no").cast("long").alias("track_no"), "path", "kind", F.col("entry_index").cast("long").alias("entry_index"))
+
+
+@query(f"WITH {_LISTED} SELECT archive, line::BIGINT AS line, name FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE w.archive = h.archive AND w.key = h.key AND w.k = h.k)")
+def playlist_missing(spark, sf_dir):
+    missing = sequences.arrange(*_playlist(spark, sf_dir))[1]
+    return missing.select("archive", F.col("line").cast("long").alias("line"), "name")
+
+
+_TIDIED = SQL["text_tidy"]
+
+
+@query(f"SELECT concat('doc-', doc_id::VARCHAR) AS path, tidied AS text FROM ({_TIDIED})")
+def docx_roundtrip(spark, sf_dir):
+    """Documents written as Word files, one paragraph a line, and read back."""
+    return _office(spark, sf_dir, "word")
+
+
+@query(f"SELECT concat('doc-', doc_id::VARCHAR) AS path, tidied AS text FROM ({_TIDIED})")
+def text_decode_roundtrip(spark, sf_dir):
+    """Documents as bytes in UTF-8, UTF-16 of both orders (marked) and read back."""
+    from ..sources import files
+
+    docs = _read(spark, sf_dir, "documents")
+    kind = F.col("doc_id") % 4
+    content = (
+        F.when(kind == 0, F.col("text").cast("binary")).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+        .when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+    )
+    return files.read_text(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))).select("path", "text")
+
+
+def _office(spark, sf_dir, kind):
+    from ..sources import office
+    from .fixtures import word_file
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [word_file(t or "") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["path", "content"])
+
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return office.read_word(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
+
+
+@query("SELECT concat('deck-', conv_id::VARCHAR) AS path, 'Presentation with ' || CASE count(*) WHEN 1 THEN '1 slide' ELSE count(*) || ' slides' END || '.' || string_agg(chr(10) || chr(10) || 'Slide ' || i || ' of ' || n || '. ' || role || '.' || chr(10) || 'turn ' || turn || '.', '' ORDER BY i) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE turn <> 3) GROUP BY conv_id")
+def pptx_roundtrip(spark, sf_dir):
+    """Conversations as decks, a slide a turn, the fourth hidden, read back and narrated."""
+    import pyarrow as pa
+
+    from ..sources import office
+    from .fixtures import slide_file
+
+    def decks(key, table):
+        rows = table.sort_by("turn").to_pylist()
+        return pa.table({"path": [f"deck-{key[0].as_py()}"], "content": pa.array([slide_file([(r["role"], [f"turn {r['turn']}"], r["turn"] == 3) for r in rows])], pa.binary())})
+
+    made = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role").groupBy("conv_id").applyInArrow(decks, "path string, content binary")
+    return office.speak_slides(office.read_slides(made))
