@@ -84,7 +84,7 @@ def split_hard(text: str, most: int) -> list[str]:
     out, now = [], ""
     for word in re.findall(r"\S*\s|\S+\Z", text) or ([text] if text else []):
         if len(now) + len(word) > most and now:
-            out.append(now.strip())
+            out += [now.strip()] if now.strip() else []
             now = ""
         while len(word) > most:
             out.append(word[:most])

@@ -425,3 +425,21 @@ def pptx_roundtrip(spark, sf_dir):
 
     made = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role").groupBy("conv_id").applyInArrow(decks, "path string, content binary")
     return office.speak_slides(office.read_slides(made))
+
+
+@query("SELECT concat('pdf-', doc_id::VARCHAR) AS path, array_to_string(list_transform(range(0, len(w), 12), lambda i: array_to_string(w[i + 1:i + 12], ' ')), chr(10)) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Zäöüßéèêàçñíóú.,]+') AS w FROM documents)")
+def pdf_roundtrip(spark, sf_dir):
+    """Each document's words drawn as a PDF page, twelve a line, and read back."""
+    import pyarrow as pa
+
+    from ..sources import pdf
+    from .fixtures import pdf_file
+
+    def made(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf_file([t or ""], i % 2 == 0) for i, t in enumerate(b.column(1).to_pylist())], pa.binary())], ["path", "content"])
+
+    words = F.regexp_extract_all("text", F.lit("[a-zA-Zäöüßéèêàçñíóú.,]+"), F.lit(0))
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 12).cast("int")), lambda i: F.array_join(F.slice(words, i * 12 + 1, 12), " "))
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("path"), F.when(F.size(words) > 0, F.array_join(lines, "\n")).otherwise("").alias("text"))
+    return pdf.read_pages(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
