@@ -79,10 +79,12 @@ def remove(docs: DataFrame, items: DataFrame, mode: str = "document", id_column:
         return docs.join(found.select("__id", "__h"), same, "left_anti")
     if mode != "span":
         raise ValueError("mode is document or span")
-    parts = F.regexp_extract_all(F.col(text), F.lit(f"{BREAK}*{WORD}+"), F.lit(0))
-    inside = lambda i: F.exists("spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["size"]))
+    # the text keeps its case here, so its capitals are letters and no breaks
+    gap, letter = BREAK.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"), WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"{gap}*{letter}+"), F.lit(0))
+    inside = lambda i: F.exists("__spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["size"]))
     left = F.filter(F.transform(parts, lambda p, i: F.when(~inside(i), p)), lambda p: p.isNotNull())
-    tail = F.regexp_extract(F.col(text), f"{BREAK}*\\z", 0)
-    cut = F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(left, ""), tail))
-    joined = docs.join(found.select("__id", "__h", "spans"), same, "left")
+    tail = F.regexp_extract(F.col(text), f"{gap}*\\z", 0)
+    cut = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(left, ""), tail))
+    joined = docs.join(found.select("__id", "__h", F.col("spans").alias("__spans")), same, "left")
     return joined.select(*[cut.alias(text) if c == text else F.col(c) for c in docs.columns])

@@ -96,8 +96,8 @@ def score(buf: np.ndarray, off: np.ndarray, names: list[str], model: np.ndarray)
     return [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, sure, 0.0)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str]) -> DataFrame:
-    """columns of docs, lang_pred and score; the text is read and not returned unless it is among them."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """columns of docs, lang_pred and score (or other names); the text is read and not returned unless it is among them."""
     known = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(*columns, F.col("text").cast("string").alias("__text"))
 
@@ -105,7 +105,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
         for rows, buf, off in shared.pieces(batches, "__text"):
             name, sure = score(buf, off, *known.value)
             kept = rows.select(columns)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(sure, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(sure, pa.float64())], [*columns, *names])
 
-    schema = picked.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = picked.drop("__text").schema.add(names[0], "string").add(names[1], "double")
     return picked.mapInArrow(rows, schema)
