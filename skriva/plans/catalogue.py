@@ -443,3 +443,48 @@ def pdf_roundtrip(spark, sf_dir):
     lines = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 12).cast("int")), lambda i: F.array_join(F.slice(words, i * 12 + 1, 12), " "))
     docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("path"), F.when(F.size(words) > 0, F.array_join(lines, "\n")).otherwise("").alias("text"))
     return pdf.read_pages(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
+
+
+@query("SELECT event_type AS path, string_agg(CASE WHEN t < 1 THEN 'At the start' ELSE (CASE WHEN t // 60 = 0 THEN s WHEN t % 60 = 0 THEN m ELSE m || ' ' || s END) || ' in' END || ': saw ' || user_id, chr(10) || chr(10) ORDER BY t, user_id::VARCHAR) AS text FROM (SELECT *, CASE t % 60 WHEN 1 THEN '1 second' ELSE (t % 60) || ' seconds' END AS s, CASE t // 60 WHEN 1 THEN '1 minute' ELSE (t // 60) || ' minutes' END AS m FROM (SELECT event_type, user_id, event_id // 7 AS t FROM events WHERE user_id % 5 > 0)) GROUP BY event_type")
+def video_transcript(spark, sf_dir):
+    from ..sources import media
+
+    text_ = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit(" saw "), F.col("user_id").cast("string"))).otherwise(F.lit(" \n"))
+    frames = _read(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.floor(F.col("event_id") / 7).alias("t"), text_.alias("text"))
+    return media.video_transcript(frames.withColumn("t", F.col("t").cast("double")))
+
+
+@query("SELECT path, kind, pos::BIGINT AS pos, ms, (sum(ms) OVER (PARTITION BY path ORDER BY pos) - ms - sum(early) OVER (PARTITION BY path ORDER BY pos))::BIGINT AS start_ms FROM (SELECT *, CASE WHEN kind = 'music' AND lag(kind) OVER w = 'speech' THEN least(1250, lag(ms) OVER w) ELSE 0 END AS early FROM (SELECT o_custkey::VARCHAR AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, CASE WHEN o_orderkey % 2 = 0 THEN 'speech' ELSE 'music' END AS kind, (o_orderkey * 37) % 4000 AS ms FROM orders) WINDOW w AS (PARTITION BY path ORDER BY pos))")
+def track_schedule(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = _read(spark, sf_dir, "orders")
+    tracks = o.select(F.col("o_custkey").cast("string").alias("archive"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("track_no"), F.when(F.col("o_orderkey") % 2 == 0, "speech").otherwise("music").alias("kind"), (F.col("o_orderkey") * 37 % 4000).alias("ms"))
+    return sequences.overlap_schedule(tracks).select(F.col("archive").alias("path"), "kind", F.col("track_no").alias("pos"), "ms", "start_ms")
+
+
+@query("SELECT 'ip' AS x, proto_num::BIGINT AS proto_num, low_addr, high_addr, packets, bytes FROM (SELECT proto_num, %s AS low_addr, %s AS high_addr, count(*) AS packets, sum(bytes)::BIGINT AS bytes FROM (%s) AS p WHERE kind = 'ip' GROUP BY ALL)" % (duck_address("least(src_num, dst_num)"), duck_address("greatest(src_num, dst_num)"), PACKETS))
+def stream_conversations(spark, sf_dir):
+    """The windowed rollup as a stream over the packets as files, its windows summed: a check of the streaming form."""
+    from ..streaming.flows import windowed_conversations
+
+    rows = packets(spark, sf_dir).select("kind", "at_ns", "src", "dst", "src_key", "dst_key", "proto_num", "bytes")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        import tempfile
+
+        top = "file://" + tempfile.mkdtemp(prefix="skriva-")
+    import uuid
+
+    where = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{where}/in")
+    made = windowed_conversations(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), "1 day", "40 days")
+
+    def keep(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{where}/out-{epoch}")
+
+    q = made.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = max(int(p["batchId"]) for p in q.recentProgress)
+    out = spark.read.parquet(f"{where}/out-{last}")
+    return out.groupBy(F.col("proto_num").cast("long").alias("proto_num"), "low_addr", "high_addr").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes")).withColumn("x", F.lit("ip"))
