@@ -18,7 +18,7 @@ from ..functions.text import heading, phrase, tidy
 
 #: Kinds by extension, and the size limit of text and tables (fixed values).
 KINDS = {
-    "text": ("txt", "md", "text", "log"), "docx": ("docx",), "pdf": ("pdf",), "csv": ("csv", "tsv"), "pptx": ("pptx",), "pcap": ("pcap", "pcapng", "cap"),
+    "text": ("txt", "text", "md", "markdown", "log"), "docx": ("docx",), "pdf": ("pdf",), "csv": ("csv", "tsv"), "pptx": ("pptx",), "pcap": ("pcap", "pcapng", "cap"),
     "image": ("png", "jpg", "jpeg", "heic", "heif"), "video": ("mp4", "mov", "m4v", "mkv", "avi", "webm"),
 }
 MOST_TEXT = 64 << 20
@@ -203,8 +203,8 @@ def has_model(names: Column, wanted: Column) -> Column:
 
 def failure(message: Column) -> Column:
     """Class of an engine's failure by what its message holds."""
-    low = F.lower(message)
-    return F.when(low.contains("memory"), "memory").when(low.contains("connection refused") | low.contains("error sending request"), "not running").when(low.contains("timed out"), "timeout").when(low.contains("not found"), "no model").otherwise("other")
+    memory = message.contains("requires more system memory") | message.contains("available memory")
+    return F.when(message.contains("unknown model architecture"), "model too old").when(memory, "memory").otherwise("other")
 
 
 def wav_samples(content: bytes) -> tuple[int, int, list[int]] | None:
