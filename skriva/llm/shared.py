@@ -24,6 +24,7 @@ _SAME = np.arange(256, dtype=np.uint8)
 _BYTE = np.random.default_rng(20_240_611).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,15 @@ def scratch(spark: SparkSession) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="skriva-")
         spark.sparkContext.setCheckpointDir(top)
         top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/skriva-{uuid.uuid4().hex}"
+    _MADE.append(path := f"{top.rstrip('/')}/skriva-{uuid.uuid4().hex}")
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what this driver has written to the shared folder; for when all results are written elsewhere."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, *by: str) -> DataFrame:

@@ -373,3 +373,11 @@ def test_mixing(spark, docs, nothing):
     assert not {r.doc_id for r in kept.collect()} & set(range(0, 400, 4))
     assert mixing.report(nothing, labels, domain, {"clean": 1.0}).count() == 0
     assert {r.rate for r in mixing.report(made, labels.limit(0), domain, {"clean": 0.5, "toxic": 0.5}).collect()} == {1.0}
+
+
+def test_sweep(spark):
+    made = shared.written(spark.range(3))
+    path = made.inputFiles()[0]
+    shared.sweep(spark)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
