@@ -149,9 +149,8 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
     shape = index.groupBy("key").agg(F.min(place).alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("m")).filter("low <> high").select("key", "hub", "m")
     lists = shared.written(index.join(shape, "key").dropDuplicates(["key", "sig"]))
     fits = F.expr(f"{100 + percent} * least(n - pos, hub.n - hub.pos) >= {percent} * (n + hub.n)")
-    texts = _texts(docs, nodes, lists.select("sig").distinct(), k)
     first = lists.filter((F.col("sig") != F.col("hub.sig")) & fits).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()
-    comp = components(_linked(first, texts, k, percent))
+    comp = components(_linked(first, docs, nodes, k, percent))
     at, more = 1, 15
     lists = lists.filter("m >= 3").select("key", "sig", "n", "pos")
     while True:
@@ -163,7 +162,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
         ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos", "n", "sig")))
         hubs = ranked.filter((F.col("rank") > at) & (F.col("rank") <= at + more)).select("key", F.struct("pos", "n", "sig").alias("hub"), F.col("comp").alias("of"))
         pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (place > F.col("hub")) & fits)
-        linked = _linked(pairs.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct(), texts, k, percent)
+        linked = _linked(pairs.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct(), docs, nodes, k, percent)
         name = lambda c: linked.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
         linked = name("a")
         linked = shared.written(name("b").distinct())
@@ -180,26 +179,17 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """sig and text of each wanted node (again for each row that has its id and set)."""
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that are similar enough. A hub with many partners is dealt out in blocks of about BLOCK.
 
-    def checked(batches):
-        for rows, buf, off in shared.pieces(batches):
-            keep = [bool(len(s)) and signature(s) == w for s, w in zip(sets(buf, off, k), rows.column(0).to_pylist(), strict=True)]
-            yield rows.filter(pa.array(keep, pa.bool_()))
-
-    ids = wanted.join(nodes, "sig")
-    found = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id)).select("sig", "text").mapInArrow(checked, "sig long, text string")
-    return shared.written(found)
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are similar enough. A hub with many partners is dealt out in blocks of about BLOCK."""
+    A text goes from its document straight to the blocks that ask for it; nothing else moves texts.
+    """
     pairs = shared.written(pairs)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = pairs.join(blocks, "a").select("a", F.expr("pmod(xxhash64(b), blocks)").alias("salt"), "b")
     heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), F.col("a").alias("b"))
-    rows = members.union(heads).join(texts.withColumnRenamed("sig", "b"), "b").select("a", "salt", "b", (F.col("a") != F.col("b")).alias("member"), "text")
+    asked = members.union(heads).join(nodes.select(F.col("sig").alias("b"), F.col("doc_id").alias("id")), "b")
+    rows = asked.join(docs, asked.id.eqNullSafe(docs.doc_id)).select("a", "salt", "b", (F.col("a") != F.col("b")).alias("member"), "text")
 
     def verify(batches):
         group, query, ids, held, out = None, None, [], [], []
@@ -213,6 +203,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 if (a, salt) != group:
                     close()
                     group, query, ids, held = (a, salt), None, [], []
+                if not len(s) or signature(s) != b:
+                    continue  # another row of the same id
                 if a == b:
                     query = s
                 else:
