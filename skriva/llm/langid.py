@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 BUCKETS, ORDERS, SMOOTHING, MOST_LANGUAGES = 1 << 16, (2, 3), 0.5, 256
+#: Bytes of text scored at once: each costs a row of the matrix for each order.
+PIECE = 1 << 19
 UNKNOWN = "und"
 _LETTERS: np.ndarray | None = None
 
@@ -99,13 +101,15 @@ def score(buf: np.ndarray, off: np.ndarray, names: list[str], model: np.ndarray)
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """columns of docs, lang_pred and score (or other names); the text is read and not returned unless it is among them."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    # the text travels once: under its own name if it is returned
+    name = "text" if "text" in columns and dict(docs.dtypes)["text"] == "string" else "__text"
+    picked = docs.select(*columns) if name == "text" else docs.select(*columns, F.col("text").cast("string").alias(name))
 
     def rows(batches):
-        for rows, buf, off in shared.pieces(batches, "__text"):
-            name, sure = score(buf, off, *known.value)
+        for rows, buf, off in shared.pieces(batches, name, PIECE):
+            found, sure = score(buf, off, *known.value)
             kept = rows.select(columns)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(sure, pa.float64())], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*columns, *names])
 
-    schema = picked.drop("__text").schema.add(names[0], "string").add(names[1], "double")
+    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     return picked.mapInArrow(rows, schema)

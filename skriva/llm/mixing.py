@@ -202,11 +202,11 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
     model = learn(docs, labels, domain, list(weights))
     fit(posteriors(docs, model), model, weights, keep_total)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select("*", F.col("text").cast("string").alias("__text"))
-    columns = docs.columns
+    columns, name = docs.columns, "text" if dict(docs.dtypes)["text"] == "string" else "__text"
+    picked = docs if name == "text" else docs.select("*", F.col("text").cast("string").alias(name))
 
     def rows(batches):
-        for own, buf, off in shared.pieces(batches, "__text"):
+        for own, buf, off in shared.pieces(batches, name):
             p = known.value.posteriors(buf, off)[1]
             yield pa.RecordBatch.from_arrays([*own.select(columns).columns, pa.array(known.value.rates(p))], [*columns, "__rate"])
 

@@ -63,15 +63,15 @@ def fold_of(ids: pa.Array | list, k: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % k for i in ids), np.int64, len(ids))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets): each batch cut into runs of whole rows of about PIECE bytes; null texts are empty."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets): each batch cut into runs of whole rows of about so many bytes; null texts are empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         buf, off = raw(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield batch.slice(at, to - at), buf[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
 
