@@ -58,7 +58,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        gc.disable()  # the cache is millions of small objects without cycles; each pass over them costs a second
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
         #: Which ids begin with a space: a word of letters after a space begins with one and has no other.
@@ -69,6 +68,13 @@ class Encoder:
 
     def learn(self, parts: list[bytes]) -> list[bytes]:
         """The ids of distinct parts."""
+        gc.disable()  # millions of small objects without cycles are made here; workers are reused, so it goes on again
+        try:
+            return self._learn(parts)
+        finally:
+            gc.enable()
+
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
         if len(self.parts) > PARTS:
             self.old, self.parts = self.parts, {}
         found = list(map(self.parts.get, parts))
