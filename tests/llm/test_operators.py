@@ -290,6 +290,22 @@ def test_pages(spark):
     assert got == want and sitetree.extract(df.limit(0)).count() == 0
 
 
+def test_pages_that_name_an_article(spark):
+    """The tree weighs them too: a bare notice in main goes, main text beside a teaser stays."""
+    html = "<body><main><div class=box><p>Read our <b>terms</b> today</p></div><p>Story {i} of the day</p><p>Repeated line</p></main></body>"
+    teaser = "<body><article>See {j}</article><div class=story><p>Long main text number {i} of this page</p></div></body>"
+    pages = [(i, "http://a.org/%d" % i, html.format(i=i)) for i in range(12)] + [(50 + i, "http://b.org/%d" % i, teaser.format(i=i, j="also")) for i in range(12)]
+    pages += [(90, "http://c.org", teaser.format(i=1, j="2")), (91, "http://d.org", html.format(i=3))]
+    pages += [(100 + i, "http://e.org/%d" % i, teaser.format(i=i, j=f"the longer teaser {i} " + "x" * 90)) for i in range(12)]
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    main = "Long main text number {} of this page"
+    for i in range(12):
+        assert got[i] == f"Story {i} of the day"
+        assert got[50 + i] == main.format(i)
+        assert got[100 + i] == f"See the longer teaser {i} " + "x" * 90 + "\n" + main.format(i)
+    assert got[90] == "See 2\n" + main.format(1) and got[91] == "Read our terms today\nStory 3 of the day\nRepeated line"
+
+
 def test_compact_windows_by_definition():
     rng = np.random.default_rng(4)
     counts = np.array([0, 5, 60, 80])
