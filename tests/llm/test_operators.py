@@ -391,6 +391,31 @@ def test_mixing(spark, docs, nothing):
     assert {r.rate for r in mixing.report(made, labels.limit(0), domain, {"clean": 0.5, "toxic": 0.5}).collect()} == {1.0}
 
 
+def test_mixing_of_a_rare_domain(spark):
+    """0.08 % of the tokens are toxic: the first step is taken all the same, for shares of its own and of all."""
+    model = lambda: mixing.Model(["clean", "toxic"], np.zeros(1, np.uint64), np.ones((7, 2)), np.ones(5))
+    p = [(100, [0.02, 0.98])] * 4 + [(100, [1.0, 0.0])] * 4996
+    members = spark.createDataFrame(p, "n_tokens long, p array<double>")
+    for keep_total in (False, True):
+        made = model()
+        mixing.fit(members, made, {"clean": 1.0, "toxic": 0.0}, keep_total)
+        clean, toxic = made.rates(np.array([[1.0, 0.0], [0.02, 0.98]]))
+        assert toxic < 0.03 and abs(clean - 1) < 0.01
+
+
+def test_mixing_goes_on_to_its_targets(spark):
+    """Posteriors that overlap: the target of 0 is met to 7 % of the domain (27 % after 20 plain steps), and the rest is told."""
+    rng = np.random.default_rng(1)
+    z = np.where(np.arange(3000) < 150, 4.0, -3.0) + 1.5 * rng.normal(size=3000)
+    p = np.stack([1 / (1 + np.exp(z)), 1 / (1 + np.exp(-z))], 1)
+    members = spark.createDataFrame([(100, x) for x in p.tolist()], "n_tokens long, p array<double>")
+    model = mixing.Model(["clean", "toxic"], np.zeros(1, np.uint64), np.ones((7, 2)), np.ones(5))
+    with pytest.warns(UserWarning, match="off its targets"):
+        mixing.fit(members, model, {"clean": 1.0, "toxic": 0.0})
+    left = (model.rates(p) @ p)[1] / p[:, 1].sum()
+    assert abs(left - model.residual["toxic"]) < 1e-9 and left < 0.1
+
+
 def test_sweep(spark):
     made = shared.written(spark.range(3))
     path = made.inputFiles()[0]
