@@ -333,6 +333,24 @@ def test_substring_dedup(spark, docs, rows, nothing):
     assert compact.report(nothing).count() == 0
 
 
+def test_substring_dedup_counts_every_copy(spark):
+    """A passage that one text holds twice is two spans in it, whichever comes first; equal rows without a partner are whole."""
+    word = iter(range(10**6))
+    fresh = lambda n: [f"w{next(word)}" for _ in range(n)]
+    docs, want = [], {}
+    for i in range(0, 20, 2):
+        shared_words = fresh(60)
+        docs += [(i, " ".join(fresh(70) + shared_words + fresh(70))), (i + 1, " ".join(fresh(40) + shared_words + fresh(200) + shared_words + fresh(30)))]
+        want |= {i: [(70, 130)], i + 1: [(40, 100), (300, 360)]}
+    docs += [(50, " ".join(fresh(80)))] * 2 + [(51, " ".join(fresh(49)))] * 2
+    found = compact.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = defaultdict(list)
+    for r in found:
+        got[r.doc_id].append([tuple(s) for s in r.spans])
+    assert got.pop(50) == [[(0, 80)]] * 2 and 51 not in got
+    assert got and all(got[i] == [want[i]] for i in got) and any(i % 2 for i in got)
+
+
 def test_passages_with_edits():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**60, 200).astype(np.uint64), rng.integers(0, 2**60, 150).astype(np.uint64)
