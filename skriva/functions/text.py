@@ -56,21 +56,31 @@ class Rule:
         return f"(?iu)(?<!{WORD_CHARS}){quoted}(?!{WORD_CHARS})" if self.whole_word else f"(?iu){quoted}"
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), where value is evaluated once however often body names it: a projection would be merged away."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replace(c: Column | str, rules: list[Rule]) -> tuple[Column, Column]:
     """(text, replacements made): the rules in turn, each over the result of those before.
 
     A match that begins with a capital gives a replacement that does; nothing else of its case is kept.
+    Each rule binds the text before it, so the work is linear in the text and in the rules.
     """
-    text, made = _col(c), F.lit(0).cast("long")
+    state = F.struct(_col(c).alias("text"), F.lit(0).cast("long").alias("made"))
     for rule in (r for r in rules if r.usable):
-        found, parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
-        big = rule.to[:1].upper() + rule.to[1:]
-        first = lambda m: F.regexp_extract(m, r"\p{IsAlphabetic}", 0)
-        new = F.transform(found, lambda m: F.when(first(m).rlike(r"^\p{Lu}"), F.lit(big)).otherwise(F.lit(rule.to)))  # noqa: B023
-        pairs = F.transform(F.slice(parts, 2, F.size(found)), lambda p, i: F.concat(F.get(new, i), p))  # noqa: B023
-        made = made + F.size(found)
-        text = F.when(F.size(found) > 0, F.concat(parts[0], F.array_join(pairs, ""))).otherwise(text)
-    return text, made
+        state = _bound(state, lambda s: _replaced(s, rule))  # noqa: B023
+    return state["text"], state["made"]
+
+
+def _replaced(state: Column, rule: Rule) -> Column:
+    big = rule.to[:1].upper() + rule.to[1:]
+    new = lambda m: F.when(F.regexp_extract(m, r"\p{IsAlphabetic}", 0).rlike(r"^\p{Lu}"), F.lit(big)).otherwise(F.lit(rule.to))
+    cut = F.struct(F.regexp_extract_all(state["text"], F.lit(rule.pattern), F.lit(0)).alias("found"), F.split(state["text"], rule.pattern, -1).alias("parts"))
+    text = _bound(cut, lambda x: F.concat(F.get(x["parts"], F.lit(0)), F.array_join(F.zip_with(x["found"], F.slice(x["parts"], 2, F.greatest(F.size(x["found"]), F.lit(0))), lambda m, p: F.concat(new(m), p)), "")))
+    none = F.struct(state["text"].alias("text"), state["made"].alias("made"))
+    some = F.struct(text.alias("text"), (state["made"] + F.regexp_count(state["text"], F.lit(rule.pattern))).alias("made"))
+    return F.when(F.regexp_like(state["text"], F.lit(rule.pattern)), some).otherwise(none)
 
 
 def units(c: Column | str) -> Column:
@@ -116,49 +126,52 @@ def pack(found: list[str], most: int) -> list[str]:
 
 
 def chunks(c: Column | str, most: int = CHUNK) -> Column:
-    """Chunks of at most `most` characters, on unit bounds where those allow. Python (Arrow): long units are cut by a fold."""
-
-    @F.pandas_udf("array<string>")
-    def packed(found):
-        return found.map(lambda u: None if u is None else pack(list(u), most))
-
-    return packed(units(c))
-
+    """Chunks of at most `most` characters, on unit bounds where those allow; a longer unit has chunks of its own.
 
-def chunks_native(c: Column | str, most: int = CHUNK) -> Column:
-    """chunks() as a fold of the JVM, for texts whose units all fit."""
+    A fold over units and, for a unit that is too long, its words (each with the white space after it; a
+    longer word is cut); a null before and after a long unit closes the chunk. No Python.
+    """
     start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("now"))
+    size = F.lit(most)
+    word = lambda w: F.when(F.length(w) <= size, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w), size), lambda i: F.substr(w, i, size)))
+    words = lambda u: F.flatten(F.transform(F.regexp_extract_all(u, F.lit(r"(?U)\S*\s|\S+\z"), F.lit(0)), word))
+    none = F.array(F.lit(None).cast("string"))
+    items = F.flatten(F.transform(units(c), lambda u: F.when(F.length(u) <= size, F.array(u)).otherwise(F.concat(none, words(u), none))))
+
+    def close(acc):
+        return _bound(trim(acc["now"]), lambda t: F.when(t != "", F.concat(acc["out"], F.array(t))).otherwise(acc["out"]))
 
     def step(acc, u):
-        fits = F.length(acc["now"]) + F.length(u) <= most
-        closed = F.when(trim(acc["now"]) != "", F.concat(acc["out"], F.array(trim(acc["now"])))).otherwise(acc["out"])
-        return F.when(fits, F.struct(acc["out"].alias("out"), F.concat(acc["now"], u).alias("now"))).otherwise(F.struct(closed.alias("out"), u.alias("now")))
+        fits = F.length(acc["now"]) + F.length(u) <= size
+        return F.when(fits, F.struct(acc["out"].alias("out"), F.concat(acc["now"], u).alias("now"))).otherwise(F.struct(close(acc).alias("out"), F.coalesce(u, F.lit("")).alias("now")))
 
-    close = lambda acc: F.when(trim(acc["now"]) != "", F.concat(acc["out"], F.array(trim(acc["now"])))).otherwise(acc["out"])
-    return F.aggregate(units(c), start, step, close)
+    return F.aggregate(items, start, step, close)
 
 
 def with_neighbours(parts: Column | str, most: int = NEIGHBOUR) -> Column:
     """Each chunk with the last characters of the one before and the first of the one after, null at the ends."""
-    parts = _col(parts)
-    return F.transform(
-        parts,
-        lambda p, i: F.struct(
-            i.alias("chunk_no"), p.alias("chunk"), F.when(i > 0, F.right(F.get(parts, i - 1), F.lit(most))).alias("prev"), F.left(F.get(parts, i + 1), F.lit(most)).alias("next")
-        ),
-    )
+
+    def each(all_: Column) -> Column:
+        before, after = (lambda i: F.get(all_, i - 1)), (lambda i: F.get(all_, i + 1))
+        return F.transform(all_, lambda p, i: F.struct(i.alias("chunk_no"), p.alias("chunk"), F.when(i > 0, F.right(before(i), F.lit(most))).alias("prev"), F.left(after(i), F.lit(most)).alias("next")))
+
+    return _bound(_col(parts), each)
 
 
 def redact(c: Column | str, known: Column | None = None) -> Column:
     """Hides a known secret, then whatever looks like a key; the mark tells how long it was."""
     text = _col(c)
+    mark = lambda secret: F.concat(F.lit("[redacted "), F.length(secret).cast("string"), F.lit(" characters]"))
     if known is not None:
-        mark = F.concat(F.lit("[redacted "), F.length(known).cast("string"), F.lit(" characters]"))
-        text = F.when(F.length(known) >= SECRET, F.replace(text, known, mark)).otherwise(text)
+        text = F.when(F.length(known) >= SECRET, F.replace(text, known, mark(known))).otherwise(text)
     key = r"sk_[A-Za-z0-9_-]{8,}"
-    found, parts = F.regexp_extract_all(text, F.lit(key), F.lit(0)), F.split(text, key, -1)
-    hidden = F.transform(F.slice(parts, 2, F.size(found)), lambda p, i: F.concat(F.lit("[redacted "), F.length(F.get(found, i)).cast("string"), F.lit(" characters]"), p))
-    return F.when(F.size(found) > 0, F.concat(parts[0], F.array_join(hidden, ""))).otherwise(text)
+
+    def hidden(t: Column) -> Column:
+        found, parts = F.regexp_extract_all(t, F.lit(key), F.lit(0)), F.split(t, key, -1)
+        cut = F.struct(found.alias("found"), parts.alias("parts"))
+        return _bound(cut, lambda x: F.concat(F.get(x["parts"], F.lit(0)), F.array_join(F.zip_with(x["found"], F.slice(x["parts"], 2, F.size(x["found"])), lambda m, p: F.concat(mark(m), p)), "")))
+
+    return _bound(text, lambda t: F.when(F.regexp_like(t, F.lit(key)), hidden(t)).otherwise(t))
 
 
 def heading(c: Column | str, index: Column | int) -> Column:

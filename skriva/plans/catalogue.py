@@ -162,27 +162,37 @@ def text_units(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(u).cast("long").alias("n_units"), F.md5(F.array_join(u, "\x01").cast("binary")).alias("units"))
 
 
-_LONG = "(SELECT doc_id, u FROM (SELECT doc_id, {u} AS u FROM documents))".format(u=_UNITS)
-_FOLD = f"""SELECT doc_id, list_filter(list_transform(string_split(list_reduce(u, lambda acc, x: CASE WHEN length(acc) - coalesce(length(acc) - position(chr(2) IN reverse(acc)) + 1, 0) * 0 >= 0 AND
- length(list_last(string_split(acc, chr(2)))) + length(x) <= 4500 THEN acc || x ELSE acc || chr(2) || x END, ''), chr(2)), lambda c: regexp_replace(regexp_replace(c, '^{_WS}+', ''), '{_WS}+$', '')), lambda c: c <> '') AS c FROM {_LONG}"""
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
 
 
-@query(f"SELECT doc_id, i::BIGINT - 1 AS chunk_no, c[i] AS chunk, CASE WHEN i > 1 THEN right(c[i - 1], 300) END AS prev, left(c[i + 1], 300) AS next FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM ({_FOLD}))")
+def _chunked(most: int) -> str:
+    """Units, and the words of those that are too long (between nulls, which close a chunk), folded into chunks."""
+    word = _WS.replace("[", "[^", 1)
+    words = f"flatten(list_transform(regexp_extract_all(u, '{word}*{_WS}|{word}+$'), lambda w: CASE WHEN length(w) <= {most} THEN [w] ELSE list_transform(range(1, length(w) + 1, {most}), lambda i: substr(w, i, {most})) END))"
+    items = f"flatten(list_transform(u, lambda u: CASE WHEN length(u) <= {most} THEN [u] ELSE list_concat([NULL], {words}, [NULL]) END))"
+    close = f"CASE WHEN {_strip('acc.now')} <> '' THEN list_append(acc.out, {_strip('acc.now')}) ELSE acc.out END"
+    step = f"CASE WHEN e.now IS NOT NULL AND length(acc.now) + length(e.now) <= {most} THEN {{'out': acc.out, 'now': acc.now || e.now}} ELSE {{'out': {close}, 'now': coalesce(e.now, '')}} END"
+    folded = f"list_reduce(list_transform({items}, lambda x: {{'out': []::VARCHAR[], 'now': x}}), lambda acc, e: {step}, {{'out': []::VARCHAR[], 'now': ''}})"
+    return f"SELECT doc_id, {close} AS c FROM (SELECT doc_id, {folded} AS acc FROM (SELECT doc_id, {_UNITS} AS u FROM documents))"
+
+
+@query(f"SELECT doc_id, i::BIGINT - 1 AS chunk_no, c[i] AS chunk, CASE WHEN i > 1 THEN right(c[i - 1], 300) END AS prev, left(c[i + 1], 300) AS next FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM ({_chunked(4500)}))")
 def text_chunks(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(text.with_neighbours(text.chunks_native("text"))).alias("x")).select("doc_id", F.col("x.chunk_no").cast("long").alias("chunk_no"), "x.chunk", "x.prev", "x.next")
+    return docs.select("doc_id", F.explode(text.with_neighbours(text.chunks("text"))).alias("x")).select("doc_id", F.col("x.chunk_no").cast("long").alias("chunk_no"), "x.chunk", "x.prev", "x.next")
 
 
-@query()
+@query(f"SELECT doc_id, i::BIGINT - 1 AS chunk_no, c[i] AS chunk FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM ({_chunked(80)}))")
 def text_chunks_hard(spark, sf_dir):
     """Chunks of 80 characters, where most units are cut word by word."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks("text", 80)).alias("chunk_no", "chunk"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks("text", 80)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(line, 'sk_[A-Za-z0-9_-]{8,}|s|[^s]+'), lambda x: CASE WHEN regexp_full_match(x, 'sk_[A-Za-z0-9_-]{8,}') THEN '[redacted ' || length(x) || ' characters]' ELSE x END), '') AS line
-FROM (SELECT doc_id, 'key sk_' || replace(md5(doc_id::VARCHAR), '0', '_') || ' sk_short ' || left(text, 40) AS line FROM documents)""")
+FROM (SELECT doc_id, 'key sk_' || replace(md5(doc_id::VARCHAR), '0', '_') || ' sk_short ' || text AS line FROM documents)""")
 def text_redact(spark, sf_dir):
-    line = F.concat(F.lit("key sk_"), F.replace(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("0"), F.lit("_")), F.lit(" sk_short "), F.left("text", F.lit(40)))
+    line = F.concat(F.lit("key sk_"), F.replace(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("0"), F.lit("_")), F.lit(" sk_short "), F.col("text"))
     return _read(spark, sf_dir, "documents").select("doc_id", text.redact(line).alias("line"))
 
 

@@ -29,8 +29,8 @@ _SKIPPED = frozenset(("pPr", "rPr", "sectPr", "tblPr", "tcPr", "trPr", "numPr"))
 _OFF = frozenset(("0", "false", "off"))
 #: Highlights by name (fixed values).
 HIGHLIGHTS = {
-    "black": "black", "blue": "blue", "cyan": "cyan", "green": "green", "magenta": "magenta", "red": "red", "yellow": "yellow", "white": "white", "darkBlue": "dark blue", "darkCyan": "dark cyan",
-    "darkGreen": "dark green", "darkMagenta": "dark magenta", "darkRed": "dark red", "darkYellow": "dark yellow", "darkGray": "dark grey", "lightGray": "light grey",
+    "black": "black", "blue": "blue", "cyan": "turquoise", "green": "bright green", "magenta": "pink", "red": "red", "yellow": "yellow", "white": "white", "darkBlue": "dark blue", "darkCyan": "teal",
+    "darkGreen": "green", "darkMagenta": "violet", "darkRed": "dark red", "darkYellow": "dark yellow", "darkGray": "grey", "lightGray": "light grey",
 }
 
 
@@ -84,7 +84,7 @@ def pieces(xml: bytes, formats: bool) -> list[Piece]:
             elif tag == "color":
                 f["colour"] = colour_word(get("val") or "")
             elif tag == "highlight":
-                f["highlight"] = HIGHLIGHTS.get(get("val") or "")
+                f["highlight"] = HIGHLIGHTS.get((get("val") or "").strip())
         elif formats and tag == "rPr":
             state["props"] = True
         elif tag in _SKIPPED:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,9 +48,56 @@ def test_chunks(spark, most):
     assert "".join("".join(found).split()) == "".join(given.split())
 
 
-def test_native_chunks_agree(spark):
-    given = "One two. Three four. Five six. Seven."
-    assert one(spark, given, lambda c: text.chunks(c, 20)) == one(spark, given, lambda c: text.chunks_native(c, 20))
+def packed(given, most):
+    """Chunks as a loop: units, then words of a unit that is too long, then pieces of a word that is."""
+    out, now = [], ""
+
+    def close():
+        nonlocal now
+        out.extend([now.strip()] if now.strip() else [])
+        now = ""
+
+    def add(part):
+        nonlocal now
+        if len(now) + len(part) > most:
+            close()
+        now += part
+
+    for unit in re.findall(r"""(?s).*?(?:[.!?。！？\n](?=[\s"']|\Z)\s*|\Z)""", given):
+        if len(unit) <= most:
+            add(unit)
+            continue
+        close()
+        for word in re.findall(r"\S*\s|\S+\Z", unit):
+            for i in range(0, len(word), most):
+                add(word[i : i + most])
+        close()
+    close()
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 20, 64])
+def test_chunks_are_those_of_a_loop(spark, most):
+    rnd = random.Random(most)
+    bits = ["a", "bb", "ccc", "longerword", "x" * 70, " ", "  ", "\n", ". ", "! ", "。", "\u3000", "é", '"', "12.5"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select(text.chunks("x", most)).collect()
+    assert [r[0] for r in got] == [packed(t, most) for t in texts]
+
+
+def test_neighbours(spark):
+    found = spark.createDataFrame([(["ab", "cd", "e"],)], "x array<string>").select(text.with_neighbours("x", 1)).first()[0]
+    assert [tuple(x) for x in found] == [(0, "ab", None, "c"), (1, "cd", "b", "e"), (2, "e", "d", None)]
+
+
+def test_many_rules_are_one_expression_each(spark):
+    """Ten rules over a long text: the expression grows in proportion to the rules."""
+    rules = [text.Rule(f"w{i}", f"w{i + 1}") for i in range(10)]
+    said, made = text.replace("x", rules)
+    df = spark.createDataFrame([("W0 w5 other " * 5000,)], "x string").select(said.alias("said"), made.alias("made"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 40_000
+    row = df.first()
+    assert row.made == 5000 * 15 and row.said == "W10 w10 other " * 5000
 
 
 def test_redact(spark):
