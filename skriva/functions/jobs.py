@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import Rule, replace, trim
+
 #: The default model, and the retired one (fixed values); extensions that need no engine to be read.
 VISION_MODEL, RETIRED = "qwen2.5vl:3b", "llama3.2-vision"
 HEADLESS = ("text", "docx", "pdf", "csv", "pptx")
@@ -60,8 +62,45 @@ def voice_detail(accent: Column, description: Column, category: Column) -> Colum
 
 
 def is_untouched(prompts: DataFrame, defaults: DataFrame) -> DataFrame:
-    """The prompts that are some language's default (both: column prompt)."""
-    return prompts.join(defaults.select("prompt").distinct(), "prompt", "left_semi")
+    """The prompts that are blank or, trimmed, some language's default (both: column prompt)."""
+    known = defaults.select(F.col("prompt").alias("__known")).distinct()
+    blank = prompts.withColumn("__trimmed", trim("prompt"))
+    return blank.join(known.withColumn("__hit", F.lit(True)), F.col("__trimmed") == F.col("__known"), "left").filter((F.col("__trimmed") == "") | F.col("__hit")).select(*prompts.columns)
+
+
+def settings(saved: Column, defaults: dict[str, str]) -> Column:
+    """A map of settings: the saved JSON object over the defaults; without one, the defaults. Unknown names go."""
+    got = F.from_json(saved, "map<string,string>")
+    return F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.coalesce(F.try_element_at(got, F.lit(k)), F.lit(v)))])
+
+
+def api_key(environment: Column, stored: Column) -> Column:
+    """The key of the environment if it isn't blank, else the stored one; trimmed, null if there is none."""
+    some = lambda c: F.nullif(trim(c), F.lit(""))
+    return F.coalesce(some(environment), some(stored))
+
+
+def kept_voice(saved: Column, voices: Column) -> Column:
+    """The saved voice if it is among the voices, else the first of them, else the saved one."""
+    return F.when(F.array_contains(voices, saved), saved).otherwise(F.coalesce(F.get(voices, F.lit(0)), saved))
+
+
+def speech(text: Column, note: Column, rules: list[Rule]) -> tuple[Column, Column]:
+    """(text to speak, replacements made): the text, then the engine's note if there is one, then the rules over both."""
+    whole = F.when(note.isNull(), text).otherwise(F.concat(text, F.lit("\n\n"), note))
+    return replace(whole, rules)
+
+
+def extracted(name: Column, text: Column, caveat: Column) -> Column:
+    """What a reader gives back: text, and the note that tells how long it is and what to beware of."""
+    size = F.concat(name, F.lit(": "), F.length(text).cast("string"), F.lit(" characters"))
+    return F.struct(text.alias("text"), F.concat(size, F.coalesce(F.concat(F.lit(" · "), caveat), F.lit(""))).alias("note"))
+
+
+def write_extracted(df: DataFrame, path: str) -> None:
+    """Rows of (path, text, caveat) as a table with text and note; a job's output is the same whatever its reader was."""
+    out = df.select("path", extracted(F.element_at(F.split("path", r"[/\\]"), -1), F.col("text"), F.col("caveat")).alias("x"))
+    out.select("path", "x.*").write.parquet(path)
 
 
 def progress(part: Column, parts: Column, inside: Column) -> Column:

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spoken, text
 from ..operators import flows, sequences
 from .events_as_packets import ORACLE as PACKETS
 from .events_as_packets import duck_address, packets
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query, shared_folder
+from .registry import read as _read
 
 # --- captures -------------------------------------------------------------------------------------------------------
 
@@ -282,44 +264,16 @@ def nearest_colour(spark, sf_dir):
 # --- captures from bytes to report ----------------------------------------------------------------------------------
 
 
-def _capture_files(spark, sf_dir):
-    """The events as frames in capture files, one file a fifth of the events, written by Spark and read back as bytes."""
-    from ..sources import packet
-    from ..sources.capture import write_classic
-
-    rows = packets(spark, sf_dir).select((F.col("seq") % 5).alias("g"), "seq", "at_ns", "kind", "src_key", "dst_key", "proto_num", "src_port", "dst_port", "tcp_flags", "query")
-
-    def files(key, table):
-        out = []
-        for r in table.sort_by("seq").to_pylist():
-            data = packet.build(r["src_key"][1:], r["dst_key"][1:], r["proto_num"], r["src_port"], r["dst_port"], r["tcp_flags"], r["query"])
-            out.append((r["at_ns"], data if r["kind"] == "ip" else data[:12] + (b"\x08\x06" if r["kind"] == "arp" else b"\x88\xcc") + data[14:]))
-        import pyarrow as pa
-
-        return pa.table({"path": [f"capture-{key[0].as_py()}"], "content": pa.array([write_classic(out, order=">" if key[0].as_py() % 2 else "<")], pa.binary())})
-
-    return rows.groupBy("g").applyInArrow(files, "path string, content binary")
-
-
 @query(f"SELECT * EXCLUDE (bytes) FROM (SELECT {_KEYS}, packets, bytes, first_ns, last_ns, opens, resets, finishes, accepted FROM ({_CONV}))")
 def pcap_roundtrip(spark, sf_dir):
     """Frames built, written in the capture format, read, decoded and rolled up: the same conversations."""
     from ..sources import capture, packet
+    from .formats import capture_files, classic
 
-    read = packet.decoded(capture.read_content(_capture_files(spark, sf_dir))).withColumn("file", F.lit("events"))
+    read = packet.decoded(capture.read_content(capture_files(spark, sf_dir, classic))).withColumn("file", F.lit("events"))
     return flows.conversations(read).select(*_wide(), "packets", "first_ns", "last_ns", "opens", "resets", "finishes", "accepted")
 
 
-@query()
-def capture_report(spark, sf_dir):
-    """The report of each file of pcap_roundtrip; tests hold it against a fixture's text."""
-    from ..sources import capture, packet
-    from .capture_report import report
-
-    raw = capture.read_content(_capture_files(spark, sf_dir))
-    return report(packet.decoded(raw), raw.filter("seq is null").select("file", "truncated", "capped"))
-
-
 # --- messages, tables, archives, office files -----------------------------------------------------------------------
 
 _CATEGORY = "CASE r WHEN 'french' THEN CASE WHEN n <= 1 THEN 'one' ELSE 'other' END WHEN 'polish' THEN CASE WHEN n = 1 THEN 'one' WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END WHEN 'russian' THEN CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 'one' WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END ELSE CASE WHEN n = 1 THEN 'one' ELSE 'other' END END"
@@ -421,7 +375,7 @@ def _office(spark, sf_dir, kind):
     return office.read_word(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
 
 
-@query("SELECT concat('deck-', conv_id::VARCHAR) AS path, 'Presentation with ' || CASE count(*) WHEN 1 THEN '1 slide' ELSE count(*) || ' slides' END || '.' || string_agg(chr(10) || chr(10) || 'Slide ' || i || ' of ' || n || '. ' || role || '.' || chr(10) || 'turn ' || turn || '.', '' ORDER BY i) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE turn <> 3) GROUP BY conv_id")
+@query("SELECT concat('deck-', conv_id::VARCHAR) AS path, 'Presentation with ' || CASE count(*) WHEN 1 THEN '1 slide' ELSE count(*) || ' slides' END || '.' || string_agg(chr(10) || chr(10) || 'Slide ' || i || ' of ' || n || '. ' || role || '.' || chr(10) || 'turn ' || turn || '.' || CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '[.!?:;,]$') THEN chr(10) || t ELSE chr(10) || t || '.' END, '' ORDER BY i) AS text FROM (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^" + _WS + "+', ''), '" + _WS + "+$', '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE turn <> 3) GROUP BY conv_id")
 def pptx_roundtrip(spark, sf_dir):
     """Conversations as decks, a slide a turn, the fourth hidden, read back and narrated."""
     import pyarrow as pa
@@ -431,13 +385,13 @@ def pptx_roundtrip(spark, sf_dir):
 
     def decks(key, table):
         rows = table.sort_by("turn").to_pylist()
-        return pa.table({"path": [f"deck-{key[0].as_py()}"], "content": pa.array([slide_file([(r["role"], [f"turn {r['turn']}"], r["turn"] == 3) for r in rows])], pa.binary())})
+        return pa.table({"path": [f"deck-{key[0].as_py()}"], "content": pa.array([slide_file([(r["role"], [f"turn {r['turn']}", r["text"] or ""], r["turn"] == 3) for r in rows])], pa.binary())})
 
-    made = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role").groupBy("conv_id").applyInArrow(decks, "path string, content binary")
-    return office.speak_slides(office.read_slides(made))
+    made = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInArrow(decks, "path string, content binary")
+    return office.speak_slides(office.read_slides(made)).filter("error is null").select("path", "text")
 
 
-@query("SELECT concat('pdf-', doc_id::VARCHAR) AS path, array_to_string(list_transform(range(0, len(w), 12), lambda i: array_to_string(w[i + 1:i + 12], ' ')), chr(10)) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Zäöüßéèêàçñíóú.,]+') AS w FROM documents)")
+@query("SELECT concat('pdf-', doc_id::VARCHAR) AS path, array_to_string(list_transform(range(0, len(w), 12), lambda i: array_to_string(w[i + 1:i + 12], ' ')), chr(10)) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[!-~¡-¬®-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+') AS w FROM documents)")
 def pdf_roundtrip(spark, sf_dir):
     """Each document's words drawn as a PDF page, twelve a line, and read back."""
     import pyarrow as pa
@@ -449,7 +403,7 @@ def pdf_roundtrip(spark, sf_dir):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf_file([t or ""], i % 2 == 0) for i, t in enumerate(b.column(1).to_pylist())], pa.binary())], ["path", "content"])
 
-    words = F.regexp_extract_all("text", F.lit("[a-zA-Zäöüßéèêàçñíóú.,]+"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit("[!-~¡-¬®-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+"), F.lit(0))
     lines = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 12).cast("int")), lambda i: F.array_join(F.slice(words, i * 12 + 1, 12), " "))
     docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("path"), F.when(F.size(words) > 0, F.array_join(lines, "\n")).otherwise("").alias("text"))
     return pdf.read_pages(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
@@ -479,14 +433,7 @@ def stream_conversations(spark, sf_dir):
     from ..streaming.flows import windowed_conversations
 
     rows = packets(spark, sf_dir).select("kind", "at_ns", "src", "dst", "src_key", "dst_key", "proto_num", "bytes")
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        import tempfile
-
-        top = "file://" + tempfile.mkdtemp(prefix="skriva-")
-    import uuid
-
-    where = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = shared_folder(spark)
     rows.write.parquet(f"{where}/in")
     made = windowed_conversations(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), "1 day", "40 days")
 
@@ -498,3 +445,6 @@ def stream_conversations(spark, sf_dir):
     last = max(int(p["batchId"]) for p in q.recentProgress)
     out = spark.read.parquet(f"{where}/out-{last}")
     return out.groupBy(F.col("proto_num").cast("long").alias("proto_num"), "low_addr", "high_addr").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes")).withColumn("x", F.lit("ip"))
+
+
+from . import decisions, formats  # noqa: E402, F401 - they register their queries

@@ -170,3 +170,17 @@ def write_classic(rows: list[tuple[int, bytes]], link: int = 1, order: str = "<"
     for at, data in rows:
         out.append(struct.pack(f"{order}4I", at // 10**9, at % 10**9 // (1 if nano else 1000), len(data), len(data)) + data)
     return b"".join(out)
+
+
+def write_blocks(rows: list[tuple[int, bytes]], link: int = 1, order: str = "<") -> bytes:
+    """A file of the block format with nanosecond times, an unknown block in it and the data padded to four bytes."""
+
+    def block(kind: int, body: bytes) -> bytes:
+        size = 12 + len(body)
+        return struct.pack(f"{order}II", kind, size) + body + struct.pack(f"{order}I", size)
+
+    face = struct.pack(f"{order}HHIHHB3xHH", link, 0, 0, 9, 1, 9, 0, 0)
+    out = [block(0x0A0D0D0A, struct.pack(f"{order}IHHq", 0x1A2B3C4D, 1, 0, -1)), block(1, face), block(99, b"skip")]
+    for at, data in rows:
+        out.append(block(6, struct.pack(f"{order}IIIII", 0, at >> 32, at & 0xFFFFFFFF, len(data), len(data)) + data + bytes(-len(data) % 4)))
+    return b"".join(out)

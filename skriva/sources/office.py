@@ -284,7 +284,11 @@ def read_slides(files: DataFrame) -> DataFrame:
 
 
 def speak_slides(rows: DataFrame) -> DataFrame:
-    """path and text: the deck's size, then each visible slide by number, with lines, pictures and notes."""
+    """path, text and error: the deck's size, then each visible slide by number, with lines, pictures and notes.
+
+    A deck all of whose slides are hidden, or that can't be read, has an error and no text.
+    """
+    decks = rows.groupBy("path").agg(F.max("error").alias("error"))
     seen = rows.filter("error is null and not hidden")
     w = Window.partitionBy("path")
     n = seen.select("*", F.row_number().over(w.orderBy("pos")).alias("no"), F.count("*").over(w).alias("of"))
@@ -296,4 +300,5 @@ def speak_slides(rows: DataFrame) -> DataFrame:
     said = n.select("path", "no", "of", F.concat(F.lit("\n\n"), head, F.array_join(body, ""), F.array_join(pictures, ""), notes).alias("said"))
     whole = said.groupBy("path").agg(F.max("of").alias("of"), F.sort_array(F.collect_list(F.struct("no", "said"))).alias("all"))
     size = F.when(F.col("of") == 1, F.lit("1 slide")).otherwise(F.concat(F.col("of").cast("string"), F.lit(" slides")))
-    return whole.select("path", F.concat(F.lit("Presentation with "), size, F.lit("."), F.array_join(F.transform("all", lambda x: x["said"]), "")).alias("text"))
+    text = whole.select("path", F.concat(F.lit("Presentation with "), size, F.lit("."), F.array_join(F.transform("all", lambda x: x["said"]), "")).alias("text"))
+    return decks.join(text, "path", "left").select("path", "text", F.when(F.col("text").isNull(), F.coalesce("error", F.lit("every slide is hidden"))).alias("error"))

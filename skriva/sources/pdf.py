@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import batches_of
 from ..functions.text import tidy
-from ..operators.sequences import assemble_pages, garbled
+from ..operators.sequences import assemble_pages, garbled, within_budget
 
 #: File and stream bytes, pages, nesting, form depth (fixed values).
 MOST_FILE, MOST_STREAM, MOST_PAGES, NESTING, FORMS = 128 << 20, 128 << 20, 50_000, 64, 8
+#: Bytes of text after which the pages of a file are left out; the page that passes it is kept (fixed value).
+MOST_CHARS = 16 << 20
 #: Same line under so much of the size; a gap over or under so many ems; a new line under so much (fixed values).
 SAME_LINE, GAP, BACK, NEXT_LINE = 0.4, 0.2, -1.0, 1.9
 _SPACE, _DELIM = b" \t\r\n\f\0", b"()<>[]{}/%"
@@ -633,7 +635,7 @@ def pages_of(path: str, content: bytes) -> Iterator[tuple]:
 
 def read_pdf(files: DataFrame) -> DataFrame:
     """path, text, garbled pages and, where there is no text, why: a scan, or fonts that can't be read."""
-    pages = read_pages(files)
+    pages = within_budget(read_pages(files), "path", "page_no", F.coalesce(F.octet_length("text"), F.lit(0)), MOST_CHARS)
     text = assemble_pages(pages.filter("page_no is not null"), "path")
     facts = pages.groupBy("path").agg(F.sum("dropped").alias("dropped"), F.count_if(F.length("text") >= 8).alias("with_text"), F.count_if("garbled").alias("garbled_pages"), F.max("error").alias("error"))
     why = F.when(F.col("error").isNull() & (F.col("with_text") == 0), F.when(F.col("dropped") >= 32, "fonts that do not say what their letters are").otherwise("a scan: no text")).otherwise(F.col("error"))

@@ -2,7 +2,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from skriva.functions import jobs
+from skriva.functions import jobs, text
 from skriva.sources import files, media
 
 
@@ -44,3 +44,26 @@ def test_described(spark):
     df = spark.createDataFrame([("v", 0.2, bytearray(b"x")), ("v", 61.0, bytearray(b""))], "path string, t double, payload binary")
     said = media.described(df, lambda batch: [f" {len(x)} bytes " for x in batch])
     assert media.video_transcript(said).first().text == "At the start: 1 bytes\n\n1 minute 1 second in: 0 bytes"
+
+
+def test_voices_keys_and_settings(spark):
+    lit, voices = F.lit, F.array(F.lit("a"), F.lit("b"))
+    none = F.expr("cast(array() as array<string>)")
+    got = jobs.settings(lit('{"x": 3, "z": 1}'), {"x": "1", "y": "2"})
+    row = spark.range(1).select(jobs.kept_voice(lit("b"), voices), jobs.kept_voice(lit("c"), voices), jobs.kept_voice(lit("c"), none), jobs.api_key(lit(" \n"), lit(" s ")), jobs.api_key(lit("e"), lit("s")), jobs.api_key(lit(None), lit("")), got, jobs.settings(lit("no"), {"x": "1"})).first()
+    assert tuple(row) == ("b", "a", "c", "s", "e", None, {"x": "3", "y": "2"}, {"x": "1"})
+
+
+def test_untouched(spark):
+    df = lambda *x: spark.createDataFrame([(v,) for v in x], "prompt string")
+    got = jobs.is_untouched(df("", "  ", " Say it.\n", "Say it", "own"), df("Say it.", "Sag es."))
+    assert sorted(r.prompt for r in got.collect()) == ["", "  ", " Say it.\n"]
+
+
+def test_speech_and_notes(spark, tmp_path):
+    said, made = jobs.speech(F.lit("A quay."), F.lit("Read by ElevenLabs."), [text.Rule("ElevenLabs", "Eleven Labs")])
+    assert tuple(spark.range(1).select(said, made).first()) == ("A quay.\n\nRead by Eleven Labs.", 1)
+    assert spark.range(1).select(jobs.speech(F.lit("A."), F.lit(None).cast("string"), [])[0]).first()[0] == "A."
+    df = spark.createDataFrame([("/x/a.pdf", "abc", "page 2 could not be read"), ("b.txt", "", None)], "path string, text string, caveat string")
+    jobs.write_extracted(df, str(tmp_path / "out"))
+    assert {r.path: (r.text, r.note) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"/x/a.pdf": ("abc", "a.pdf: 3 characters · page 2 could not be read"), "b.txt": ("", "b.txt: 0 characters")}

@@ -191,3 +191,14 @@ def test_archive(spark):
 
 def test_wav():
     assert files.wav_samples(files.write_wav(1, 8000, [1, -2])) == (1, 8000, [1, -2])
+
+
+#: What each of Word's pens is called (the values are fixed and stand here in full).
+PENS = "yellow yellow, green bright green, cyan turquoise, magenta pink, blue blue, red red, darkBlue dark blue, darkCyan teal, darkGreen green, darkMagenta violet, darkRed dark red, darkYellow dark yellow, darkGray grey, lightGray light grey, black black, white white"
+
+
+@pytest.mark.parametrize("pen", PENS.split(", "))
+def test_highlights(pen):
+    name, _, said = pen.partition(" ")
+    data = fixtures.formatted_file([[("a ", ""), ("b", f'<w:highlight w:val=" {name} "/>')]])
+    assert office.word_text(data, formats=True).strip() == f"a, highlighted {said}, b, end highlighted {said}"
