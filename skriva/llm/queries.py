@@ -34,15 +34,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns where crc32(doc_id as text) mod 7 is not 2; scores every row."""
-    docs = table(spark, sf_dir, "documents")
-    held_out = _fold(7) == 2
-    return lm.scores(docs, held_out, lm.fit(docs.filter(~held_out), vocabulary()), vocabulary())
+    return lm.learn_and_score(table(spark, sf_dir, "documents"), _fold(7) == 2, vocabulary())
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null or empty text: the end id alone. Empty table: no rows."""
-    folder, order = idcodec.encode(table(spark, sf_dir, "documents"), vocabulary())
-    return idcodec.digests(spark, folder, order)
+    return idcodec.digests(spark, idcodec.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
