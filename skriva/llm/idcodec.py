@@ -10,7 +10,10 @@ per document its id (int64), whether that is null (byte) and its number of ids (
 control bytes, four 2-bit lengths less one in each; then the ranks, little-endian, 1 to 4 bytes each.
 Buckets, and documents in them, ascend by doc_id (null first); equal doc_ids stand in order of their ids.
 
-Null text: empty. Empty text: the end id alone. An empty table: no files, no rows.
+A folder of ids stands alone: blocks/ holds these files and ranks/ a table of the id of each rank.
+
+Null text: empty. Empty text: the end id alone. An empty table: no files, no rows. Null doc_ids come first;
+equal rows have equal ids, one after the other. A text of any length is one document. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import os
 import struct
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from . import shared
 MAGIC = b"SKVB"
 HEAD = struct.Struct("<4s7Q")
 #: Parts whose ids a worker keeps at once, ids in a block, and blocks in a file.
-PARTS, BLOCK, PER_FILE = 500_000, 1 << 20, 16
+PARTS, BLOCK, PER_FILE = 200_000, 1 << 20, 16
 #: A part of more code points isn't kept beyond its batch.
 LONG = 200
 _WHITE = shared.SPACE.copy()
@@ -121,6 +124,16 @@ class Encoder:
         return ids, shared.row_sums(sizes, np.diff(np.searchsorted(starts, off)))
 
 
+_CODERS: dict[str, Encoder] = {}
+
+
+def coder_of(vocabulary: str) -> Encoder:
+    """The worker's own encoder: it and the parts it saw last outlive a task."""
+    if vocabulary not in _CODERS:
+        _CODERS[vocabulary] = Encoder(vocabulary)
+    return _CODERS[vocabulary]
+
+
 def white(buf: np.ndarray) -> np.ndarray:
     """Which bytes are of white space of any kind."""
     out = _WHITE[buf]
@@ -203,8 +216,8 @@ def blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndar
         yield bucket, before, [None if x else k for k, x in zip(keys, null, strict=True)], counts, unpack(control, data, n)
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, id_column: str = "doc_id", text: str = "text") -> tuple[str, list[int]]:
-    """Writes the ids of all texts, and end_id after each; returns the folder and the ids by rank.
+def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, id_column: str = "doc_id", text: str = "text", folder: str | None = None) -> str:
+    """Writes the ids of all texts, and end_id after each; returns the folder, a new one of the shared folder if none is given.
 
     At scale: one pass tokenises; its ids, packed, are a table in the shared folder, so that neither the
     count nor the sort by doc_id makes it again. What the driver gets are the counts of the vocabulary's
@@ -219,7 +232,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, id_column: str = "
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def tokens(batches):
-        coder, seen = Encoder(vocabulary), np.zeros(1 << 16, np.int64)
+        coder, seen = coder_of(vocabulary), np.zeros(1 << 16, np.int64)
         for rows, buf, off in shared.pieces(batches):
             keys = rows.column(0).to_pylist()
             ids, counts = coder.texts(buf, off)
@@ -233,7 +246,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, id_column: str = "
         k = np.flatnonzero(seen)
         yield shared.as_batch(["bucket", "doc_id", "ids", "n", "k"], [[None] * len(k), [None] * len(k), [None] * len(k), seen[k], k], kinds)
 
-    coded = shared.written(docs.mapInArrow(tokens, "bucket int, doc_id long, ids binary, n long, k long"))
+    coded = shared.written(shared.arrow(docs, tokens, "bucket int, doc_id long, ids binary, n long, k long"))
     counts = coded.filter("k is not null").groupBy("k").agg(F.sum("n").alias("n")).collect()
     order = [r.k for r in sorted(counts, key=lambda r: (-r.n, r.k))]
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
@@ -265,16 +278,24 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, id_column: str = "
                     yield from flush()
         yield from flush()
 
-    folder = shared.scratch(spark)
+    folder = folder or shared.scratch(spark)
+    table = pa.table({"rank": pa.array(range(len(order)), pa.int64()), "id": pa.array(order, pa.int64())})  # as long as the vocabulary at most
+    spark.createDataFrame(table).coalesce(1).write.parquet(f"{folder}/ranks")
     sorted_rows = coded.filter("k is null").select("bucket", "doc_id", "ids", "n").repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "ids")
-    made = sorted_rows.mapInArrow(files, "bucket int, block binary").select("bucket", F.col("block").cast("string").alias("value"))
-    made.write.partitionBy("bucket").option("maxRecordsPerFile", PER_FILE).option("compression", "none").text(folder)
-    return folder, order
+    made = shared.arrow(sorted_rows, files, "bucket int, block binary").select("bucket", F.col("block").cast("string").alias("value"))
+    made.write.partitionBy("bucket").option("maxRecordsPerFile", PER_FILE).option("compression", "none").text(f"{folder}/blocks")
+    shared.drop(coded)
+    return folder
 
 
-def read(spark: SparkSession, folder: str, order: list[int], empty: bool = False) -> DataFrame:
-    """(bucket, doc_id, start in the bucket, ids) of each document in the files."""
+def _documents(spark: SparkSession, folder: str, schema: str, made: Callable[[list[bytes]], list[list]]) -> DataFrame:
+    """bucket, doc_id, start in the bucket and what made() gives for the ids of each document in the files of a folder."""
+    order = [r.id for r in spark.read.schema("rank long, id long").parquet(f"{folder}/ranks").orderBy("rank").collect()]
+    if not order:
+        return spark.createDataFrame([], schema)
     ids_of = spark.sparkContext.broadcast(np.array(order, np.uint32))
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
     def rows(batches):
         for batch in batches:
@@ -283,24 +304,22 @@ def read(spark: SparkSession, folder: str, order: list[int], empty: bool = False
                     ids = ids_of.value[ranks].astype("<u4")
                     end = np.cumsum(counts)
                     out = [ids[e - c : e].tobytes() for e, c in zip(end.tolist(), counts.tolist(), strict=True)]
-                    yield shared.as_batch(["bucket", "doc_id", "start", "ids"], [[bucket] * len(keys), keys, before + end - counts, out], [pa.int32(), pa.int64(), pa.int64(), pa.binary()])
+                    yield shared.as_batch(names, [[bucket] * len(keys), keys, before + end - counts, *made(out)], kinds)
 
-    schema = "bucket int, doc_id long, start long, ids binary"
-    if empty:
-        return spark.createDataFrame([], schema)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
-    return content.mapInArrow(rows, schema)
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/blocks").select("content")
+    return shared.arrow(content, rows, schema)
 
 
-def digests(spark: SparkSession, folder: str, order: list[int]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(bucket, doc_id, start in the bucket, ids) of each document in the files of a folder."""
+    return _documents(spark, folder, "bucket int, doc_id long, start long, ids binary", lambda ids: [ids])
 
-    def rows(batches):
-        for b in batches:
-            ids = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(3)]
-            yield shared.as_batch(["bucket", "doc_id", "start", "n_tokens", "ids_crc32"], [b.column(0), b.column(1), b.column(2), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])
 
-    back = shared.written(read(spark, folder, order, empty=not order).mapInArrow(rows, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long"))
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
+
+    digest = lambda ids: [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]]
+    back = shared.written(_documents(spark, folder, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long", digest))
     total = back.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))  # a row for each bucket, 20,000 at most
     before = total.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
     return back.join(F.broadcast(before), "bucket").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,6 +1,8 @@
 """Each operator against a brute-force version, on texts that are null, empty, long, repeated and tied."""
 
+import dataclasses
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -177,15 +179,22 @@ def test_encoder_is_the_library():
 
 
 def test_token_ids(spark, docs, rows, nothing):
-    folder, order = idcodec.encode(docs, queries.vocabulary())
+    folder = idcodec.encode(docs, queries.vocabulary())
     library = idcodec.Encoder(queries.vocabulary()).library
     at, want = 0, []
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert sorted(tuple(r) for r in idcodec.digests(spark, folder, order).collect()) == want
-    assert idcodec.digests(spark, *idcodec.encode(nothing, queries.vocabulary())).count() == 0
+    assert sorted(tuple(r) for r in idcodec.digests(spark, folder).collect()) == want
+    # the files stand alone: another session reads them
+    assert sorted(tuple(r) for r in idcodec.digests(spark.newSession(), folder).collect()) == want
+    back = {(r.doc_id, r.start): np.frombuffer(r.ids, "<u4").tolist() for r in idcodec.read(spark, folder).collect()}
+    assert sorted(library.decode(x[:-1]) for x in back.values()) == sorted(t or "" for _, t, *_ in rows)
+    assert idcodec.digests(spark, idcodec.encode(nothing, queries.vocabulary())).count() == 0
+    odd = spark.createDataFrame([(3, "b", 1), (None, "a", 2), (None, None, 3), (3, "b", 4)], "doc_id long, text string, start int")
+    got = sorted(((r.doc_id is not None, r.start, r.n_tokens) for r in idcodec.digests(spark, idcodec.encode(odd, queries.vocabulary())).collect()), key=repr)
+    assert got == [(False, 0, 1), (False, 1, 2), (True, 3, 2), (True, 5, 2)]
 
 
 def test_quality(docs, rows, nothing):
@@ -221,45 +230,115 @@ def test_language_model(spark, docs, rows):
     count = Counter(w for i, t, *_ in rows if not held(i) for w in split[i, t])
     n, v = sum(count.values()), len(count)
     out = queries._fold(7) == 2
-    got = lm.scores(docs, out, lm.fit(docs.filter(~out), queries.vocabulary()), queries.vocabulary()).collect()
+    texts, tokens = lm.tokenised(docs, out, queries.vocabulary())
+    model, counted, total = lm.fit(texts, tokens, queries.vocabulary())
+    got = lm.scores(texts, (model, counted, total), "<u2").collect()
     want = Counter((i, held(i), len(split[i, t]), sum(count[w] > 0 for w in split[i, t]), n) for i, t, *_ in rows)
     assert Counter(tuple(r)[:5] for r in got) == want
     base = {i: sum(math.log10((count[w] + 1) / (n + v + 1)) for w in split[i, t]) for i, t, *_ in rows}
     assert all(abs(r.base_score - base[r.doc_id]) < 1e-6 * abs(base[r.doc_id]) and r.score < 0 for r in got)
-    empty = docs.limit(0)
-    assert lm.scores(docs, F.lit(True), lm.fit(empty, queries.vocabulary()), queries.vocabulary()).filter("train_tokens = 0 and n_known = 0").count() == len(rows)
-
-
-def small_model():
+    # each text's score anew: its words' ids one text at a time, mixed with the words' exact shares
+    coder = idcodec.Encoder(queries.vocabulary())
+    score = {}
+    for i, t, *_ in rows:
+        own = [coder.library.encode(" " + w, add_special_tokens=False).ids for w in split[i, t][:-1]] + [[model.end]]
+        ids = np.array([x for w in own for x in w])
+        spelt = lm.by_word(ids, np.array([len(ids)]), np.array([len(own)]), model)
+        score[i] = sum(math.log10(model.weight * count[w] / n + (1 - model.weight) * math.exp(x)) for w, x in zip(split[i, t], spelt, strict=True))
+    assert all(abs(r.score - score[r.doc_id]) < 1e-4 * abs(score[r.doc_id]) for r in got)
+    # words whose counts come by the join count as those that are broadcast
+    rare = dataclasses.replace(model, words=model.words[::3], times=model.times[::3])
+    again = {(r.doc_id, r.n_tokens): r for r in lm.scores(texts, (rare, counted, total), "<u2").collect()}
+    assert all(abs(r.score - again[r.doc_id, r.n_tokens].score) < 1e-6 * abs(r.score) and r.n_known == again[r.doc_id, r.n_tokens].n_known for r in got)
+    assert lm.learn_and_score(docs, F.lit(True), queries.vocabulary()).filter("train_tokens = 0 and n_known = 0").count() == len(rows)
+    odd = spark.createDataFrame([(None, None, 1), (None, "a b", 2), (1, "a b", 3), (1, "a b", 3), (2, " " * 40, 4)], "doc_id long, text string, score int")
+    assert sorted((r.n_tokens, r.score < 0) for r in lm.learn_and_score(odd, F.lit(False), queries.vocabulary()).collect()) == [(1, True), (1, True), (3, True), (3, True), (3, True)]
+
+
+def small_model(size=40):
     rng = np.random.default_rng(0)
-    size, c = 40, lm.CLASSES
+    c = lm.CLASSES
     pairs = np.log(rng.dirichlet(np.ones(c), c + 1))
     shape = {"E": (lm.ROWS + 1, lm.WIDTH), "Q": (lm.WIDTH, lm.WIDTH), "K": (lm.WIDTH, lm.WIDTH), "V": (lm.WIDTH, lm.WIDTH), "S": (lm.WIDTH, lm.WIDTH), "U": (lm.WIDTH, lm.TOPICS), "B": (lm.TOPICS,), "M": (c, lm.TOPICS), "R": (lm.WINDOW,)}
-    return lm.Model(size, np.minimum(np.arange(size + 1), c - 1), np.zeros(size + 1), pairs, {k: rng.normal(0, 0.5, s) for k, s in shape.items()}, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    leads = np.arange(size + 1) % 2 == 0
+    return lm.Model(size, np.minimum(np.arange(size + 1), c - 1), np.zeros(size + 1), leads, pairs, {k: rng.normal(0, 0.5, s) for k, s in shape.items()}, np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def test_model_is_causal_and_sums_to_one():
     model = small_model()
     ids = np.random.default_rng(1).integers(0, 40, 90)
-    whole = lm.logs(ids, np.array([90]), model)
+    logs = lambda ids, counts, model: lm.logs(ids, np.array(counts), model)[0]
+    whole = logs(ids, [90], model)
     changed = ids.copy()
     changed[60:] = 7
-    assert np.allclose(whole[:60], lm.logs(changed, np.array([90]), model)[:60])
-    assert np.allclose(np.concatenate([lm.logs(ids[:33], np.array([33]), model), lm.logs(ids[33:], np.array([57]), model)]), lm.logs(ids, np.array([33, 57]), model))
+    assert np.allclose(whole[:60], logs(changed, [90], model)[:60])
+    assert np.allclose(np.concatenate([logs(ids[:33], [33], model), logs(ids[33:], [57], model)]), logs(ids, [33, 57], model))
     # over all classes: ids 0..CLASSES-1, each its own class
-    model.class_of, model.inside = np.arange(lm.CLASSES), np.zeros(lm.CLASSES)
+    model.class_of, model.inside, model.leads = np.arange(lm.CLASSES), np.zeros(lm.CLASSES), np.arange(lm.CLASSES) % 3 == 0
     ends = np.stack([np.append(ids[:5], k) for k in range(lm.CLASSES)])
-    last = lm.logs(ends.reshape(-1), np.full(lm.CLASSES, 6), model).reshape(-1, 6)[:, -1]
+    got, begins = lm.logs(ends.reshape(-1), np.full(lm.CLASSES, 6), model)
+    last = got.reshape(-1, 6)[:, -1]
     assert abs(np.exp(last).sum() - 1) < 1e-3
+    where = np.flatnonzero(model.leads[ends.reshape(-1)])
+    assert np.allclose(np.exp(begins[where % 6 == 5]), np.exp(last[model.leads]).sum(), atol=1e-4)
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.5])
+def test_words_sum_to_one(weight):
+    """Over the end and all words of up to nine ids after a given text: ids 0 and 1 begin a word, 2 and 3 go on."""
+    model = small_model(4)
+    model.leads = np.array([True, True, False, False, True])
+    model.pairs[:] = -60
+    model.pairs[:, :5] = np.log(np.random.default_rng(3).dirichlet([4, 4, 1, 1, 4], lm.CLASSES + 1))
+    words = [[a, *rest] for a in (0, 1) for k in range(9) for rest in itertools.product((2, 3), repeat=k)] + [[4]]
+    texts = [[1, 2, 0, *w] + ([4] if w != [4] else []) for w in words]
+    n = np.array([3 + (w != [4]) for w in words])
+    spelt = lm.by_word(np.concatenate(texts), np.array([len(t) for t in texts]), n, model)
+    third = np.cumsum(n) - n + 2
+    share = np.array([0.25 if w in ([0], [1, 2], [4], [0, 3]) else 0.0 for w in words])
+    total = np.exp(lm.mixed_log(spelt[third], share, weight) if weight else spelt[third]).sum()
+    assert 0.99 < total < 1.0001
+
+
+def test_gradient_is_the_slope():
+    model = small_model()
+    down = lm.Descent(model)
+    rng = np.random.default_rng(2)
+    shape = (3, lm.WINDOW)
+    x, before, y, on = rng.integers(0, lm.ROWS + 1, shape), rng.integers(0, lm.CLASSES + 1, shape), rng.integers(0, lm.CLASSES, shape), rng.random(shape) < 0.8
+    p = {k: v.astype(np.float64) for k, v in down.p.items()}
+
+    def loss(p):
+        q, k, v = (p["E"][x] @ p[n] for n in ("Q", "K", "V"))
+        w = q @ k.transpose(0, 2, 1) / np.sqrt(lm.WIDTH) + p["R"][np.abs(lm._BEFORE)] + lm._CAUSAL
+        w = np.exp(w - w.max(2, keepdims=True))
+        h = np.tanh(w / w.sum(2, keepdims=True) @ v + p["E"][x] @ p["S"])
+        z = np.exp(h @ p["U"] + p["B"])
+        times = np.exp(p["M"])
+        return -(np.log((z * times[y]).sum(2) / (z * (down.share.astype(float) @ times)[before]).sum(2)) * on).sum() / on.sum()
+
+    times = np.exp(p["M"])
+    got, own, shared_ = lm.gradient(p, times, down.share @ times, x, before, y, on)
+    got["M"] = (own + down.share.T @ shared_) * times
+    for name, v in p.items():
+        at = tuple(np.array(np.unravel_index(np.abs(got[name]).argmax(), v.shape)))
+        for where in (at, tuple(rng.integers(0, s) for s in v.shape)):
+            up, low = ({**p, name: v.copy()} for _ in range(2))
+            up[name][where] += 1e-5
+            low[name][where] -= 1e-5
+            assert abs((loss(up) - loss(low)) / 2e-5 - got[name][where]) < 1e-4
 
 
 def test_training_lowers_the_loss():
     model = small_model()
-    model.params["U"] *= 0
-    ids = np.tile([1, 2, 3, 4, 9, 8, 7], 300)
-    before = lm.logs(ids, np.array([len(ids)]), model).mean()
-    lm.train(ids, np.array([len(ids)]), model, steps=80)
-    assert lm.logs(ids, np.array([len(ids)]), model).mean() > before + 0.2
+    ids = np.tile([1, 2, 3, 4, 9, 8, 7], 3000)
+    before = lm.logs(ids, np.array([len(ids)]), model)[0].mean()
+    down = lm.Descent(model)
+    for _ in range(24):
+        down.add(ids, np.array([len(ids)]), lambda i: i >= 0)
+    down.flush()
+    model.params = down.p
+    assert down.t > 40 and lm.logs(ids, np.array([len(ids)]), model)[0].mean() > before + 0.2
 
 
 def test_windows_score_each_id_once():
@@ -351,6 +430,89 @@ def test_substring_dedup_counts_every_copy(spark):
     assert got and all(got[i] == [want[i]] for i in got) and any(i % 2 for i in got)
 
 
+def similar(a, b):
+    """Whether two word lists share a passage, by sets of their segments of 46 shingles on one diagonal and beyond."""
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    x, y = grams(a), grams(b)
+    where = defaultdict(list)
+    for j, g in enumerate(y):
+        where[g].append(j)
+    for i in range(len(x) - 45):
+        for j in where.get(x[i], ()):
+            for n in (46, 52, 60, 80):
+                p, q = set(x[i : i + n]), set(y[j : j + n])
+                if i + n <= len(x) and j + n <= len(y) and 5 * len(p & q) >= 4 * len(p | q):
+                    return True
+    return False
+
+
+def test_near_passages_are_found(spark):
+    """Recall over pairs that share an edited passage, a third of them with stock text in it; strangers share the stock alone."""
+    rnd, word = random.Random(12), iter(range(10**7))
+    fresh = lambda n: [f"w{next(word)}" for _ in range(n)]
+    stock = [fresh(28) for _ in range(3)]
+    docs, pairs = [], []
+    for i in range(240):
+        own = fresh(rnd.randint(54, 140))
+        if i % 3 == 0:
+            own = own[:10] + stock[i % 9 // 3] + own[10:42]
+        other = list(own)
+        for k in range(rnd.randint(20, 40), len(own), 60):
+            other[k : k + 1] = [fresh(1), [], fresh(2)][rnd.randrange(3)]
+        a, b = fresh(rnd.randint(0, 90)) + own + fresh(rnd.randint(0, 90)), fresh(rnd.randint(0, 90)) + other + fresh(rnd.randint(0, 90))
+        pairs.append((2 * i, 2 * i + 1, similar(a, b)))
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    docs += [(1000 + i, " ".join(fresh(60) + stock[i % 3] + fresh(60))) for i in range(600)]
+    got = {r.doc_id for r in compact.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()}
+    true = [(a, b) for a, b, same in pairs if same]
+    found = sum(a in got and b in got for a, b in true)
+    assert len(true) > 150 and found >= 0.95 * len(true)
+    assert not [i for i in got if i >= 1000]
+
+
+def test_large_group_of_passages(spark):
+    """A passage in two thirds of all texts is found in each, in one partition or many; entries of its group are few."""
+    rnd = random.Random(5)
+    passage = [f"p{k}" for k in range(70)]
+    texts = [(i, " ".join([f"a{i}_{k}" for k in range(rnd.randint(0, 60))] + passage * (i % 3 > 0) + [f"b{i}_{k}" for k in range(60)])) for i in range(600)]
+    for parts in (1, 9):
+        found = compact.report(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(r.doc_id for r in found) == [i for i in range(600) if i % 3] and all(r.n_repeat_words == 70 for r in found)
+
+
+def test_passages_odd_input(spark):
+    same = " ".join(f"q{k}" for k in range(64))
+    rows = [(None, same, 1), (None, same + " x", 2), (7, same, 3), (7, None, 4), (8, "", 5), (9, "q1 q2", 6), (7, "z " * 5000, 7)]
+    got = compact.report(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()
+    assert sorted((str(r.doc_id), r.n_repeat_words) for r in got if r.n_repeat_words < 100) == [("7", 64), ("None", 64), ("None", 64)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_paired_over_batches(size):
+    rng = np.random.default_rng(size)
+    rows = sorted((int(k), int(r)) for k, r in rng.integers(0, 40, (300, 2)))
+    key, row = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    batches = [pa.record_batch({"key": key[i : i + size], "row": row[i : i + size], "room": np.full(len(key[i : i + size]), 46 << 8, np.int16)}) for i in range(0, len(key), size)]
+    got = {tuple(sorted(p)) for b in compact.paired(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    want = set()
+    for k in range(40):
+        own = row[key == k].tolist()
+        want |= {tuple(sorted((x, own[j]))) for i, x in enumerate(own) for j in {0, max(i - 1, 0)} if x != own[j]}
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 1000])
+def test_lists_of_several_over_batches(size):
+    rng = np.random.default_rng(size)
+    rows = sorted((int(k), int(s)) for k, s in rng.integers(0, 60, (150, 2)))
+    key, sig = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    part = lambda c, i: pa.array(c[i : i + size])
+    batches = [pa.record_batch([part(key, i), part(sig, i), part(sig.astype(np.int32), i), part(key.astype(np.int32), i)], toccurrence._ENTRY) for i in range(0, len(key), size)]
+    got = sorted((r["key"], r["sig"], r["n"], r["pos"], r["hub"]["sig"]) for b in toccurrence.several(iter(batches)) for r in b.to_pylist())
+    sets_of = {k: sorted(set(sig[key == k].tolist())) for k in set(key.tolist())}
+    assert got == sorted((k, s, s, k, own[0]) for k, own in sets_of.items() if len(own) > 1 for s in own)
+
+
 def test_passages_with_edits():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**60, 200).astype(np.uint64), rng.integers(0, 2**60, 150).astype(np.uint64)
