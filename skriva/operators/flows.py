@@ -66,6 +66,7 @@ def conversations(packets: DataFrame) -> DataFrame:
     )
 
 
+#: The sentences are fixed text.
 def verdict() -> Column:
     """What a TCP connection did, over a row of conversations(); empty for other protocols."""
     return F.expr("""CASE

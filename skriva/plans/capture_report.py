@@ -1,4 +1,7 @@
-"""The capture report: fixed sections of counted facts, as text by file."""
+"""The capture report: fixed sections of counted facts, as text by file.
+
+The sentences of the sections are fixed text, as are those of flows.verdict().
+"""
 
 from __future__ import annotations
 

@@ -186,10 +186,15 @@ def natural_order(spark, sf_dir):
 
 
 def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows numbered from 1 in an order, without one task that sees them all."""
+    """Rows numbered from 1 in an order, without one task that sees them all.
+
+    The ranges are a table in the shared folder, so that both who counts them and who numbers in them see the same.
+    """
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    where = shared_folder(df.sparkSession)
+    df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).write.parquet(where)
+    ranged = df.sparkSession.read.parquet(where)
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     within = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
@@ -243,14 +248,15 @@ def page_ranges(spark, sf_dir):
     return sequences.ranges(_pages(spark, sf_dir).filter("bad"), "user_id", "page")
 
 
-@query("""WITH RECURSIVE f AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), value) AS i, epoch_us(ts) / 1000000.0 AS t, value / 100 AS scene FROM events),
-k AS (SELECT event_type, i, t, t AS last, true AS kept, 1 AS n FROM f WHERE i = 1
- UNION ALL SELECT f.event_type, f.i, f.t, CASE WHEN k.n < 40 AND (f.scene >= 0.9 OR f.t - k.last >= 30000) THEN f.t ELSE k.last END, k.n < 40 AND (f.scene >= 0.9 OR f.t - k.last >= 30000), k.n + (k.n < 40 AND (f.scene >= 0.9 OR f.t - k.last >= 30000))::INTEGER FROM k JOIN f ON f.event_type = k.event_type AND f.i = k.i + 1)
-SELECT event_type, t FROM k WHERE kept""")
+@query("""WITH RECURSIVE f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), value) AS i, epoch_us(ts) / 1000000.0 AS t, value / 100 AS scene FROM events),
+k AS (SELECT user_id, i, t, t AS last, true AS kept, 1 AS n FROM f WHERE i = 1
+ UNION ALL SELECT f.user_id, f.i, f.t, CASE WHEN k.n < 40 AND (f.scene >= 0.9 OR f.t - k.last >= 30000) THEN f.t ELSE k.last END, k.n < 40 AND (f.scene >= 0.9 OR f.t - k.last >= 30000), k.n + (k.n < 40 AND (f.scene >= 0.9 OR f.t - k.last >= 30000))::INTEGER FROM k JOIN f ON f.user_id = k.user_id AND f.i = k.i + 1)
+SELECT user_id, t FROM k WHERE kept""")
 def frame_sample(spark, sf_dir):
+    """Frames kept of each video; a user's events are one."""
     t = F.expr("unix_micros(cast(ts as timestamp)) / 1000000D")
-    frames = _read(spark, sf_dir, "events").select("event_type", t.alias("t"), (F.col("value") / 100).alias("scene"))
-    return sequences.sample_frames(frames, "event_type", scene=0.9, floor=30000.0)
+    frames = _read(spark, sf_dir, "events").select("user_id", t.alias("t"), (F.col("value") / 100).alias("scene"))
+    return sequences.sample_frames(frames, "user_id", scene=0.9, floor=30000.0)
 
 
 _COLOURS = ", ".join(f"({i}, '{n}', {v >> 16}, {v >> 8 & 255}, {v & 255})" for i, (n, v) in enumerate(sequences.COLOURS.items()))
@@ -409,12 +415,12 @@ def pdf_roundtrip(spark, sf_dir):
     return pdf.read_pages(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
 
 
-@query("SELECT event_type AS path, string_agg(CASE WHEN t < 1 THEN 'At the start' ELSE (CASE WHEN t // 60 = 0 THEN s WHEN t % 60 = 0 THEN m ELSE m || ' ' || s END) || ' in' END || ': saw ' || user_id, chr(10) || chr(10) ORDER BY t, user_id::VARCHAR) AS text FROM (SELECT *, CASE t % 60 WHEN 1 THEN '1 second' ELSE (t % 60) || ' seconds' END AS s, CASE t // 60 WHEN 1 THEN '1 minute' ELSE (t // 60) || ' minutes' END AS m FROM (SELECT event_type, user_id, event_id // 7 AS t FROM events WHERE user_id % 5 > 0)) GROUP BY event_type")
+@query("SELECT 'v' || user_id AS path, string_agg(CASE WHEN t < 1 THEN 'At the start' ELSE (CASE WHEN t // 60 = 0 THEN s WHEN t % 60 = 0 THEN m ELSE m || ' ' || s END) || ' in' END || ': saw ' || event_type, chr(10) || chr(10) ORDER BY t, event_type) AS text FROM (SELECT *, CASE t % 60 WHEN 1 THEN '1 second' ELSE (t % 60) || ' seconds' END AS s, CASE t // 60 WHEN 1 THEN '1 minute' ELSE (t // 60) || ' minutes' END AS m FROM (SELECT event_type, user_id, event_id // 7 AS t FROM events WHERE user_id % 5 > 0)) GROUP BY user_id")
 def video_transcript(spark, sf_dir):
     from ..sources import media
 
-    text_ = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit(" saw "), F.col("user_id").cast("string"))).otherwise(F.lit(" \n"))
-    frames = _read(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.floor(F.col("event_id") / 7).alias("t"), text_.alias("text"))
+    text_ = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit(" saw "), F.col("event_type"))).otherwise(F.lit(" \n"))
+    frames = _read(spark, sf_dir, "events").select(F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("path"), F.floor(F.col("event_id") / 7).alias("t"), text_.alias("text"))
     return media.video_transcript(frames.withColumn("t", F.col("t").cast("double")))
 
 
