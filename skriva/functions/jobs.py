@@ -21,6 +21,17 @@ def current_model(model: Column) -> Column:
     return F.when((F.trim(F.coalesce(model, F.lit(""))) == "") | is_retired(model), F.lit(VISION_MODEL)).otherwise(model)
 
 
+def current_prompt(saved: Column, superseded: str, default: str) -> Column:
+    """A saved prompt as it is, or the default for a blank or superseded one."""
+    said = trim(F.coalesce(saved, F.lit("")))
+    return F.when((said == "") | (said == superseded.strip()), F.lit(default)).otherwise(saved)
+
+
+def current_engine(saved: Column) -> Column:
+    """A saved engine; whatever earlier versions wrote beside the cloud's two names means the system's."""
+    return F.when(saved.isin("eleven_labs", "elevenlabs"), F.lit("eleven_labs")).otherwise(F.lit("system"))
+
+
 def engine(saved: Column, has_key: Column, kind: Column, cloud_captures: Column, system_works: Column) -> Column:
     """cloud, system, missing key or unsupported. A capture stays local unless the cloud is allowed for it."""
     system = F.when(system_works, "system").otherwise("unsupported")

@@ -139,3 +139,12 @@ def within_budget(df: DataFrame, by: str, order: str, size: Column, most: int) -
     """Rows in order until their sizes pass `most`; the row that passes it is kept."""
     before = F.coalesce(F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("__before", before).filter(F.col("__before") <= most).drop("__before")
+
+
+def capped_log(df: DataFrame, by: str, order: str, line: str, most: int) -> DataFrame:
+    """Lines in order until `most` bytes are written (a line break each), then one note in place of all others."""
+    w = Window.partitionBy(by).orderBy(order)
+    before = F.coalesce(F.sum(F.octet_length(line) + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = df.withColumn("__over", before >= most).withColumn("__was", F.coalesce(F.lag("__over").over(w), F.lit(False)))
+    note = F.lit(f"\n--- log truncated: {most} bytes reached ---")
+    return told.filter(~F.col("__was")).withColumn(line, F.when(F.col("__over"), note).otherwise(F.col(line))).drop("__over", "__was")

@@ -58,6 +58,7 @@ _NAMED = [None, "fr-FR", None, None, "de", None]
 
 @query(f"""SELECT o_orderkey, {_sql('o_orderkey', _NOW)} AS model, {_sql('o_orderkey', _CLASSES)} AS failure,
  coalesce({_sql('o_orderkey', _NAMED)}, {_sql('o_custkey', _NAMED)}) AS language,
+ CASE o_orderkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'new' WHEN 2 THEN ' mine ' ELSE 'new' END AS prompt, CASE WHEN o_orderkey % 3 < 2 THEN 'eleven_labs' ELSE 'system' END AS saved_engine,
  CASE WHEN o_orderkey % 4 = 3 AND o_custkey % 2 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 'unsupported' ELSE 'system' END WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 5 = 0 THEN 'missing key' ELSE 'cloud' END ELSE CASE WHEN o_custkey % 3 = 0 THEN 'unsupported' ELSE 'system' END END AS engine,
  o_orderkey % 3 <> 1 AS voice_ok, CASE WHEN o_orderkey % 2 = 0 THEN 'https://x/' || o_orderkey ELSE 'page' END AS url, o_orderkey % 50 < 40 AS fragment,
  CASE o_orderkey % 4 WHEN 0 THEN 'british, well spoken' WHEN 1 THEN 'british' WHEN 2 THEN 'well spoken' ELSE 'premade' END AS detail,
@@ -68,6 +69,7 @@ def job_decisions(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(
         "o_orderkey", jobs.current_model(_pick("o_orderkey", _MODELS)).alias("model"), files.failure(_pick("o_orderkey", _ERRORS)).alias("failure"),
         jobs.system_language(_pick("o_orderkey", _LOCALES), _pick("o_custkey", _LOCALES)).alias("language"),
+        jobs.current_prompt(_pick("o_orderkey", [" old\n", "", " mine ", None]), "old", "new").alias("prompt"), jobs.current_engine(_pick("o_orderkey", ["eleven_labs", "elevenlabs", "auto"])).alias("saved_engine"),
         jobs.engine(F.when(o % 3 == 0, F.lit("eleven_labs")).otherwise(F.lit("system")), c % 5 > 0, F.when(o % 4 == 3, F.lit("pcap")).otherwise(F.lit("text")), c % 2 == 1, c % 3 > 0).alias("engine"),
         jobs.is_voice_id(F.concat(F.lit("Ab-1_"), F.when(o % 3 == 1, F.lit("/")).otherwise(F.lit("")), o.cast("string"))).alias("voice_ok"),
         jobs.download_url(F.array(F.lit("http://y"), F.when(o % 2 == 0, F.concat(F.lit("https://x/"), o.cast("string"))).otherwise(F.lit("ftp://z"))), "page").alias("url"),
@@ -232,6 +234,14 @@ def text_budget(spark, sf_dir):
     return sequences.within_budget(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.length("event_type"), 60).select("user_id", "event_id")
 
 
+@query("""SELECT user_id, event_id, CASE WHEN before >= 60 THEN chr(10) || '--- log truncated: 60 bytes reached ---' ELSE event_type END AS line FROM (
+ SELECT *, coalesce(lag(before) OVER (PARTITION BY user_id ORDER BY event_id) >= 60, false) AS was FROM (SELECT user_id, event_id, event_type, sum(length(event_type) + 1) OVER (PARTITION BY user_id ORDER BY event_id) - length(event_type) - 1 AS before FROM events)) WHERE NOT was""")
+def log_capped(spark, sf_dir):
+    """A log that ends in one note once its bytes are used up."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("line"))
+    return sequences.capped_log(rows, "user_id", "event_id", "line", 60)
+
+
 @query("""SELECT s_nationkey, string_agg(CASE WHEN bad THEN CASE WHEN starts THEN CASE WHEN a = b THEN '[Page ' || a ELSE '[Pages ' || a || ' to ' || b END || ' could not be read: the fonts used there do not say what their letters are.]' ELSE '' END || CASE WHEN starts AND t <> '' THEN chr(10) || chr(10) ELSE '' END || t ELSE t END, chr(10) || chr(10) ORDER BY page) AS text FROM (
  SELECT *, min(page) OVER g AS a, max(page) OVER g AS b, page = min(page) OVER g AS starts FROM (SELECT *, page - row_number() OVER (PARTITION BY s_nationkey, bad ORDER BY page) AS island FROM (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS page, s_suppkey % 3 = 0 AS bad, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE s_name END AS t FROM supplier)) WINDOW g AS (PARTITION BY s_nationkey, bad, island))
 WHERE NOT (bad AND NOT starts AND t = '') GROUP BY s_nationkey""")
