@@ -123,7 +123,7 @@ def canonical(records: DataFrame) -> DataFrame:
             if out:
                 yield shared.as_batch(["id", "pos", "part", "role", "text", "fingerprint"], list(zip(*out, strict=True)), [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()])
 
-    return records.select("id", "pos", "json").mapInArrow(rows, "id long, pos long, part int, role string, text string, fingerprint long")
+    return shared.arrow(records.select("id", "pos", "json"), rows, "id long, pos long, part int, role string, text string, fingerprint long")
 
 
 def formatted(canonical_turns: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def formatted(canonical_turns: DataFrame) -> DataFrame:
 
     have = canonical_turns.filter("part is not null").repartition("id")
     in_order = have.sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("pos").asc_nulls_first(), "part", "role", "text")
-    return in_order.select("id", "pos", "part", "role", "text").mapInArrow(rows, "id long, pos long, part int, piece string, loss_start int, loss_end int")
+    return shared.arrow(in_order.select("id", "pos", "part", "role", "text"), rows, "id long, pos long, part int, piece string, loss_start int, loss_end int")
 
 
 def digests(pieces: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def digests(pieces: DataFrame) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    return pieces.mapInArrow(rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return shared.arrow(pieces, rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def messages(conversations: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def train(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
             yield shared.as_batch(["name", "n"], [[name], [n]], [pa.string(), pa.list_(pa.int64())])
 
     labelled = docs.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("name"), F.col("text").cast("string").alias("text"))
-    rows = labelled.mapInArrow(counts, "name string, n array<long>").select("name", F.posexplode("n").alias("bucket", "n"))
+    rows = shared.arrow(labelled, counts, "name string, n array<long>").select("name", F.posexplode("n").alias("bucket", "n"))
     summed = rows.filter("n > 0").groupBy("name", "bucket").agg(F.sum("n").alias("n"))
     packed = summed.groupBy("name").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).limit(MOST_LANGUAGES + 1).toArrow().to_pylist()
     if len(packed) > MOST_LANGUAGES:
@@ -112,4 +112,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*columns, *names])
 
     schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
-    return picked.mapInArrow(rows, schema)
+    return shared.arrow(picked, rows, schema)

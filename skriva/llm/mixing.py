@@ -93,7 +93,7 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
 
     # at most `sample` short rows: small enough to broadcast and to collect
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("domain", "text")
-    got = labelled.mapInArrow(own, "domain string, words array<long>, dense array<double>").toArrow()
+    got = shared.arrow(labelled, own, "domain string, words array<long>, dense array<double>").toArrow()
     if not got.num_rows:
         return Model(domains, np.zeros(0, np.uint64), np.zeros((_DENSE + 1, len(domains))), np.ones(_DENSE))
     index = {d: i for i, d in enumerate(domains)}
@@ -147,7 +147,7 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
             yield shared.as_batch(["doc_id", "n_tokens", "p"], [own.column(0), n, list(p)], [pa.int64(), pa.int64(), pa.list_(pa.float64())])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return shared.written(picked.mapInArrow(rows, "doc_id long, n_tokens long, p array<double>"))
+    return shared.written(shared.arrow(picked, rows, "doc_id long, n_tokens long, p array<double>"))
 
 
 def fit(members: DataFrame, model: Model, weights: dict[str, float], keep_total: bool = True) -> None:
@@ -162,7 +162,7 @@ def fit(members: DataFrame, model: Model, weights: dict[str, float], keep_total:
                 own += (np.asarray(b.column(0)) * model.rates(p)) @ p
             yield shared.as_batch(["p"], [[own]], [pa.list_(pa.float64())])
 
-        made = members.select("n_tokens", "p").mapInArrow(rows, "p array<double>").select(*[F.col("p")[i].alias(f"p{i}") for i in range(d)])
+        made = shared.arrow(members.select("n_tokens", "p"), rows, "p array<double>").select(*[F.col("p")[i].alias(f"p{i}") for i in range(d)])
         return np.array([x or 0.0 for x in made.agg(*[F.sum(c).alias(c) for c in made.columns]).first()])
 
     mass = totals()
@@ -211,7 +211,7 @@ def report(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str
             p = np.array(b.column(2).to_pylist()).reshape(-1, len(model.domains))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.rates(p))], ["doc_id", "n_tokens", "p", "rate"])
 
-    rated = members.mapInArrow(rows, "doc_id long, n_tokens long, p array<double>, rate double")
+    rated = shared.arrow(members, rows, "doc_id long, n_tokens long, p array<double>, rate double")
     own = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return rated.select("doc_id", "n_tokens", *own, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
@@ -229,7 +229,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
             p = known.value.posteriors(buf, off)[1]
             yield pa.RecordBatch.from_arrays([*own.select(columns).columns, pa.array(known.value.rates(p))], [*columns, "__rate"])
 
-    rated = picked.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__rate", DoubleType())]))
+    rated = shared.arrow(picked, rows, StructType([*docs.schema.fields, StructField("__rate", DoubleType())]))
     times = copies(F.col("__rate"), F.col("doc_id"), rounding)
     return rated.withColumn("__n", times).filter("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).select(*columns)
 

@@ -146,4 +146,4 @@ def apply(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
             yield shared.as_batch(["doc_id", *BASE, "base_failed", "kept"], [rows.column(0), *(m[k] for k in BASE), failed, kept], [pa.int64()] * 6 + [pa.bool_()] * 2)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(rows, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean")
+    return shared.arrow(picked, rows, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are hashed at once; a longer document is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 19
+#: Bytes that Spark puts in a batch for Python, if the session doesn't say otherwise: ten thousand rows may be any size.
+BATCH, _BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: ASCII white space, the word separator of most contracts.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -32,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a folder of our own only where none is named."""
+    """A new path in the folder that all executors share. Where none is named, a local run has one of its own; a cluster must name it."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="skriva-")
         spark.sparkContext.setCheckpointDir(top)
         top = spark.sparkContext.getCheckpointDir()
@@ -42,11 +49,27 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes what this driver has written to the shared folder; for when all results are written elsewhere."""
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def sweep(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables of the shared folder: these, or all that this driver has written and still has there."""
+    for name in list(_MADE if paths is None else paths):
+        if name in _MADE:
+            _MADE.remove(name)
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def reads(df: DataFrame, path: str) -> bool:
+    """Whether the plan of df reads this table."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return any(path in leaves.apply(i).toString() or "LogicalRelation" in leaves.apply(i).getClass().getName() and path in leaves.apply(i).relation().location().rootPaths().toString() for i in range(leaves.size()))
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The list gets the paths of the tables written meanwhile that are still there at the end."""
+    before, out = set(_MADE), []
+    yield out
+    out.extend(p for p in _MADE if p not in before)
 
 
 def written(df: DataFrame, *by: str) -> DataFrame:
@@ -54,7 +77,38 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     path = scratch(df.sparkSession)
     out = df.write.partitionBy(*by) if by else df.write
     out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.__dict__["scratch"] = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    sweep(df.sparkSession, [df.__dict__["scratch"]])
+
+
+def arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded size; at its end a task gives its memory back, as idle workers stay beside the running ones."""
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES, None) in (None, "2147483647", "2147483647b"):
+        conf.set(_BYTES, str(BATCH))
+
+    def task(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
+def release() -> None:
+    global _POWERS
+    if len(_POWERS[0]) > PIECE + 1:
+        _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fold_of(ids: pa.Array | list, k: int) -> np.ndarray:

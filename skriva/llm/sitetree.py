@@ -166,7 +166,7 @@ def judged(pages: DataFrame) -> DataFrame:
             if out:
                 yield shared.as_batch(["host", "path", "kind", "value", "body"], list(zip(*out, strict=True)), [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()])
 
-    rows = pages.select("host", "html").mapInArrow(features, "host string, path string, kind int, value long, body long")
+    rows = shared.arrow(pages.select("host", "html"), features, "host string, path string, kind int, value long, body long")
     each = rows.groupBy("host", "path", "kind", "value", "body").agg(F.lit(1).alias("one")).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     each = shared.written(each.filter(f"kind <> 2 or c >= {(1 - LOW) * MIN_PAGES}"))
     node = each.filter("kind <> 2").groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.expr("c * ln(c)")).alias("s"))
@@ -228,4 +228,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return joined.mapInArrow(texts, schema)
+    return shared.arrow(joined, texts, schema)

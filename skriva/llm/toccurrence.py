@@ -7,10 +7,12 @@ DivideSkip, a set's T - 1 longest lists are set aside: whoever shares T shingles
 rest, so only those short lists are built, as a distributed index, and merged. The long lists are probed
 by binary search for the few candidates that the merge leaves.
 
-Sets that are equal become one node first. A list isn't expanded into its pairs: each round takes hubs
-from it (1, then 15, 240, ... in the order of their place in the list) and tests the others against them,
-unless a link already joins them. A list is done when its members are in one component or each has been
-tested against each. So every link between different sets is found or already implied by others.
+Sets that are equal become one node first, named by the set's signature. A list isn't expanded into its
+pairs: each round takes hubs from it and tests the others against them, unless a link already joins them:
+first the member with the least signature, then, as signatures are hashes, those whose signature is under
+16 / m, 256 / m, ... of their range in a list of m. No task has to see a whole list for that. A list is
+done when its members are in one component or each has been tested against each. So every link between
+different sets is found or already implied by others.
 
 Texts without words have an empty set and no links; null texts are empty. Ties in length go by hash.
 """
@@ -36,6 +38,10 @@ K, PERCENT = 4, 85
 GROUPS, ROW = 1 << 20, 1 << 12
 #: Documents that one query is run against at a time.
 BLOCK = 256
+#: Rows up to which ids are broadcast (some 100 bytes each); beyond, both sides are shuffled.
+MOST_BROADCAST = 250_000
+#: Sets that a task remembers having sent; a forgotten one is sent again and dropped later.
+SEEN = 50_000
 #: Weighs the cost of a merge against that of a binary search.
 MU = 0.01
 
@@ -100,7 +106,7 @@ def _lengths(sketch: DataFrame) -> np.ndarray:
                 total[block] = total.get(block, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
         yield shared.as_batch(["block", "counts"], [list(total), [x.tobytes() for x in total.values()]], [pa.int32(), pa.binary()])
 
-    summed = sketch.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
+    summed = shared.arrow(sketch.filter("block is not null").select("block", "counts").repartition("block"), add, "block int, counts binary")
     out = np.zeros(GROUPS, np.int64)
     for r in summed.collect():  # GROUPS numbers, whatever the input
         out[r.block * ROW : (r.block + 1) * ROW] = np.frombuffer(r.counts, np.int64)
@@ -124,15 +130,17 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
         none = [None] * len(blocks)
         yield shared.as_batch(names, [none, none, none, blocks, [count[b * ROW : (b + 1) * ROW].tobytes() for b in blocks]], kinds)
 
-    sketch = shared.written(docs.mapInArrow(sketches, "doc_id long, n long, sig long, block int, counts binary"))
+    sketch = shared.written(shared.arrow(docs, sketches, "doc_id long, n long, sig long, block int, counts binary"))
     lengths = spark.sparkContext.broadcast(_lengths(sketch))
     known = sketch.filter("block is null").select("doc_id", "n", "sig")
-    nodes = known.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    nodes = shared.written(known.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
 
     def short_lists(batches):
         seen: set[int] = set()
         for _, buf, off in shared.pieces(batches):
             out = []
+            if len(seen) > SEEN:
+                seen.clear()
             for s in sets(buf, off, k):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
@@ -142,27 +150,29 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
                 first = s[order[: n - -(-percent * n // 100) + 1]].view(np.int64)
                 out.append((first, np.full(len(first), sig), np.full(len(first), n), np.arange(len(first))))
             if out:
-                yield shared.as_batch(["key", "sig", "n", "pos"], [np.concatenate(c) for c in zip(*out, strict=True)], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+                yield shared.as_batch(_ENTRY, [np.concatenate(c) for c in zip(*out, strict=True)], _KINDS)
 
-    index = docs.mapInArrow(short_lists, "key long, sig long, n int, pos int").repartition("key")
-    place = F.struct("pos", "n", "sig")
-    shape = index.groupBy("key").agg(F.min(place).alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("m")).filter("low <> high").select("key", "hub", "m")
-    lists = shared.written(index.join(shape, "key").dropDuplicates(["key", "sig"]))
+    index = shared.arrow(docs, short_lists, "key long, sig long, n int, pos int").repartition("key").sortWithinPartitions("key", "sig")
+    lists = shared.written(shared.arrow(index, several, "key long, sig long, n int, pos int, hub struct<sig: long, n: int, pos: int>"))
     fits = F.expr(f"{100 + percent} * least(n - pos, hub.n - hub.pos) >= {percent} * (n + hub.n)")
-    first = lists.filter((F.col("sig") != F.col("hub.sig")) & fits).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()
+    first = shared.written(lists.filter((F.col("sig") != F.col("hub.sig")) & fits).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct())
+    lists = lists.select("key", "sig", "n", "pos").join(lists.groupBy("key").agg(F.count("*").alias("m")).filter("m >= 3"), "key")
     comp = components(_linked(first, docs, nodes, k, percent))
-    at, more = 1, 15
-    lists = lists.filter("m >= 3").select("key", "sig", "n", "pos")
+    at, more, last = 0, 16, None
     while True:
         named = lists.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter(f"low <> high and m >= {at + 2}")
+        split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m")).filter(f"low <> high and m > {at}")
         lists = shared.written(named.join(split.select("key"), "key"))
+        if last is not None:
+            shared.drop(last)
+        last = lists
         if lists.isEmpty():
             break
-        ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos", "n", "sig")))
-        hubs = ranked.filter((F.col("rank") > at) & (F.col("rank") <= at + more)).select("key", F.struct("pos", "n", "sig").alias("hub"), F.col("comp").alias("of"))
-        pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (place > F.col("hub")) & fits)
-        linked = _linked(pairs.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct(), docs, nodes, k, percent)
+        # a signature is a hash, so this many of a list's members are hubs, wherever they lie
+        place = F.expr("(cast(sig as double) / 18446744073709551616D + 0.5D) * m")
+        hubs = lists.filter((place >= at) & (place < at + more)).select("key", F.struct("sig", "n", "pos").alias("hub"), F.col("comp").alias("of"))
+        pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (F.col("sig") > F.col("hub.sig")) & fits)
+        linked = _linked(shared.written(pairs.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()), docs, nodes, k, percent)
         name = lambda c: linked.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
         linked = name("a")
         linked = shared.written(name("b").distinct())
@@ -171,7 +181,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
             old = comp.union(linked.select(F.col("a").alias("node"), F.col("a").alias("comp"))).union(linked.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
             comp = shared.written(old.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")))
         at, more = at + more, more * 16
-        lists = lists.select("key", "sig", "n", "pos")
+        lists = lists.select("key", "sig", "n", "pos", "m")
     of = nodes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = of.join(least, "comp").select("sig", "component_id")
@@ -179,17 +189,62 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+_ENTRY, _KINDS = ["key", "sig", "n", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_HUB = pa.struct([("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+
+
+def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of two or more sets, from entries sorted by key and signature; each entry once, with the list's first as its hub.
+
+    Of the list at a batch's end only the first entry and the last signature are kept, so a list may be of any length.
+    """
+    held = hub = last = None  # the only entry so far of a list, the first entry of a longer one, and where the batch ended
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, sig, n, pos = (np.asarray(c) for c in b.columns)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+        new[0] = last != (key[0], sig[0])
+        last = key[-1], sig[-1]
+        key, sig, n, pos = (c[new] for c in (key, sig, n, pos))
+        front = held if held is not None else None
+        if front is not None:
+            key, sig, n, pos = (np.append(np.array([x], c.dtype), c) for x, c in zip(front, (key, sig, n, pos), strict=True))
+        if not len(key):
+            continue
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        going = hub is not None and key[0] == hub[0]
+        keep = np.repeat((size > 1) | (going & (np.arange(len(size)) == 0)), size)
+        of = np.repeat(begin, size)
+        hubs = [c[of] for c in (sig, n, pos)]
+        if going:
+            for c, x in zip(hubs, hub[1:], strict=True):
+                c[: size[0]] = x
+        single = not keep[-1]
+        held = (key[-1], sig[-1], n[-1], pos[-1]) if single else None
+        if single:
+            hub = None
+        elif len(size) > 1 or not going:
+            hub = tuple(c[begin[-1]] for c in (key, sig, n, pos))
+        if keep.any():
+            struct = pa.StructArray.from_arrays([pa.array(c[keep], t.type) for c, t in zip(hubs, _HUB, strict=True)], fields=list(_HUB))
+            yield shared.as_batch([*_ENTRY, "hub"], [*(c[keep] for c in (key, sig, n, pos)), struct], [*_KINDS, _HUB])
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that are similar enough. A hub with many partners is dealt out in blocks of about BLOCK.
 
-    A text goes from its document straight to the blocks that ask for it; nothing else moves texts.
+    A text goes from its document straight to the blocks that ask for it; nothing else moves texts, unless
+    more rows ask than are broadcast.
     """
-    pairs = shared.written(pairs)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = pairs.join(blocks, "a").select("a", F.expr("pmod(xxhash64(b), blocks)").alias("salt"), "b")
     heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), F.col("a").alias("b"))
-    asked = members.union(heads).join(nodes.select(F.col("sig").alias("b"), F.col("doc_id").alias("id")), "b")
-    rows = asked.join(docs, asked.id.eqNullSafe(docs.doc_id)).select("a", "salt", "b", (F.col("a") != F.col("b")).alias("member"), "text")
+    asked = shared.written(members.union(heads).join(nodes.select(F.col("sig").alias("b"), F.col("doc_id").alias("id")), "b"))
+    few = asked.count() <= MOST_BROADCAST
+    rows = docs.join(F.broadcast(asked) if few else asked, docs.doc_id.eqNullSafe(asked.id)).select("a", "salt", "b", (F.col("a") != F.col("b")).alias("member"), "text")
 
     def verify(batches):
         group, query, ids, held, out = None, None, [], [], []
@@ -218,4 +273,4 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
             yield shared.as_batch(["a", "b"], list(zip(*out, strict=True)), [pa.int64()] * 2)
 
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    return shared.written(dealt.mapInArrow(verify, "a long, b long"))
+    return shared.written(shared.arrow(dealt, verify, "a long, b long"))
