@@ -183,8 +183,18 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """Rows of one message each as records (id, pos, json) of that layout."""
+    """Rows of one message each as records (id, pos, json), in a layout that the conversation's id chooses.
+
+    The layouts are those of sources that meet in one corpus: flat messages with text or content, and a list of
+    one message under messages or under conversations. Each comes back by its own fingerprint.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     own = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text")]
-    fields = [F.coalesce(F.col("conv_id"), F.lit(0)).alias("conv_id"), F.coalesce(F.col("turn"), F.lit(0)).alias("turn"), F.col("role"), F.col("text")]
-    return conversations.select(*own).select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.to_json(F.struct(*fields)).alias("json"))
+    one = lambda role, said: F.struct(F.col("role").alias(role), F.col("text").alias(said))
+    flat = F.struct(F.coalesce(F.col("conv_id"), F.lit(0)).alias("conv_id"), F.coalesce(F.col("turn"), F.lit(0)).alias("turn"), F.col("role"), F.col("text"))
+    layouts = [flat, one("role", "content"), F.struct(F.array(one("role", "content")).alias("messages")), F.struct(F.array(one("from", "value")).alias("conversations"))]
+    which = F.pmod(F.xxhash64("conv_id"), F.lit(len(layouts)))
+    record = F.to_json(layouts[0])
+    for i, layout in enumerate(layouts[1:], 1):
+        record = F.when(which == i, F.to_json(layout)).otherwise(record)
+    return conversations.select(*own).select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), record.alias("json"))

@@ -4,7 +4,10 @@ Text is lower-cased by code point and whatever isn't a letter counts as a space;
 points are hashed to BUCKETS buckets. Counts by language are summed over all training rows; the matrix of
 log probabilities (BUCKETS x languages, MOST_LANGUAGES at most) is broadcast and scored in numpy.
 
-Null or letterless text: und, score 0. No training rows: und for all. Ties go to the first language by name.
+Null, empty or letterless text: und, score 0. No training rows: und for all. Ties go to the first language by
+name. Equal rows count once each and get equal predictions; a text of any length is scored whole, a long one as
+a piece of its own. Other columns aren't read; those asked for come back as they are, whatever their names. More
+than MOST_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ each step so far, so a step is one aggregation and nothing but those numbers is
 that ends off its targets says so, by domain, in a warning.
 
 Null text has no tokens and the posterior of an empty text. Rows with null labels aren't learnt from. Without
-labelled rows every rate is 1. Equal rows get equal rates.
+labelled rows every rate is 1. Equal rows get equal rates; a document with several labels is learnt from once
+(the first by domain). Texts of any length are read whole. Other columns of docs come back as they are.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def fit(members: DataFrame, model: Model, weights: dict[str, float], keep_total:
     target = share * mass.sum() / share.sum() if keep_total else share * mass
     # a domain is measured by its own target, or its own tokens if it is to have none
     scale = np.where(target > 0, target, np.maximum(mass, 1e-9))
-    now, last, t, past = mass, mass, 1.0, []
+    now, last, t, past, ends = mass, mass, 1.0, [], []
     most = STEPS if keep_total else OWN_STEPS
     for _ in range(most):
         turn = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -182,12 +183,17 @@ def fit(members: DataFrame, model: Model, weights: dict[str, float], keep_total:
         last, now = now, totals()
         off = np.abs(now - target)
         past.append((off**2 / np.maximum(mass, 1e-9)).sum())
+        ends.append(now)
         if (off <= CLOSE * scale).all() or not keep_total and off.max() < CLOSE * mass.sum():
             break
         if len(past) > PATIENCE and min(past[-PATIENCE:]) > (1 - STILL) * min(past[:-PATIENCE]):
             break
         if len(past) > 1 and past[-1] > past[-2]:
             t = 1.0
+    # what came after the best step only led away from the targets
+    best = int(np.argmin(past))
+    del model.steps[best + 1 :]
+    now, off = ends[best], np.abs(ends[best] - target)
     model.residual = dict(zip(model.domains, ((now - target) / scale).tolist(), strict=True))
     if (off > CLOSE * scale).any():
         warnings.warn(f"mixing ended off its targets after {len(past)} steps, relative to each domain: {model.residual}", stacklevel=2)

@@ -10,7 +10,10 @@ comments) are never content. Articles that a page names are a prior: what is out
 importance or, too rare to judge, more text than they have.
 
 Pages of a host with equal bodies count once, so copies don't make an article look like a template.
-Null or empty html: empty text. A node on fewer than MIN_PAGES pages is too rare to judge and is kept.
+Null or empty html: empty text. A node on fewer than MIN_PAGES pages is too rare to judge and is kept. Equal rows
+each have their row of the result; ids and addresses may be null (pages without a host are one host). Html of any
+length is read whole. Ties: a value exactly at a bound is kept below LOW, removed at 1 - LOW. Other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _FURNITURE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|contentinfo|cookies?|disqus|footer|form|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-_WHITE = re.compile(r"[\s​]+")
+_WHITE = re.compile(r"\s+")
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 

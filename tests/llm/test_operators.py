@@ -97,6 +97,13 @@ def test_ngram_join(docs, rows, nothing):
     assert toccurrence.join(nothing).count() == 0
 
 
+def test_ngram_join_odd_input(spark):
+    same = "one two three four five"
+    rows = [(None, same, 1), (None, same, 2), (5, same, 3), (5, None, 4), (3, "", 5), (None, "else where", 6), (9, "z " * 20_000, 7)]
+    got = toccurrence.join(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(None, 2, 5), (None, 2, 5), (5, 2, 5), (5, 0, 5), (3, 0, 3), (None, 1, None), (9, 1, 9)])
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_divide_skip(seed):
     rnd = np.random.default_rng(seed)
@@ -224,6 +231,36 @@ def test_language(docs, nothing):
     assert {r.p for r in langid.predict(docs, langid.train(nothing), ["doc_id"], ("p", "s")).collect()} == {"und"}
 
 
+def test_language_by_counting(docs, rows):
+    """Every posterior anew: counts of hashed 2- and 3-grams of letters by language, in Python integers."""
+
+    def grams(t):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t or "")
+        for k in langid.ORDERS:
+            for i in range(len(low) - k + 1):
+                h = k
+                for c in low[i : i + k]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                yield (h * 0x85EBCA6B & 0xFFFFFFFF) >> 16
+
+    count, n = defaultdict(Counter), Counter()
+    for _, t, lang, *_ in rows:
+        if lang is not None:
+            count[lang].update(grams(t))
+            n[lang] += 1
+    size = {x: sum(c.values()) for x, c in count.items()}
+    names = sorted(n)
+    got = {(r.doc_id, r.n_words): r for r in langid.predict(docs.withColumn("n_words", F.length("text")), langid.train(docs), ["doc_id", "n_words"], ("p", "s")).collect()}
+    for i, t, *_ in rows:
+        log = [math.log(n[x] / sum(n.values())) + sum(math.log((count[x][g] + langid.SMOOTHING) / (size[x] + langid.SMOOTHING * langid.BUCKETS)) for g in grams(t)) for x in names]
+        r = got[i, None if t is None else len(t)]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.p, r.s) == ("und", 0)
+            continue
+        top = max(log)
+        assert r.p == names[log.index(top)] and abs(r.s - 1 / sum(math.exp(x - top) for x in log)) < 1e-3
+
+
 def test_language_model(spark, docs, rows):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     split = {(i, t): [*words(t), None] for i, t, *_ in rows}
@@ -369,6 +406,55 @@ def test_pages(spark):
     assert got == want and sitetree.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_by_counting(spark):
+    """Entropies, low branches and repeated texts anew, from the blocks of random pages of three hosts."""
+    rnd = random.Random(3)
+    line = lambda k: f"line {rnd.randrange(k)} says something"
+    pages = []
+    for i in range(90):
+        parts = [f"<div class=a{j}>{''.join(f'<p>{line(k)}</p>' for _ in range(rnd.randint(1, 2)))}{'<p>Always here</p>' * (k == 30)}<ul>{'<li>x</li>' * rnd.randint(1, 2)}</ul></div>" for j, k in enumerate((1, 2, 30, 10**6))]
+        pages.append((i, f"http://h{i % 3}.org/{i}", f"<body>{'<main>' if i % 3 else ''}{''.join(parts)}<p>Own {i}</p></body>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))
+    got = {tuple(r) for r in sitetree.judged(df).collect()}
+    want = set()
+    for host in ("h0.org", "h1.org", "h2.org"):
+        values, inside, outside = defaultdict(Counter), defaultdict(Counter), Counter()
+        for body in {tuple(map(tuple, sitetree.blocks(h)[0])): h for _, u, h in pages if u[7:13] == host}.values():
+            texts, nodes, named = sitetree.blocks(body)
+            by, layouts = defaultdict(list), defaultdict(list)
+            for path, t, _ in texts:
+                by[path].append(t)
+            for path, c in nodes:
+                layouts[path].append(c)
+            for path, t in by.items():
+                values[path, 0][sitetree._crc("\n".join(t))] += 1
+                inside[path].update(set(map(sitetree._crc, t)) if len(t) > 1 else ())
+            for path, c in layouts.items():
+                values[path, 1][sitetree._crc(";".join(c))] += 1
+            for path in {path for path, _, own in texts if named and not own}:
+                outside[path] += 1
+        importance, pages_of = {}, {}
+        for (path, kind), seen in values.items():
+            m = sum(seen.values())
+            entropy = -sum(c / m * math.log(c / m, m) for c in seen.values()) if m > 1 else 1.0
+            importance[path] = max(importance.get(path, 0.0), entropy)
+            pages_of[path, kind] = m
+        judged = {p: x for p, x in importance.items() if max(pages_of.get((p, 0), 0), pages_of.get((p, 1), 0)) >= sitetree.MIN_PAGES}
+        branch = defaultdict(float)
+        for path, x in judged.items():
+            parts = path.split("/")
+            for k in range(len(parts)):
+                up = "/".join(parts[: k + 1])
+                branch[up] = max(branch[up], x)
+        want |= {(host, p, 0, 0) for p, x in branch.items() if x < sitetree.LOW}
+        for path in judged:
+            m = pages_of.get((path, 0), 0)
+            if m >= sitetree.MIN_PAGES:
+                want |= {(host, path, 1, v) for c in (values[path, 0], inside[path]) for v, k in c.items() if k >= 0.7 * m and k >= 0.7 * sitetree.MIN_PAGES}
+                want |= {(host, path, 2, 0)} if outside[path] and importance[path] >= sitetree.HIGH else set()
+    assert got == want and any(r[2] == 0 for r in got) and any(r[2] == 1 for r in got)
+
+
 def test_pages_that_name_an_article(spark):
     """The tree weighs them too: a bare notice in main goes, main text beside a teaser stays."""
     html = "<body><main><div class=box><p>Read our <b>terms</b> today</p></div><p>Story {i} of the day</p><p>Repeated line</p></main></body>"
@@ -571,6 +657,27 @@ def test_mixing(spark, docs, nothing):
     assert {r.rate for r in mixing.report(made, labels.limit(0), domain, {"clean": 0.5, "toxic": 0.5}).collect()} == {1.0}
 
 
+def test_mixing_is_projected_gradient(spark, docs):
+    """The rates anew: projected gradient on all rates at once, with the model's own steps; and the residual it reports."""
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    domain, weights = F.expr(queries.DOMAIN), {"clean": 0.7, "toxic": 0.3}
+    model = mixing.learn(docs, labels, domain, list(weights))
+    members = mixing.posteriors(docs, model)
+    mixing.fit(members, model, weights)
+    rows = members.collect()
+    n, p = np.array([r.n_tokens for r in rows], float), np.array([r.p for r in rows])
+    r, last = np.ones(len(rows)), np.ones(len(rows))
+    for step, momentum in model.steps:
+        ahead = r + momentum * (r - last)
+        last, r = r, np.maximum(0, ahead - p @ step)
+        assert np.allclose(step.shape, 2)
+    assert np.allclose(r, model.rates(p)) and (r >= 0).all()
+    target = np.array([0.7, 0.3]) * n.sum()
+    assert np.allclose((r * n @ p - target) / target, [model.residual[d] for d in weights], atol=1e-6)
+    first = ((n @ p) - target) / (n @ p)
+    assert np.allclose(model.steps[0][0], first)
+
+
 def test_mixing_of_a_rare_domain(spark):
     """0.08 % of the tokens are toxic: the first step is taken all the same, for shares of its own and of all."""
     model = lambda: mixing.Model(["clean", "toxic"], np.zeros(1, np.uint64), np.ones((7, 2)), np.ones(5))
@@ -602,3 +709,18 @@ def test_sweep(spark):
     shared.sweep(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_cascade_order_is_greedy():
+    """A rule that rejects what another has already rejected comes late, however cheap."""
+    rejects = {"a": np.array([1, 1, 1, 0, 0, 0], bool), "b": np.array([1, 1, 0, 0, 0, 0], bool), "c": np.array([0, 0, 0, 1, 0, 0], bool)}
+    assert quality.greedy(rejects, {"a": 1.0, "b": 0.9, "c": 1.0}) == ["a", "c", "b"]
+    assert quality.greedy(rejects, {"a": 9.0, "b": 0.9, "c": 1.0})[0] == "b"
+
+
+def test_chat_layouts_meet_in_one_table(spark):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"{i} ### x\\ {t}") for i in range(40) for t in range(3)] + [(41, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.canonical(chat.messages(df)).collect()
+    assert len({r.fingerprint for r in made}) == 4 and all(r.fingerprint in chat.MAPPINGS for r in made)
+    assert sorted((r.id, r.pos, r.role, r.text) for r in made) == sorted((i, t, r or "", x or "") for i, t, r, x in rows)
