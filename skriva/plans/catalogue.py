@@ -46,7 +46,8 @@ def flow_top12(spark, sf_dir):
     return flows.busiest(flows.conversations(packets(spark, sf_dir))).select(*_wide(), "packets", "bytes", F.col("rank").cast("long"))
 
 
-_NAMED = ", ".join(f"({p}, '{s}')" for s, ports in flows.SERVICES.items() for p in ports)
+#: What the operator is held against (fixed values, in full).
+_NAMED = """(20, 'FTP'), (21, 'FTP'), (22, 'SSH'), (23, 'Telnet'), (25, 'email being sent'), (465, 'email being sent'), (587, 'email being sent'), (53, 'DNS'), (67, 'DHCP'), (68, 'DHCP'), (69, 'TFTP'), (80, 'HTTP'), (8080, 'HTTP'), (110, 'email being collected'), (995, 'email being collected'), (123, 'network time'), (143, 'IMAP'), (993, 'IMAP'), (161, 'SNMP'), (162, 'SNMP'), (389, 'LDAP'), (636, 'LDAP'), (443, 'HTTPS'), (8443, 'HTTPS'), (445, 'Windows file sharing'), (548, 'Apple file sharing'), (631, 'printing'), (853, 'DNS over TLS'), (1433, 'SQL Server'), (1900, 'device discovery'), (3306, 'MySQL'), (3389, 'remote desktop'), (5060, 'SIP'), (5061, 'SIP'), (5353, 'Bonjour'), (5432, 'PostgreSQL'), (6379, 'Redis'), (27017, 'MongoDB')"""
 
 
 @query(
@@ -259,7 +260,8 @@ def frame_sample(spark, sf_dir):
     return sequences.sample_frames(frames, "user_id", scene=0.9, floor=30000.0)
 
 
-_COLOURS = ", ".join(f"({i}, '{n}', {v >> 16}, {v >> 8 & 255}, {v & 255})" for i, (n, v) in enumerate(sequences.COLOURS.items()))
+#: Number, name and parts of each colour (fixed values, in full).
+_COLOURS = """(0, 'black', 0, 0, 0), (1, 'white', 255, 255, 255), (2, 'grey', 128, 128, 128), (3, 'red', 255, 0, 0), (4, 'dark red', 139, 0, 0), (5, 'orange', 255, 165, 0), (6, 'yellow', 255, 255, 0), (7, 'green', 0, 128, 0), (8, 'light green', 144, 238, 144), (9, 'blue', 0, 0, 255), (10, 'dark blue', 0, 0, 139), (11, 'light blue', 173, 216, 230), (12, 'purple', 128, 0, 128), (13, 'pink', 255, 192, 203), (14, 'brown', 165, 42, 42), (15, 'teal', 0, 128, 128)"""
 
 
 @query(f"WITH c(i, name, r, g, b) AS (VALUES {_COLOURS}), p AS (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS v FROM part) SELECT p_partkey, nullif(arg_min(name, [(((v >> 16) - r) * ((v >> 16) - r) + (((v >> 8) & 255) - g) * (((v >> 8) & 255) - g) + ((v & 255) - b) * ((v & 255) - b))::BIGINT, i]), 'black') AS colour FROM p, c GROUP BY p_partkey")
