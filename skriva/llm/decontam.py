@@ -4,7 +4,9 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. Th
 WINDOW words (an item of fewer words is one window) are a broadcast hash set keyed by the window's text, so
 a probe that finds its key has verified the hit. Documents' windows stream past it; only hits are shuffled.
 
-Null text has no words; an item without words has no window; equal rows each get their row of the result.
+Null text has no words; an item without words has no window; equal rows each get their row of the result. Ids
+may be null or repeated: a row is known by its id and text. Texts of any length are probed whole. Items whose
+windows are equal are all named. Other columns aren't read, and come back from remove() as they are.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: Windows up to which the benchmark is broadcast (some 100 bytes each); beyond, the join shuffles.
+#: Windows, each counted once for each of its items, up to which the benchmark is broadcast (some 100 bytes each);
+#: beyond, the join shuffles.
 MOST_BROADCAST = 1_000_000
 WORD, BREAK = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,18 +27,17 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(lower, f"{BREAK}+"), "")
 
 
-def windows(column: str, size: int) -> Column:
-    """The text of each window of size words, at its position from 0."""
-    last = F.size(column) - size
-    text = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(column, i, size), " "))
-    return F.when(last >= 0, text)
+def windows(column: str, size: Column) -> Column:
+    """at (from 0), size and text (w) of each window of so many words."""
+    at = F.when(F.size(column) >= size, F.sequence(F.lit(0), F.size(column) - size)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), size.alias("size"), F.array_join(F.slice(column, i + 1, size), " ").alias("w")))
 
 
 def benchmark_windows(items: DataFrame, id_column: str = "item_id", text: str = "text") -> DataFrame:
     """w, size and item_ids (as strings) of each distinct window."""
     split = items.select(F.col(id_column).cast("string").alias("item"), words(text).alias("words"))
     n = F.size("words")
-    long = split.filter(n >= WINDOW).select("item", F.explode(windows("words", WINDOW)).alias("w"), F.lit(WINDOW).alias("size"))
+    long = split.filter(n >= WINDOW).select("item", F.inline(windows("words", F.lit(WINDOW)))).select("item", "w", "size")
     short = split.filter((n > 0) & (n < WINDOW)).select("item", F.array_join("words", " ").alias("w"), n.alias("size"))
     return long.union(short).groupBy("w", "size").agg(F.collect_set("item").alias("items"))
 
@@ -43,18 +45,16 @@ def benchmark_windows(items: DataFrame, id_column: str = "item_id", text: str =
 def hits(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document with a hit: its id, the hash of its text, n_hit, items and the covered spans.
 
-    At scale: no document's text is shuffled; the rows that leave the scan are hits. The one action is a
-    count of windows by size, which has WINDOW rows at most.
+    At scale: documents are read once for all sizes and no text is shuffled; the rows that leave the scan are
+    hits. The one action is a count of windows and their items by size, which has WINDOW rows at most.
     """
     known = benchmark_windows(items)
-    sizes = {r["size"]: r["count"] for r in known.groupBy("size").count().collect()}
+    sizes = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.sum(F.size("items")).alias("n")).collect()}
     split = docs.select(F.col(id_column).alias("__id"), F.xxhash64(text).alias("__h"), words(text).alias("__words"))
     set_of = F.broadcast(known) if sum(sizes.values()) <= MOST_BROADCAST else known
-    found = None
-    for size in sorted(sizes) or [WINDOW]:
-        probe = split.select("__id", "__h", F.posexplode(windows("__words", size)).alias("at", "w"))
-        part = probe.join(set_of.filter(F.col("size") == size), "w").select("__id", "__h", "at", "size", "items")
-        found = part if found is None else found.union(part)
+    each = split.select("*", F.explode(F.array(*map(F.lit, sorted(sizes) or [WINDOW]))).alias("__size"))
+    probe = each.select("__id", "__h", F.inline(windows("__words", F.col("__size"))))
+    found = probe.join(set_of, ["w", "size"]).select("__id", "__h", "at", "size", "items")
     merged = found.groupBy("__id", "__h").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     union = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["size"] - F.greatest(a["end"], s["at"]))).alias("n")))
