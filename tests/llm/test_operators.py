@@ -371,7 +371,7 @@ def test_training_lowers_the_loss():
     ids = np.tile([1, 2, 3, 4, 9, 8, 7], 3000)
     before = lm.logs(ids, np.array([len(ids)]), model)[0].mean()
     down = lm.Descent(model)
-    for _ in range(24):
+    for _ in range(48):
         down.add(ids, np.array([len(ids)]), lambda i: i >= 0)
     down.flush()
     model.params = down.p
