@@ -319,7 +319,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
 
     digest = lambda ids: [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]]
-    back = shared.written(_documents(spark, folder, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long", digest))
+    back = shared.kept(_documents(spark, folder, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long", digest))
     total = back.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))  # a row for each bucket, 20,000 at most
     before = total.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
     return back.join(F.broadcast(before), "bucket").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

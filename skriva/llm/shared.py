@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import itertools
 import tempfile
 import uuid
@@ -51,8 +52,10 @@ def scratch(spark: SparkSession) -> str:
 
 def sweep(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Deletes tables of the shared folder: these, or all that this driver has written and still has there."""
+    here = set(_MADE)
     for name in list(_MADE if paths is None else paths):
-        if name in _MADE:
+        if name in here:
+            here.discard(name)
             _MADE.remove(name)
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -64,6 +67,12 @@ def reads(df: DataFrame, path: str) -> bool:
     return any(path in leaves.apply(i).toString() or "LogicalRelation" in leaves.apply(i).getClass().getName() and path in leaves.apply(i).relation().location().rootPaths().toString() for i in range(leaves.size()))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage, so that Spark cleans up broadcasts, shuffles and checkpoints that nothing names any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def recorded() -> Iterator[list[str]]:
     """The list gets the paths of the tables written meanwhile that are still there at the end."""
@@ -82,6 +91,22 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return back
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table of few short columns as a checkpoint, which also ends its lineage.
+
+    A task of Spark's file writers unpacks the whole Hadoop configuration; between the many small steps of a
+    graph or of a search in rounds that would be most of their work and of an executor's native memory.
+    """
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(scratch(df.sparkSession))
+    back = df.checkpoint()
+    file = back._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        back.__dict__["scratch"] = file.get()
+        _MADE.append(file.get())
+    return back
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     sweep(df.sparkSession, [df.__dict__["scratch"]])

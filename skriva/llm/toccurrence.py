@@ -14,7 +14,9 @@ first the member with the least signature, then, as signatures are hashes, those
 done when its members are in one component or each has been tested against each. So every link between
 different sets is found or already implied by others.
 
-Texts without words have an empty set and no links; null texts are empty. Ties in length go by hash.
+Texts without words have an empty set and no links; null texts are empty. Ties in length go by hash. Equal rows
+are one node and each has its row of the result; a null id stays null, and a component whose ids are all null is
+named by none. A text of any length is one set. Ids are taken as integers; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -133,7 +135,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
     sketch = shared.written(shared.arrow(docs, sketches, "doc_id long, n long, sig long, block int, counts binary"))
     lengths = spark.sparkContext.broadcast(_lengths(sketch))
     known = sketch.filter("block is null").select("doc_id", "n", "sig")
-    nodes = shared.written(known.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    nodes = shared.kept(known.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
 
     def short_lists(batches):
         seen: set[int] = set()
@@ -155,14 +157,14 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
     index = shared.arrow(docs, short_lists, "key long, sig long, n int, pos int").repartition("key").sortWithinPartitions("key", "sig")
     lists = shared.written(shared.arrow(index, several, "key long, sig long, n int, pos int, hub struct<sig: long, n: int, pos: int>"))
     fits = F.expr(f"{100 + percent} * least(n - pos, hub.n - hub.pos) >= {percent} * (n + hub.n)")
-    first = shared.written(lists.filter((F.col("sig") != F.col("hub.sig")) & fits).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct())
+    first = shared.kept(lists.filter((F.col("sig") != F.col("hub.sig")) & fits).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct())
     lists = lists.select("key", "sig", "n", "pos").join(lists.groupBy("key").agg(F.count("*").alias("m")).filter("m >= 3"), "key")
     comp = components(_linked(first, docs, nodes, k, percent))
     at, more, last = 0, 16, None
     while True:
         named = lists.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m")).filter(f"low <> high and m > {at}")
-        lists = shared.written(named.join(split.select("key"), "key"))
+        lists = shared.kept(named.join(split.select("key"), "key"))
         if last is not None:
             shared.drop(last)
         last = lists
@@ -172,15 +174,16 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
         place = F.expr("(cast(sig as double) / 18446744073709551616D + 0.5D) * m")
         hubs = lists.filter((place >= at) & (place < at + more)).select("key", F.struct("sig", "n", "pos").alias("hub"), F.col("comp").alias("of"))
         pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (F.col("sig") > F.col("hub.sig")) & fits)
-        linked = _linked(shared.written(pairs.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()), docs, nodes, k, percent)
+        linked = _linked(shared.kept(pairs.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()), docs, nodes, k, percent)
         name = lambda c: linked.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
         linked = name("a")
-        linked = shared.written(name("b").distinct())
+        linked = shared.kept(name("b").distinct())
         if not linked.isEmpty():
             merged = components(linked).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
             old = comp.union(linked.select(F.col("a").alias("node"), F.col("a").alias("comp"))).union(linked.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
-            comp = shared.written(old.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")))
+            comp = shared.kept(old.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")))
         at, more = at + more, more * 16
+        shared.tidy(spark)
         lists = lists.select("key", "sig", "n", "pos", "m")
     of = nodes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -242,7 +245,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = pairs.join(blocks, "a").select("a", F.expr("pmod(xxhash64(b), blocks)").alias("salt"), "b")
     heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), F.col("a").alias("b"))
-    asked = shared.written(members.union(heads).join(nodes.select(F.col("sig").alias("b"), F.col("doc_id").alias("id")), "b"))
+    asked = shared.kept(members.union(heads).join(nodes.select(F.col("sig").alias("b"), F.col("doc_id").alias("id")), "b"))
     few = asked.count() <= MOST_BROADCAST
     rows = docs.join(F.broadcast(asked) if few else asked, docs.doc_id.eqNullSafe(asked.id)).select("a", "salt", "b", (F.col("a") != F.col("b")).alias("member"), "text")
 
@@ -273,4 +276,4 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
             yield shared.as_batch(["a", "b"], list(zip(*out, strict=True)), [pa.int64()] * 2)
 
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    return shared.written(shared.arrow(dealt, verify, "a long, b long"))
+    return shared.kept(shared.arrow(dealt, verify, "a long, b long"))
