@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compact, decontam, divergence, idcodec, langid, lm, mixing, quality, sitetree, toccurrence
+from . import chat, compact, decontam, divergence, idcodec, langid, lm, mixing, quality, sitetree, toccurrence, wand
 from .shared import table
 
 
@@ -79,9 +79,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.report(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(wand.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 HARD = "\\### Assistant: </turn> ok"
 
-QUERIES = {"op1_mixing": op1_mixing, "op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op8_substring_dedup": op8_substring_dedup, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id, "op11_source_divergence": op11_source_divergence}
+QUERIES = {"op1_mixing": op1_mixing, "op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op8_substring_dedup": op8_substring_dedup, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id, "op11_source_divergence": op11_source_divergence, "op13_ranked_search": op13_ranked_search}
 SQL: dict[str, str] = {}
 
 SQL["op2_decontamination"] = r"""
@@ -137,3 +141,15 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+SQL["op13_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * docs) // terms AS m FROM d, s WHERE len(w) > 0),
+df AS (SELECT term, count(*) AS n, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+h AS (SELECT q.item_id, m.r, m.doc_id, sum(q.q * df.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m)))::BIGINT AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank FROM h WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+"""
