@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compact, decontam, divergence, idcodec, langid, lm, mixing, quality, sitetree, toccurrence, wand
+from . import chat, compact, decontam, divergence, idcodec, langid, lm, minhash, mixing, quality, sitetree, toccurrence, wand
 from .shared import table
 
 
@@ -79,13 +79,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.report(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.join(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.search(wand.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 HARD = "\\### Assistant: </turn> ok"
 
-QUERIES = {"op1_mixing": op1_mixing, "op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op8_substring_dedup": op8_substring_dedup, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id, "op11_source_divergence": op11_source_divergence, "op13_ranked_search": op13_ranked_search}
+QUERIES = {"op1_mixing": op1_mixing, "op7_site_style_tree": op7_site_style_tree, "op10_chat_format": op10_chat_format, "op9_ngram_join": op9_ngram_join, "op2_decontamination": op2_decontamination, "op3_lm_scoring": op3_lm_scoring, "op8_substring_dedup": op8_substring_dedup, "op4_token_ids": op4_token_ids, "op5_quality_rules": op5_quality_rules, "op6_language_id": op6_language_id, "op11_source_divergence": op11_source_divergence, "op12_minhash_dedup": op12_minhash_dedup, "op13_ranked_search": op13_ranked_search}
 SQL: dict[str, str] = {}
 
 SQL["op2_decontamination"] = r"""
@@ -153,3 +157,18 @@ h AS (SELECT q.item_id, m.r, m.doc_id, sum(q.q * df.w * ((1000000000 * tf.tf) //
 o AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank FROM h WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
 """
+
+#: Classes of documents by the Jaccard similarity of their sets of {k}-word shingles.
+_NEAR = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + {k} - 1], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {k}, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n AS x ON x.r = p.a JOIN n AS y ON y.r = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reached AS (SELECT r, r AS t FROM d UNION SELECT reached.r, l.b FROM reached JOIN l ON reached.t = l.a),
+c AS (SELECT reached.r, min(d.doc_id) AS component_id FROM reached JOIN d ON d.r = reached.t GROUP BY reached.r)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id{more}
+FROM d LEFT JOIN n USING (r) JOIN c USING (r)
+"""
+SQL["op9_ngram_join"] = _NEAR.format(k=4, more="")
+SQL["op12_minhash_dedup"] = _NEAR.format(k=5, more=", doc_id IS NOT DISTINCT FROM coalesce(component_id, doc_id) AS kept")
