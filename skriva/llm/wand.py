@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from . import shared
 from .divergence import taken
 
-BLOCK, SHARD, SPAN = 128, 16 << 20, 1024
+BLOCK, SHARD, SPAN = 128, 8 << 20, 1024
+#: Values that are packed at once.
+PACKED = 1 << 16
 #: Documents of a shard, however short they are.
 MOST_DOCS = 1 << 17
 #: Terms of items that a search holds at once (some 50 bytes each in every task); more items go in turn.
@@ -69,9 +71,11 @@ def weight(documents: int, holding: Column) -> Column:
 def packed(values: np.ndarray, widths: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """size bytes with each value's low bits from its own bit on."""
     bits = np.zeros(8 * size, np.uint8)
-    of = np.repeat(np.arange(len(values)), widths)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(widths) - widths, widths)
-    bits[at[of] + place] = (values[of] >> place) & 1
+    for i in range(0, len(values), PACKED):
+        v, w, a = (x[i : i + PACKED] for x in (values, widths, at))
+        of = np.repeat(np.arange(len(v)), w)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w)
+        bits[a[of] + place] = (v[of] >> place) & 1
     return np.packbits(bits, bitorder="little")
 
 
