@@ -11,21 +11,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from .graph import components
 
 
-def classes(lists: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, comp) of the nodes that have links. lists: key and sig, each pair once; linked: which pairs of (a, b) link."""
+def classes(lists: DataFrame, about: DataFrame, fits: Column, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, comp) of the nodes that have links.
+
+    lists: key and sig, each pair once. about: a row for each sig with what fits needs, a condition on it and on hub.*;
+    pairs that don't fit leave no join. linked: which pairs of (a, b) link.
+    """
     lists = shared.kept(lists)
-    long = shared.kept(lists.groupBy("key").agg(F.min("sig").alias("hub"), F.count("*").alias("m")).filter("m > 1"))
-    lists = shared.kept(lists.join(long, "key"))
-    pairs = lists.filter("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
-    comp = components(linked(pairs))
-    lists = lists.filter("m > 2").select("key", "sig", "m")
+    long = shared.kept(lists.groupBy("key").agg(F.min("sig").alias("least"), F.count("*").alias("m")).filter("m > 1"))
+    lists = shared.kept(lists.join(long, "key").join(about, "sig"))
+    hub = F.struct("sig", *(c for c in about.columns if c != "sig")).alias("hub")
+    pair = [F.col("hub.sig").alias("a"), F.col("sig").alias("b")]
+    comp = components(linked(lists.join(lists.filter("sig = least").select("key", hub), "key").filter((F.col("sig") != F.col("hub.sig")) & fits).select(*pair).distinct()))
+    lists = lists.filter("m > 2").drop("least")
+    columns = lists.columns
     at, more, last = 0, 16, None
     while True:
         named = lists.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -37,8 +43,8 @@ def classes(lists: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataF
         if lists.isEmpty():
             return comp
         place = F.expr("(cast(sig as double) / 18446744073709551616D + 0.5D) * m")
-        hubs = lists.filter((place >= at) & (place < at + more)).select("key", F.col("sig").alias("hub"), F.col("comp").alias("of"))
-        pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (F.col("sig") > F.col("hub"))).select(F.col("hub").alias("a"), F.col("sig").alias("b"))
+        hubs = lists.filter((place >= at) & (place < at + more)).select("key", hub, F.col("comp").alias("of"))
+        pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (F.col("sig") > F.col("hub.sig")) & fits).select(*pair)
         found = linked(pairs.distinct())
         name = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
         found = shared.kept(name(name(found, "a"), "b").distinct())
@@ -49,4 +55,4 @@ def classes(lists: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataF
             comp = shared.kept(old.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")))
         at, more = at + more, more * 16
         shared.tidy(lists.sparkSession)
-        lists = lists.select("key", "sig", "m")
+        lists = lists.select(*columns)
