@@ -8,7 +8,7 @@ different minima agree; so the agreements of a candidate pair, counted in a few
 whose estimate is below LOOSE go. What is left is confirmed on the full sets.
 
 At a similarity of exactly 0.85 a pair shares no band with probability (1 - 0.85^5)^25 = 4e-7, and falls below LOOSE,
-4.7 standard deviations lower, with some 3e-6; a more similar pair yet more rarely. Lists of a band that many sets are
+4.8 standard deviations lower, with some 1e-6; a more similar pair yet more rarely. Lists of a band that many sets are
 in go through hubs.classes(), so no list is expanded into its pairs.
 
 Texts without words have an empty set and no links; null texts are empty. Equal rows are one node and each has its row
@@ -28,9 +28,9 @@ from . import hubs, shared
 from .toccurrence import _linked, sets, signature
 
 K, PERCENT = 5, 85
-MINIMA, BANDS, ROWS, BITS = 256, 25, 5, 4
+MINIMA, BANDS, ROWS, BITS = 512, 25, 5, 4
 #: The least estimate that is looked at closer.
-LOOSE = 0.74
+LOOSE = 0.77
 #: Sets that a task remembers having sent.
 SEEN = 50_000
 WORDS = MINIMA * BITS // 64

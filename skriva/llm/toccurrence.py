@@ -117,24 +117,45 @@ def _lengths(sketch: DataFrame) -> np.ndarray:
 
 def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row of docs."""
+    known, of = classes(docs, id_column, k, percent)
+    named = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("sig", "component_id")
+    out = known.join(named, "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def surplus(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, h (the text's xxhash64) and n of the rows that one document of their class stands for; n more than one: of equal ones.
+
+    Of each class the row of the least doc_id stays, an id before none; of rows of one id that with the least h. stays
+    says whether a row of this id and text does. So rows of equal ids, or of none, with different texts are different documents.
+    """
+    known, of = classes(docs, id_column, k, percent)
+    rows = known.filter("sig is not null").groupBy("sig", "doc_id", "h").agg(F.count("*").alias("n")).join(of.select("sig", "comp"), "sig")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = rows.groupBy("comp").agg(F.min(order).alias("first"))
+    return rows.join(first, "comp").select("doc_id", "h", "n", order.eqNullSafe(F.col("first")).alias("stays")).filter("n > 1 or not stays")
+
+
+def classes(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n and sig of each row; sig, the least doc_id and comp of each set), h: the text's hash, comp: the least sig that links reach."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sketches(batches):
         count = np.zeros(GROUPS, np.uint32)
-        names, kinds = ["doc_id", "n", "sig", "block", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names, kinds = ["doc_id", "h", "n", "sig", "block", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for rows, buf, off in shared.pieces(batches):
             found = list(sets(buf, off, k))
             np.add.at(count, (np.concatenate(found) & np.uint64(GROUPS - 1)).astype(np.int64), np.uint32(1))
             none = [None] * len(found)
-            yield shared.as_batch(names, [rows.column(0), [len(s) for s in found], [signature(s) if len(s) else None for s in found], none, none], kinds)
+            yield shared.as_batch(names, [rows.column(0), rows.column(2), [len(s) for s in found], [signature(s) if len(s) else None for s in found], none, none], kinds)
         blocks = [b for b in range(GROUPS // ROW) if count[b * ROW : (b + 1) * ROW].any()]
         none = [None] * len(blocks)
-        yield shared.as_batch(names, [none, none, none, blocks, [count[b * ROW : (b + 1) * ROW].tobytes() for b in blocks]], kinds)
+        yield shared.as_batch(names, [none, none, none, none, blocks, [count[b * ROW : (b + 1) * ROW].tobytes() for b in blocks]], kinds)
 
-    sketch = shared.written(shared.arrow(docs, sketches, "doc_id long, n long, sig long, block int, counts binary"))
+    sketch = shared.written(shared.arrow(docs.withColumn("h", F.xxhash64("text")), sketches, "doc_id long, h long, n long, sig long, block int, counts binary"))
     lengths = spark.sparkContext.broadcast(_lengths(sketch))
-    known = sketch.filter("block is null").select("doc_id", "n", "sig")
+    known = sketch.filter("block is null").select("doc_id", "h", "n", "sig")
     nodes = shared.kept(known.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
 
     def short_lists(batches):
@@ -185,11 +206,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
         at, more = at + more, more * 16
         shared.tidy(spark)
         lists = lists.select("key", "sig", "n", "pos", "m")
-    of = nodes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    classes = of.join(least, "comp").select("sig", "component_id")
-    out = known.join(classes, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return known, nodes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
 
 
 _ENTRY, _KINDS = ["key", "sig", "n", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
