@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import flows, sequences
-from ..sources import archive, capture, files, media, office, packet, pdf
+from ..sources import archive, capture, capture_ranges, files, media, office, packet, pdf
 from . import fixtures
 from .events_as_packets import ORACLE as PACKETS
 from .events_as_packets import duck_address, packets
-from .registry import query, read
+from .registry import query, read, shared_folder
 
 
 def built(rows: DataFrame, make: Callable[[dict], bytes]) -> DataFrame:
@@ -35,9 +37,9 @@ def _id(name: str, prefix: str = "") -> Column:
 PER_FILE = 2048
 
 
-def capture_files(spark, sf_dir, write: Callable[[list, int], bytes], v6: bool = False) -> DataFrame:
-    """The events as frames in capture files of PER_FILE events each."""
-    rows = packets(spark, sf_dir).select(F.floor(F.col("seq") / PER_FILE).alias("g"), "seq", "at_ns", "kind", "src_key", "dst_key", "proto_num", "src_port", "dst_port", "tcp_flags", "query")
+def capture_files(spark, sf_dir, write: Callable[[list, int], bytes], v6: bool = False, per_file: int = PER_FILE) -> DataFrame:
+    """The events as frames in capture files of so many events each."""
+    rows = packets(spark, sf_dir).select(F.floor(F.col("seq") / per_file).alias("g"), "seq", "at_ns", "kind", "src_key", "dst_key", "proto_num", "src_port", "dst_port", "tcp_flags", "query")
     wide = (lambda key: b"\xfd" + bytes(11) + key) if v6 else (lambda key: key)
 
     def one(key, table):
@@ -69,6 +71,38 @@ def lookup_names(spark, sf_dir):
     return flows.queries(read_).select("query", "asked")
 
 
+#: Packets of a capture that is read in ranges, and bytes of a range: some twenty ranges a file.
+PER_LARGE, RANGE = 16_384, 1 << 16
+
+
+@query(f"SELECT part::BIGINT AS part, (row_number() OVER (PARTITION BY part ORDER BY e) - 1)::BIGINT AS seq, at_ns, src_port::BIGINT AS src_port FROM (SELECT e // {PER_LARGE} AS part, e, at_ns, CASE WHEN kind = 'ip' THEN src_port END AS src_port FROM (SELECT *, seq AS e FROM ({PACKETS}) AS p) AS x)")
+def capture_in_ranges(spark, sf_dir):
+    """Captures of both formats and byte orders in the shared folder, each read by many tasks: the packets and their numbers."""
+    folder = shared_folder(spark).removeprefix("file://")
+    forms = [lambda x: capture.write_classic(x), lambda x: capture.write_blocks(x, order=">"), lambda x: capture.write_classic(x, order=">", nano=True), capture.write_blocks]
+    made = capture_files(spark, sf_dir, lambda x, g: forms[g % 4](x), per_file=PER_LARGE)
+
+    def store(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                os.makedirs(folder, exist_ok=True)
+                name = f"{folder}/{r['path']}"
+                with open(f"{name}-{uuid.uuid4().hex}.part", "wb") as f:
+                    f.write(r["content"])
+                os.replace(f.name, name)  # whole or not at all, also where the task runs again
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    made.mapInArrow(store, "name string").count()
+    write = lambda df: _table(df, shared_folder(spark))
+    got = packet.decoded(capture_ranges.read_ranges(spark, f"{folder}/capture-*[0-9]", RANGE, write))
+    return got.filter("seq is not null").select(F.element_at(F.split("file", "-"), -1).cast("long").alias("part"), "seq", "at_ns", F.when(F.col("kind") == "ip", F.coalesce("src_port", F.lit(0))).cast("long").alias("src_port"))
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _time(s: str) -> str:
     minute, second = f"CASE {s} // 60 WHEN 1 THEN '1 minute' ELSE ({s} // 60) || ' minutes' END", f"CASE {s} % 60 WHEN 1 THEN '1 second' ELSE ({s} % 60) || ' seconds' END"
     return f"CASE WHEN {s} // 60 = 0 THEN {second} WHEN {s} % 60 = 0 THEN {minute} ELSE {minute} || ' ' || {second} END"

@@ -54,8 +54,13 @@ def _classic(f: BinaryIO, order: str, tick: int, state: dict) -> Iterator[tuple]
     head = f.read(20)
     if len(head) < 20:
         return
-    link = struct.unpack(f"{order}I", head[16:])[0] & 0xFFFF
-    while len(record := f.read(16)) == 16:
+    yield from classic_records(f, order, tick, struct.unpack(f"{order}I", head[16:])[0] & 0xFFFF, state, 24)
+
+
+def classic_records(f: BinaryIO, order: str, tick: int, link: int, state: dict, at: int, stop: float = float("inf")) -> Iterator[tuple]:
+    """The packets whose records begin from at, where f is, to before stop; state["at"] is where the next one begins."""
+    state["at"] = at
+    while state["at"] < stop and len(record := f.read(16)) == 16:
         seconds, ticks, kept, original = struct.unpack(f"{order}4I", record)
         if kept > MOST_BYTES:
             raise ValueError("damaged: a packet of impossible length")
@@ -63,6 +68,7 @@ def _classic(f: BinaryIO, order: str, tick: int, state: dict) -> Iterator[tuple]
         if len(data) < kept:
             state["truncated"] = True
             return
+        state["at"] += 16 + kept
         yield seconds * 1_000_000_000 + min(ticks * tick, 999_999_999), link, data, original
 
 
@@ -75,10 +81,20 @@ def _blocks(f: BinaryIO, state: dict) -> Iterator[tuple]:
     if total < 12 or total % 4 or total > MOST_BLOCK:
         raise ValueError("damaged: a block of impossible length")
     f.read(total - 12)
-    links: list[tuple[int, int, bool]] = []  # link type, resolution, unusable clock
-    while len(head := f.read(8)) == 8:
+    yield from block_records(f, order, [], state, total)
+
+
+def block_records(f: BinaryIO, order: str, links: list[tuple[int, int, bool]], state: dict, at: int, stop: float = float("inf")) -> Iterator[tuple]:
+    """The packets of the blocks that begin from at, where f is, to before stop.
+
+    links: link type, resolution and unusable clock of the interfaces named so far; new ones are added. state["at"] is
+    where the next block begins, state["ended"] whether another section does there.
+    """
+    state["at"] = at
+    while state["at"] < stop and len(head := f.read(8)) == 8:
         kind, total = struct.unpack(f"{order}II", head)
         if kind == 0x0A0D0D0A:
+            state["ended"] = True
             return
         if total < 12 or total % 4 or total > MOST_BLOCK:
             raise ValueError("damaged: a block of impossible length")
@@ -87,6 +103,7 @@ def _blocks(f: BinaryIO, state: dict) -> Iterator[tuple]:
             state["truncated"] = True
             return
         body = body[:-4]
+        state["at"] += total
         if kind == 1 and len(body) >= 8:
             links.append(_interface(body, order))
         elif kind == 6 and len(body) >= 20:
