@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import flows, sequences
-from ..sources import archive, capture, capture_ranges, files, media, office, packet, pdf
+from ..sources import archive, capture, capture_ranges, files, media, office, packet, pdf, table_ranges
 from . import fixtures
 from .events_as_packets import ORACLE as PACKETS
 from .events_as_packets import duck_address, packets
@@ -82,6 +82,15 @@ def capture_in_ranges(spark, sf_dir):
     forms = [lambda x: capture.write_classic(x), lambda x: capture.write_blocks(x, order=">"), lambda x: capture.write_classic(x, order=">", nano=True), capture.write_blocks]
     made = capture_files(spark, sf_dir, lambda x, g: forms[g % 4](x), per_file=PER_LARGE)
 
+    _stored(made, folder)
+    write = lambda df: _table(df, shared_folder(spark))
+    got = packet.decoded(capture_ranges.read_ranges(spark, f"{folder}/capture-*[0-9]", RANGE, write))
+    return got.filter("seq is not null").select(F.element_at(F.split("file", "-"), -1).cast("long").alias("part"), "seq", "at_ns", F.when(F.col("kind") == "ip", F.coalesce("src_port", F.lit(0))).cast("long").alias("src_port"))
+
+
+def _stored(files_: DataFrame, folder: str) -> None:
+    """Writes the files (path, content) into a folder that executors share."""
+
     def store(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -92,10 +101,20 @@ def capture_in_ranges(spark, sf_dir):
                 os.replace(f.name, name)  # whole or not at all, also where the task runs again
                 yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    made.mapInArrow(store, "name string").count()
-    write = lambda df: _table(df, shared_folder(spark))
-    got = packet.decoded(capture_ranges.read_ranges(spark, f"{folder}/capture-*[0-9]", RANGE, write))
-    return got.filter("seq is not null").select(F.element_at(F.split("file", "-"), -1).cast("long").alias("part"), "seq", "at_ns", F.when(F.col("kind") == "ip", F.coalesce("src_port", F.lit(0))).cast("long").alias("src_port"))
+    files_.mapInArrow(store, "name string").count()
+
+
+@query("""WITH c AS (SELECT c_custkey // 4096 AS part, c_custkey, c_name || ', said "' || c_mktsegment || '"' || CASE WHEN c_custkey % 2 = 0 THEN chr(13) || chr(10) ELSE chr(10) END || 'é of ' || c_nationkey AS note, c_nationkey FROM customer)
+SELECT part::BIGINT AS part, row_number() OVER (PARTITION BY part ORDER BY c_custkey) AS row_no, c_custkey::VARCHAR AS id, note, c_nationkey::VARCHAR AS nation FROM c UNION ALL SELECT DISTINCT part::BIGINT, 0, 'id', 'note', 'nation' FROM c""")
+def table_in_ranges(spark, sf_dir):
+    """Delimited files in the shared folder, each read by many tasks that cut within quoted fields of several lines."""
+    folder = shared_folder(spark).removeprefix("file://")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(';"'), "c_name", F.lit(', said ""'), "c_mktsegment", F.lit('""'), F.when(F.col("c_custkey") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n")), F.lit("é of "), F.col("c_nationkey").cast("string"), F.lit('";'), F.col("c_nationkey").cast("string"))
+    rows = read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 4096).alias("part")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("all"))
+    made = rows.select(F.concat(F.lit("table-"), F.col("part").cast("string")).alias("path"), F.concat(F.lit("id;note;nation\n"), F.array_join(F.col("all.line"), "\n")).cast("binary").alias("content"))
+    _stored(made, folder)
+    got = table_ranges.read_tables(spark, f"{folder}/table-*[0-9]", 10_000, lambda df: _table(df, shared_folder(spark)))
+    return got.select(F.element_at(F.split("path", "-"), -1).cast("long").alias("part"), "row_no", *[F.col("cells")[i].alias(c) for i, c in enumerate(("id", "note", "nation"))])
 
 
 def _table(df: DataFrame, path: str) -> DataFrame:
