@@ -53,11 +53,32 @@ def is_fragment(answer: Column) -> Column:
     return F.length(F.regexp_replace(answer, r"(?U)\A\s+|\s+\z", "")) < 40
 
 
-def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """df with unique: the name, or "stem (n).ext" from 2 for each further use, in order."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    return df.withColumn("unique", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+def unique_names(df: DataFrame, name: str, order: str, existing: DataFrame | None = None) -> DataFrame:
+    """df with unique: the name where it is first used, else "stem (n).ext" with the next n from 2 that is free.
+
+    A name is taken if a row of df or of existing (one column) has it; so no row gets the name of another. Two
+    names never lead to the same numbered one, so a name's numbers depend on the taken ones among its own: the k-th use
+    passes by the i-th of those, b, if k > b - i - 1, which a running count over both in one order gives.
+    """
+    parts = r"(?s)^(.+?)(\.[^.]*)?$"
+    stem, ext = F.regexp_extract(name, parts, 1), F.regexp_extract(name, parts, 2)
+    taken = df.select(name) if existing is None else df.select(name).union(existing)
+    there = taken.select(F.col(name).alias("__was")).distinct()
+    # a taken "stem (n).ext" with n from 2, written as it would be made, blocks n for "stem.ext"
+    made = r"(?s)^(.*) \(([1-9][0-9]{0,17})\)(\.[^.]*)?$"
+    blocked = there.select(F.concat(F.regexp_extract("__was", made, 1), F.regexp_extract("__was", made, 3)).alias(name), F.regexp_extract("__was", made, 2).try_cast("bigint").alias("__b"), "__was")
+    blocked = blocked.filter((F.col("__b") > 1) & (F.concat(stem, F.lit(" ("), F.col("__b").cast("string"), F.lit(")"), ext) == F.col("__was")))
+    i = F.row_number().over(Window.partitionBy(name).orderBy("__b"))
+    blocked = blocked.select(name, (F.col("__b") - i - 1).alias("__at"), F.lit(1).alias("__blocks"))
+    uses = df.withColumn("__k", F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1)
+    if existing is not None:
+        old = existing.toDF(name).distinct().withColumn("__old", F.lit(1))
+        uses = uses.join(old, name, "left").withColumn("__k", F.col("__k") + F.coalesce("__old", F.lit(0))).drop("__old")
+    line = uses.withColumn("__at", F.col("__k") - 1).withColumn("__blocks", F.lit(0)).unionByName(blocked, allowMissingColumns=True)
+    passed = F.sum("__blocks").over(Window.partitionBy(name).orderBy("__at", F.desc("__blocks")).rowsBetween(Window.unboundedPreceding, 0))
+    n = (F.col("__k") + 1 + F.col("__passed")).cast("string")
+    unique = F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n, F.lit(")"), ext))
+    return line.withColumn("__passed", passed).filter("__blocks = 0").withColumn("unique", unique).select(*df.columns, "unique")
 
 
 def system_language(*settings: Column) -> Column:

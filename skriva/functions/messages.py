@@ -15,7 +15,6 @@ from .arrow import batches_of
 RULES = ("one_other", "french", "polish", "russian")
 _ENTRY = re.compile(r'"((?:[^"\\]|\\.)*)("?)(.*)', re.S)
 _ESCAPES = {"n": "\n", "t": "\t", '"': '"', "\\": "\\"}
-_SLOT = re.compile(r"\{\{|\}\}|\{([^}]*)(\}?)")
 
 
 def value_of(text: str) -> tuple[str | None, str | None]:
@@ -105,34 +104,22 @@ def plural_form(forms: Column, wanted: Column) -> Column:
     return F.coalesce(get(wanted), get(F.lit("other")), get(F.lit("many")), get(F.lit("one")))
 
 
-def fill(template: str, values: dict[str, str]) -> str:
-    """{name} by its value; {{ and }} are braces; an unknown name stays as it is."""
-
-    def one(m: re.Match) -> str:
-        if m[0] in ("{{", "}}"):
-            return m[0][0]
-        return values.get(m[1], m[0])
-
-    return _SLOT.sub(one, template)
+#: What a template is cut at: a doubled brace, or an opening one up to its end.
+_SLOT = r"\{\{|\}\}|\{[^}]*\}?"
 
 
 def filled(template: Column, values: Column) -> Column:
-    """fill() by row; values is a map."""
-
-    @F.pandas_udf("string")
-    def made(t, v):
-        return t.combine(v, lambda a, b: None if a is None else fill(a, dict(b or {})))
-
-    return made(template, values)
-
-
-def filled_native(template: Column, names: list[str], values: Column) -> Column:
-    """filled() without Python, for templates whose names are known and whose values hold no braces."""
-    open_, close = "\x01", "\x02"
-    c = F.replace(F.replace(template, F.lit("{{"), F.lit(open_)), F.lit("}}"), F.lit(close))
-    for n in names:
-        c = F.coalesce(F.replace(c, F.lit(f"{{{n}}}"), F.try_element_at(values, F.lit(n))), c)
-    return F.replace(F.replace(c, F.lit(open_), F.lit("{")), F.lit(close), F.lit("}"))
+    """The template with {name} by its value in the map; {{ and }} are braces, and a name that isn't in the map stays.
+
+    The template is cut once and each slot looked up, so what values hold is never read as a slot. A name that the
+    template's end leaves open counts if it is in the map.
+    """
+    slots = F.regexp_extract_all(template, F.lit(_SLOT), F.lit(0))
+    gaps = F.split(template, _SLOT, -1)
+    name = lambda x: F.regexp_extract(x, r"^\{([^}]*)\}?$", 1)
+    one = lambda x: F.when(x == "{{", F.lit("{")).when(x == "}}", F.lit("}")).otherwise(F.coalesce(F.try_element_at(values, name(x)), x))
+    pairs = F.zip_with(slots, F.slice(gaps, F.lit(2), F.size(slots)), lambda x, gap: F.concat(one(x), gap))
+    return F.concat(gaps[0], F.array_join(pairs, ""))
 
 
 def normal_code(code: Column) -> Column:

@@ -295,12 +295,15 @@ def plural_forms(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", messages.category(F.expr(_RULE_OF), F.col("o_custkey") % 130).alias("category"))
 
 
-@query("SELECT o_orderkey, o_orderpriority || ' has {left} of ' || o_custkey || ', } {other}' AS said FROM orders")
+@query("SELECT o_orderkey, v || ' has {left} of ' || o_custkey || ', } {other}' || CASE WHEN o_orderkey % 2 = 0 THEN v ELSE '{n' || chr(10) END AS said FROM (SELECT *, CASE o_custkey % 4 WHEN 0 THEN '{n} {{x' WHEN 1 THEN '}} {what}' ELSE o_orderpriority END AS v FROM orders)")
 def template_fill(spark, sf_dir):
+    """Values that hold slots and braces of their own, and a name that the template's end leaves open."""
     from ..functions import messages
 
-    values = F.create_map(F.lit("what"), F.col("o_orderpriority"), F.lit("n"), F.col("o_custkey").cast("string"))
-    return _read(spark, sf_dir, "orders").select("o_orderkey", messages.filled_native(F.lit("{what} has {{left}} of {n}, }} {other}"), ["what", "n"], values).alias("said"))
+    what = F.expr("CASE o_custkey % 4 WHEN 0 THEN '{n} {{x' WHEN 1 THEN '}} {what}' ELSE o_orderpriority END")
+    values = F.create_map(F.lit("what"), what, F.lit("n"), F.col("o_custkey").cast("string"))
+    template = F.concat(F.lit("{what} has {{left}} of {n}, }} {other}"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("{what")).otherwise(F.lit("{n\n")))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", messages.filled(template, values).alias("said"))
 
 
 @query("SELECT c_custkey, CASE WHEN l IN ('de', 'fr') THEN l WHEN l = 'fr-ca' THEN 'fr' WHEN l = 'de_at' THEN 'de' ELSE 'en' END AS lang FROM (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr-ca' WHEN 2 THEN 'de_at' WHEN 3 THEN 'fr' ELSE 'ja' END AS l FROM customer)")

@@ -79,11 +79,16 @@ def job_decisions(spark, sf_dir):
     )
 
 
-@query("SELECT p_partkey, CASE WHEN n = 1 THEN name WHEN p_partkey % 3 = 0 THEN stem || ' (' || n || ')' ELSE stem || ' (' || n || ').mp3' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS n FROM (SELECT p_partkey, p_brand || '.' || p_size % 3 AS stem0, CASE WHEN p_partkey % 3 = 0 THEN replace(p_brand, '#', '') ELSE p_brand || '.x' END AS stem, CASE WHEN p_partkey % 3 = 0 THEN replace(p_brand, '#', '') ELSE p_brand || '.x.mp3' END AS name FROM part))")
+_NAMED = "CASE p_partkey % 5 WHEN 0 THEN replace(p_brand, '#', '') WHEN 1 THEN concat(p_brand, ' (', CAST(p_size AS {text}), ').x.mp3') WHEN 2 THEN concat(p_brand, '.x (', CAST(2 + p_size % 9 AS {text}), ').mp3') ELSE concat(p_brand, '.x.mp3') END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_NAMED.format(text="VARCHAR")} AS name FROM part), u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS k FROM p),
+x AS (SELECT name, count(*) AS n, CASE WHEN name LIKE '%.mp3' THEN name[:-5] ELSE name END AS stem, CASE WHEN name LIKE '%.mp3' THEN '.mp3' ELSE '' END AS ext FROM p GROUP BY name),
+f AS (SELECT name, made, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM (SELECT name, i, stem || ' (' || i || ')' || ext AS made FROM (SELECT *, unnest(range(2, n + 60)) AS i FROM x)) AS c WHERE made NOT IN (SELECT name FROM p))
+SELECT p_partkey, coalesce(f.made, u.name) AS name FROM u LEFT JOIN f ON f.name = u.name AND f.k = u.k""")
 def file_names(spark, sf_dir):
-    """Names made unique, with an extension (the last dot's) and without."""
-    name = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_brand", F.lit("#"), F.lit(""))).otherwise(F.concat("p_brand", F.lit(".x.mp3")))
-    return jobs.unique_names(read(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name", "p_partkey").select("p_partkey", F.col("unique").alias("name"))
+    """Names made unique, with an extension (the last dot's) and without, where some have the names that others would be given."""
+    return jobs.unique_names(read(spark, sf_dir, "part").select("p_partkey", F.expr(_NAMED.format(text="STRING")).alias("name")), "name", "p_partkey").select("p_partkey", F.col("unique").alias("name"))
 
 
 _PROMPTS = ["Describe it.", "  Describe it.\n", "Beschreibe es.", "My own prompt", "", "   ", "Describe it"]

@@ -122,7 +122,7 @@ def rows_of(text: str, delimiter: str) -> Iterator[list[str]]:
 
 
 def read_tables(files: DataFrame) -> DataFrame:
-    """path, row_no (0 is the heading), cells; any quoting, any row length."""
+    """path, row_no (0 is the heading), cells and error; any quoting, any row length. A file that is refused is one row with the reason."""
     text = F.regexp_replace(decode("content"), "^﻿", "")
 
     def parsed(batches):
@@ -132,12 +132,15 @@ def read_tables(files: DataFrame) -> DataFrame:
             for path, text, delimiter in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 yield from batches_of(((path, i, cells) for i, cells in enumerate(rows_of(text or "", delimiter or "\t"))), ["path", "row_no", "cells"], [pa.string(), pa.int64(), pa.list_(pa.string())])
 
-    have = files.filter(F.length("content") <= MOST_TEXT).select("path", text.alias("text")).withColumn("d", delimiter_of(F.col("text")))
-    return have.mapInArrow(parsed, "path string, row_no bigint, cells array<string>")
+    error = F.when(F.col("content").isNull(), F.lit("cannot be read")).when(F.length("content") > MOST_TEXT, F.lit("too large"))
+    told = files.select("path", F.col("content"), error.alias("error"))
+    have = told.filter("error is null").select("path", text.alias("text")).withColumn("d", delimiter_of(F.col("text")))
+    rows = have.mapInArrow(parsed, "path string, row_no bigint, cells array<string>").withColumn("error", F.lit(None).cast("string"))
+    return rows.unionByName(told.filter("error is not null").select("path", "error"), allowMissingColumns=True)
 
 
 def speak_tables(rows: DataFrame) -> DataFrame:
-    """path and text: the table's size, then each row's cells under their headings.
+    """path and text: the table's size, then each row's cells under their headings; files that were refused have none.
 
     A file's narration is one value; its rows are sorted where they meet, in the file's own group.
     """

@@ -84,19 +84,24 @@ def read_images(files: DataFrame) -> DataFrame:
     Resizing itself needs a picture library and is left to the caller; a file of unknown kind passes as it is.
     """
 
+    names = ["path", "payload", "width", "height", "orientation", "lat", "lon", "error"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+
     def rows(batches):
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         for b in batches:
-            got = [(p, header(c.as_py() or b"")) for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            out = [(p, h.get("width"), h.get("height"), h.get("orientation"), h.get("lat"), h.get("lon")) for p, h in got]
-            yield from batches_of(out, ["path", "width", "height", "orientation", "lat", "lon"], kinds)
-
-    small = files.filter(F.length("content") <= MOST_BYTES)
-    facts = small.select("path", "content").mapInArrow(rows, "path string, width int, height int, orientation int, lat double, lon double")
+            out = []
+            for path, content, payload, error in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                h = {} if error else header(content.as_py())
+                out.append((path, payload, h.get("width"), h.get("height"), h.get("orientation"), h.get("lat"), h.get("lon"), error))
+            yield from batches_of(out, names, kinds)
+
+    # a picture that is refused is a row with the reason, and isn't shipped
+    error = F.when(F.col("content").isNull(), F.lit("cannot be read")).when(F.length("content") > MOST_BYTES, F.lit("too large"))
+    fits = files.select("path", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+    facts = fits.select("path", "content", F.base64("content").alias("payload"), "error").mapInArrow(rows, "path string, payload string, width int, height int, orientation int, lat double, lon double, error string")
     turn = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TURNS.items() for x in kv]), F.col("orientation")), F.lit("upright"))
     anew = (F.greatest("width", "height") > 2048) | (F.coalesce("orientation", F.lit(1)) != 1)
-    sized = facts.select("path", "width", "height", "lat", "lon", turn.alias("turn"), fit_within(F.col("width"), F.col("height")).alias("send"), F.coalesce(anew, F.lit(False)).alias("anew"))
-    return sized.join(small.select("path", F.base64("content").alias("payload")), "path")
+    return facts.select("path", "width", "height", "lat", "lon", F.when(F.col("error").isNull(), turn).alias("turn"), fit_within(F.col("width"), F.col("height")).alias("send"), F.coalesce(anew, F.lit(False)).alias("anew"), "payload", "error")
 
 
 def is_photo(path: Column) -> Column:

@@ -1,8 +1,10 @@
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
-from skriva.functions import jobs, text
+from skriva.functions import jobs, messages, text
 from skriva.sources import files, media
 
 
@@ -23,6 +25,41 @@ def test_unique_names(spark):
     assert [r.unique for r in jobs.unique_names(df, "name", "i").orderBy("i").collect()] == ["a.wav", "a (2).wav", "b", "b (2)"]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_unique_names_are_unique(spark, seed):
+    rnd = random.Random(seed)
+    names = [rnd.choice(["a", "b.x"]) + "".join(rnd.choice(["", " (2)", f" ({rnd.randrange(1, 9)})"]) for _ in range(2)) + rnd.choice(["", ".mp3"]) for _ in range(150)] + ["a (2)", "a (02)", "n\nm", "n\nm", " (2)", "", "", ".mp3", ".mp3", " (2).mp3", "a.b", "a.b", "a.b (2)"]
+    old = {"a.mp3", "a (4).mp3", "b.x (2)"} if seed % 2 else set()
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = [r.unique for r in jobs.unique_names(df, "name", "i", spark.createDataFrame([(x,) for x in old], "name string") if old else None).orderBy("i").collect()]
+    assert len(set(got)) == len(names) and not set(got) & old
+    given, want = set(), []
+    for name in names:
+        if name not in given | old:
+            want.append(name)
+        else:
+            stem, dot, ext = name.rpartition(".") if "." in name[1:] else (name, "", "")
+            want.append(next(x for n in range(2, 999) if (x := f"{stem} ({n}){dot}{ext}") not in given | old | set(names)))
+        given.add(want[-1])
+    assert got == want
+
+
+def test_refused_files_are_rows(spark):
+    files_ = spark.createDataFrame([("a.csv", bytearray(b"h\n1")), ("b.csv", None)], "path string, content binary")
+    assert sorted((r.path, r.cells, r.error) for r in files.read_tables(files_).collect()) == [("a.csv", ["1"], None), ("a.csv", ["h"], None), ("b.csv", None, "cannot be read")]
+    assert [r.path for r in files.speak_tables(files.read_tables(files_)).collect()] == ["a.csv"]
+    twice = spark.createDataFrame([("p", bytearray(b"x")), ("p", bytearray(b"y")), ("q", None)], "path string, content binary")
+    assert sorted((r.path, r.payload or "", r.error) for r in media.read_images(twice).collect()) == [("p", "eA==", None), ("p", "eQ==", None), ("q", "", "cannot be read")]
+
+
+def test_values_are_not_read_as_slots(spark):
+    rows = [("{a}-{b}", "{b} {{x", "B", "{b} {{x-B"), ("{{a}} {c} }}{a", "1", "2", "{a} {c} }1"), ("", "1", "2", ""), ("{a{b}", "1", "2", "{a{b}"), ("{b}{b}", "1", "$0\\", "$0\\$0\\"), (None, "1", "2", None)]
+    df = spark.createDataFrame(rows, "t string, a string, b string, want string")
+    got = df.select("want", messages.filled(F.col("t"), F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+
 def picture(orientation=6):
     gps = struct.pack("<H", 4) + b"".join(struct.pack("<HHI4s", *e) for e in ((1, 2, 2, b"S\0\0\0"), (2, 5, 3, struct.pack("<I", 120)), (3, 2, 2, b"E\0\0\0"), (4, 5, 3, struct.pack("<I", 144)))) + bytes(4)
     first = struct.pack("<H", 2) + struct.pack("<HHIHH", 0x112, 3, 1, orientation, 0) + struct.pack("<HHII", 0x8825, 4, 1, 38) + bytes(4)

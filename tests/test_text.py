@@ -129,5 +129,6 @@ def test_language_file():
     assert sorted(line for _, _, line, what in got if what) == [5, 6, 7, 8, 9, 10]
 
 
-def test_fill():
-    assert messages.fill("{a} {{a}} {b} {a", {"a": "1"}) == "1 {a} {b} 1"
+def test_fill(spark):
+    row = spark.range(1).select(messages.filled(F.lit("{a} {{a}} {b} {a"), F.create_map(F.lit("a"), F.lit("1"))).alias("said"))
+    assert row.head().said == "1 {a} {b} 1"
