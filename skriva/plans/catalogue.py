@@ -109,6 +109,25 @@ def flow_capped(spark, sf_dir):
     return flows.capped(packets(spark, sf_dir), _CAP).drop("file")
 
 
+@query(_capped_sql())
+def flow_capped_stream(spark, sf_dir):
+    """The same from a stream over the packets as files, in four batches that hold them in no order."""
+    from ..streaming.bounded import capped_stream
+
+    where = shared_folder(spark)
+    rows = packets(spark, sf_dir)
+    rows.repartition(4, F.xxhash64("seq")).write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+
+    def keep(batch, epoch):
+        batch.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{where}/out/{epoch}")  # the same, where a batch runs again
+
+    q = capped_stream(stream, _CAP).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema("file string, kind string, held long, overflow long, settled boolean, batch long").parquet(f"{where}/out/*")
+    return out.groupBy("file", "kind").agg(F.max_by(F.struct("held", "overflow"), "batch").alias("x")).select("kind", "x.held", "x.overflow")
+
+
 # --- text -----------------------------------------------------------------------------------------------------------
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
