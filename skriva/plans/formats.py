@@ -88,6 +88,35 @@ def capture_in_ranges(spark, sf_dir):
     return got.filter("seq is not null").select(F.element_at(F.split("file", "-"), -1).cast("long").alias("part"), "seq", "at_ns", F.when(F.col("kind") == "ip", F.coalesce("src_port", F.lit(0))).cast("long").alias("src_port"))
 
 
+@query(f"""SELECT {duck_address('low')} AS low_addr, {duck_address('high')} AS high_addr, proto_num::BIGINT AS proto_num, count(*) AS packets, min(at_ns) AS first_ns, max(at_ns) AS last_ns
+FROM (SELECT least(src_num, dst_num) AS low, greatest(src_num, dst_num) AS high, proto_num, at_ns FROM ({PACKETS}) AS p WHERE kind = 'ip') AS d GROUP BY ALL""")
+def capture_stream_conversations(spark, sf_dir):
+    """Conversations in update mode over captures that grow: the stream reads half of each file's bytes, is started anew and reads the rest."""
+    from ..sources.capture_stream import CaptureStream
+    from ..streaming.flows import streaming_conversations
+
+    spark.dataSource.register(CaptureStream)
+    where = shared_folder(spark)
+    folder = f"{where}/in".removeprefix("file://")
+    made = _table(capture_files(spark, sf_dir, classic, per_file=PER_LARGE), f"{where}/files")
+
+    def keep(batch, epoch):
+        batch.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{where}/out/{epoch}")  # the same, where a batch runs again
+
+    for content in (F.expr("substring(content, 1, cast(length(content) / 2 as int))"), F.col("content")):
+        _stored(made.select("path", content.alias("content")), folder)
+        stream = packet.decoded(spark.readStream.format("capture_stream").option("rangeBytes", RANGE).load(folder))
+        q = streaming_conversations(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(once=True).start()
+        q.awaitTermination()
+    key = ["file", "low_addr", "low_port", "high_addr", "high_port", "proto_num"]
+    newest = spark.read.parquet(f"{where}/out/*").groupBy(*key).agg(F.max_by(F.struct("packets", "first_ns", "last_ns"), "batch").alias("x")).select(*key, "x.*")
+    ends = newest.groupBy(F.least("low_addr", "high_addr").alias("a"), F.greatest("low_addr", "high_addr").alias("b"), F.col("proto_num").cast("long").alias("proto_num"))
+    total = ends.agg(F.sum("packets").alias("packets"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"))
+    number = lambda c: F.aggregate(F.transform(F.split(c, r"\."), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda n, x: n * 256 + x)
+    ordered = number("a") <= number("b")
+    return total.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("low_addr"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("high_addr"), "proto_num", "packets", "first_ns", "last_ns")
+
+
 def _stored(files_: DataFrame, folder: str) -> None:
     """Writes the files (path, content) into a folder that executors share."""
 

@@ -6,7 +6,8 @@ reading packets; a record that is cut at the file's end waits. The executors rea
 for each rangeBytes. Options: path (file or folder that driver and executors see), rangeBytes.
 
 Rows are those of capture.SCHEMA. A file that is damaged, no capture or at the limit of packets says so in one row and ends
-there; another section ends a file too. Files only grow: one that is written anew, or goes, gives nothing more.
+there; another section ends a file too. Fewer than 24 bytes wait for more. In a folder, names that begin with . or _ or end
+in .part are files that someone still writes, and are left. Files only grow: one that is written anew, or goes, gives nothing more.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ class _Reader(DataSourceStreamReader):
 
     def latestOffset(self):
         folder = os.path.isdir(self.path)
-        found = sorted(os.path.join(d, name) for d, _, names in os.walk(self.path) for name in names) if folder else [self.path]
+        found = sorted(os.path.join(d, name) for d, _, names in os.walk(self.path) for name in names if name[0] not in "._" and not name.endswith(".part")) if folder else [self.path]
         for p in found:
             if os.path.isfile(p):
                 at = advance(p, self.now.get(p, _FRESH))
