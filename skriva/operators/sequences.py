@@ -9,8 +9,6 @@ from ..functions.text import fold_ascii, natural_key
 
 #: A page is garbled from so many lost glyphs and so many percent (fixed values); tracks of one archive.
 GLYPHS, PERCENT, TRACKS, TRACK_BYTES = 32, 25, 500, 256 << 20
-#: Scene change, seconds between frames, frames (fixed values).
-SCENE, FLOOR, FRAMES, MOST_FRAMES = 0.4, 30.0, 40, 200
 PLAYABLE = ("mp3", "wav", "wave")
 #: Colours by name (fixed values); the first of equally near ones counts, black says nothing.
 COLOURS = {
@@ -60,22 +58,6 @@ def ranges(df: DataFrame, by: str, number: str) -> DataFrame:
     return rows.select(by, F.concat(head, F.array_join(F.transform("all", lambda x: x["t"]), ", ")).alias("said"))
 
 
-def sample_frames(frames: DataFrame, by: str, scene: float = SCENE, floor: float = FLOOR, most: int = FRAMES) -> DataFrame:
-    """by, t of the frames kept: the first, then each with a scene change or so long after the last kept.
-
-    Which frame is next depends on the last one kept, so it is a fold over a video's frames in time.
-    """
-    most = max(1, min(most, MOST_FRAMES))
-    rows = frames.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("t", "scene"))).alias("all"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr("cast(array() as array<double>)").alias("out"))
-
-    def step(acc, x):
-        take = (F.size(acc["out"]) < most) & (acc["last"].isNull() | (x["scene"] >= scene) | (x["t"] - acc["last"] >= floor))
-        return F.when(take, F.struct(x["t"].alias("last"), F.concat(acc["out"], F.array(x["t"])).alias("out"))).otherwise(acc)
-
-    return rows.select(by, F.explode(F.aggregate("all", start, step)["out"]).alias("t"))
-
-
 def nearest_colour(rgb: Column) -> Column:
     """Name of the nearest colour to 0xRRGGBB, null for black or what isn't a colour."""
     part = lambda c, s: F.shiftright(c, s).bitwiseAND(255)

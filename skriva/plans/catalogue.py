@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spoken, text
-from ..operators import flows, sequences
+from ..operators import flows, frame_chain, sequences
 from .events_as_packets import ORACLE as PACKETS
 from .events_as_packets import duck_address, packets
-from .registry import QUERIES, SQL, query, shared_folder
+from .registry import QUERIES, SQL, query, shared_folder, written
 from .registry import read as _read
 
 # --- captures -------------------------------------------------------------------------------------------------------
@@ -276,7 +276,7 @@ def frame_sample(spark, sf_dir):
     """Frames kept of each video; a user's events are one."""
     t = F.expr("unix_micros(cast(ts as timestamp)) / 1000000D")
     frames = _read(spark, sf_dir, "events").select("user_id", t.alias("t"), (F.col("value") / 100).alias("scene"))
-    return sequences.sample_frames(frames, "user_id", scene=0.9, floor=30000.0)
+    return frame_chain.sample_frames(frames, "user_id", written, scene=0.9, floor=30000.0)
 
 
 #: Number, name and parts of each colour (fixed values, in full).
