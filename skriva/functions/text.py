@@ -16,6 +16,8 @@ CELL_ENDS, LINE_ENDS, UNIT_ENDS = ".!?", ".!?:;,", ".!?。！？\n"
 #: Chunk and neighbour sizes, in characters, and the shortest secret worth hiding (fixed values).
 CHUNK, NEIGHBOUR, SECRET = 4500, 300, 12
 WORD_CHARS = r"[\p{IsAlphabetic}\p{N}'’]"
+#: The same to look behind for: Java steps back by code units, and a letter may be two of them.
+WORD_BEFORE = WORD_CHARS + "{1,2}"
 _TRIM = r"(?U)\A\s+|\s+\z"
 
 
@@ -53,7 +55,7 @@ class Rule:
     @property
     def pattern(self) -> str:
         quoted = "".join(c if c.isalnum() else "\\" + c if ord(c) < 128 else c for c in self.find.strip())
-        return f"(?iu)(?<!{WORD_CHARS}){quoted}(?!{WORD_CHARS})" if self.whole_word else f"(?iu){quoted}"
+        return f"(?iu)(?<!{WORD_BEFORE}){quoted}(?!{WORD_CHARS})" if self.whole_word else f"(?iu){quoted}"
 
 
 def _bound(value: Column, body) -> Column:

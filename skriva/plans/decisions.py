@@ -6,10 +6,10 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import jobs, messages, spoken, text
-from ..operators import reuse, sequences
+from ..operators import replacements, reuse, sequences
 from ..sources import files, media
 from . import capture_report
-from .registry import query, read, shared_folder
+from .registry import query, read, shared_folder, written
 
 
 def _pick(n: str, values: list) -> Column:
@@ -281,6 +281,22 @@ def replace_chain(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", said.alias("said"))
 
 
+@query(r"""WITH RECURSIVE w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS find FROM documents),
+r AS (SELECT find, coalesce(lead(find) OVER (PARTITION BY left(find, 1) ORDER BY find), '') AS said, md5(find) AS position FROM w WHERE md5(find) < '1'),
+c AS (SELECT find AS start, said, position, 1 AS n FROM r UNION ALL SELECT c.start, r.said, r.position, c.n + 1 FROM c JOIN r ON r.find = c.said AND r.position > c.position),
+f AS (SELECT start, arg_max(said, n) AS said, max(n) AS n FROM c GROUP BY start),
+d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}''’]+|[^\p{L}\p{N}''’]+') AS words FROM documents),
+t AS (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+g AS (SELECT row, string_agg(CASE WHEN f.start IS NULL THEN word WHEN lower(word[1]) <> word[1] THEN upper(f.said[1]) || f.said[2:] ELSE f.said END, '' ORDER BY i) AS said, sum(n) AS made FROM t LEFT JOIN f ON f.start = lower(word) GROUP BY row)
+SELECT doc_id, coalesce(g.said, '') AS said, coalesce(g.made, 0)::BIGINT AS made FROM d LEFT JOIN g USING (row)""")
+def replace_table(spark, sf_dir):
+    """One in 16 of the words is a rule of a table, to the next such word or away, in an order of no meaning, so that rules build on rules."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("find")).distinct().withColumn("position", F.md5("find")).filter("position < '1'")
+    rules = words.select("position", "find", F.lead("find").over(Window.partitionBy(F.left("find", F.lit(1))).orderBy("find")).alias("to"), F.lit(True).alias("whole_word"))
+    return replacements.replaced(documents, "text", rules, written).drop("text")
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 100 = 0 THEN 'now ' ELSE '' END || p_name || p_partkey AS result, p_partkey % 100 <> 0 AS reused FROM part")
 def results_reused(spark, sf_dir):
     """A second run over the parts, of which one in a hundred has changed: that one is made, the others come from the store."""
