@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import jobs
 from ..operators import flows, sequences
-from ..sources import archive, capture, capture_ranges, files, media, office, packet, pdf, table_ranges
+from ..sources import archive, capture, capture_ranges, file_sink, files, media, office, packet, pdf, table_ranges
 from . import fixtures
 from .events_as_packets import ORACLE as PACKETS
 from .events_as_packets import duck_address, packets
@@ -296,6 +297,28 @@ def wav_roundtrip(spark, sf_dir):
     return files.read_wav(made).select("path", F.col("channels").cast("long").alias("channels"), "rate", F.array_join(F.col("samples").cast("array<string>"), " ").alias("samples"))
 
 
+@query("SELECT doc_id || '.txt' AS name, sha256(said) AS hash, strlen(said) AS bytes FROM (SELECT doc_id, coalesce(text, '') || chr(10) || chr(10) || doc_id || '.txt: ' || length(coalesce(text, '')) || ' characters' AS said FROM documents)")
+def texts_written(spark, sf_dir):
+    """Each document and its note as a file of its own, and the files read back."""
+    folder = shared_folder(spark).removeprefix("file://")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    got = jobs.extracted(name, F.coalesce("text", F.lit("")), F.lit(None).cast("string"))
+    file_sink.write_files(read(spark, sf_dir, "documents").select(name.alias("name"), F.concat_ws("\n\n", got["text"], got["note"]).alias("content")), folder, "texts")
+    return file_sink.read_files(spark, folder, "texts").select("name", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("""SELECT 'w' || o_custkey || '.wav' AS path, 1 + o_custkey % 2 AS channels, 8000 AS rate, string_agg((o_orderkey * 7919 % 65536 - 32768)::VARCHAR, ' ' ORDER BY o_orderkey) AS samples FROM orders GROUP BY o_custkey""")
+def waves_written(spark, sf_dir):
+    """A WAV file of each customer's samples in a folder, and the files read back."""
+    folder = shared_folder(spark).removeprefix("file://")
+    samples = F.sort_array(F.collect_list("o_orderkey"))
+    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(samples, lambda k: (k * 7919 % 65536 - 32768).cast("smallint")).alias("samples"))
+    made = file_sink.waves(rows.select(F.concat(F.lit("w"), F.col("o_custkey").cast("string"), F.lit(".wav")).alias("name"), (1 + F.col("o_custkey") % 2).cast("int").alias("channels"), F.lit(8000).alias("rate"), "samples"))
+    file_sink.write_files(made, folder, "waves")
+    back = files.read_wav(file_sink.read_files(spark, folder, "waves").withColumnRenamed("name", "path"))
+    return back.select("path", F.col("channels").cast("long").alias("channels"), "rate", F.array_join(F.col("samples").cast("array<string>"), " ").alias("samples"))
+
+
 _TURNS = ["upright", "flip across", "half turn", "flip down", "transpose", "quarter turn right", "transverse", "quarter turn left"]
 
 
