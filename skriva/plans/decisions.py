@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import jobs, messages, spoken, text
 from ..operators import replacements, reuse, sequences
-from ..sources import files, media
+from ..sources import files, media, replies
 from . import capture_report
 from .registry import query, read, shared_folder, written
 
@@ -147,6 +149,30 @@ def json_answers(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", files.place_name(answer).alias("place"), files.has_model(names, _pick("c_custkey", ["a:1", "a", "b"])).alias("has_model"), files.frame_time(line).alias("seconds"))
 
 
+@query("""SELECT 'reply' AS kind, doc_id AS key, doc_id || ' ' || coalesce(text, '') || ' .' AS said FROM documents UNION ALL SELECT 'broken', doc_id, NULL FROM documents
+UNION ALL SELECT 'progress', o_orderkey, 'pulling ' || o_orderkey || ' ' || o_orderkey % 1025 FROM orders UNION ALL SELECT 'error', o_orderkey, 'no ' || o_custkey FROM orders WHERE o_orderkey % 9 = 0
+UNION ALL SELECT 'voices', p_partkey, '0 0 ' || p_type || '; ' || p_partkey || ' ' || p_name || ' ' || p_brand FROM part UNION ALL SELECT 'place', c_custkey, c_name || ', ' || c_nationkey FROM customer
+UNION ALL SELECT 'models', s_suppkey, s_name || ' b:1' FROM supplier UNION ALL SELECT 'release', n_nationkey, n_nationkey || '.0 ' || n_name || ' https://x/' || n_name FROM nation""")
+def replies_told(spark, sf_dir):
+    """All shapes of replies as lines of one column, told apart; texts are whole, and so are the lines that end too early."""
+    line = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    s, lit = lambda c: F.col(c).cast("string"), F.lit
+    take = lambda table, key, made: read(spark, sf_dir, table).select(F.col(key).cast("long").alias("key"), made.alias("line"))
+    answer = line(response=F.concat(lit("  "), s("doc_id"), lit(" "), F.coalesce("text", lit("")), lit(" .\n")), done=lit(True))
+    voice = lambda id_, name, more: F.named_struct(lit("voice_id"), id_, lit("name"), name, lit("category"), more, lit("labels"), F.create_map(lit("accent"), F.when(name != "0", more)))
+    lines = [
+        take("documents", "doc_id", answer), take("documents", "doc_id", F.left(answer, F.length(answer) - 1)),
+        take("orders", "o_orderkey", line(status=F.concat(lit("pulling "), s("o_orderkey")), total=lit(1024), completed=F.col("o_orderkey") % 1025)), take("orders", "o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, line(error=F.concat(lit("no "), s("o_custkey"))))),
+        take("part", "p_partkey", line(voices=F.array(voice(s("p_partkey"), F.col("p_name"), F.col("p_brand")), voice(lit("0"), lit("0"), F.col("p_type"))))), take("customer", "c_custkey", line(address=F.struct(F.col("c_name").alias("village"), s("c_nationkey").alias("country")))),
+        take("supplier", "s_suppkey", line(models=F.array(F.struct(F.col("s_name").alias("name")), F.struct(lit("b:1").alias("name"))))), take("nation", "n_nationkey", line(tag_name=F.concat(lit("v"), s("n_nationkey"), lit(".0")), body=F.col("n_name"), html_url=F.concat(lit("https://x/"), F.col("n_name")), assets=F.array().cast("array<string>"))),
+    ]
+    told = replies.read_replies(functools.reduce(lambda a, b: a.union(b), lines))
+    voices = F.array_join(F.transform("voices", lambda v: F.concat_ws(" ", v["id"], v["name"], v["detail"])), "; ")
+    progress = F.concat_ws(" ", "progress.status", (F.col("progress.fraction") * 1024).cast("int").cast("string"))
+    said = {"reply": F.col("reply.text"), "error": F.col("error"), "progress": progress, "voices": voices, "place": F.col("place"), "models": F.array_join("models", " "), "release": F.concat_ws(" ", "release.version", "release.notes", "release.url")}
+    return told.select("kind", "key", F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in said.items()]).alias("said"))
+
+
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'fe80 double colon ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN '10 dot 0 dot 0 dot ' || s_suppkey % 256 ELSE s_suppkey || ' colon a colon 0' END AS address,
  'www dot host' || s_suppkey || ' dot example' AS name, CASE s_suppkey % 3 WHEN 0 THEN 'no packets' WHEN 1 THEN '1 packet' ELSE '2 packets' END AS counted,
  CASE WHEN s_suppkey % 2 = 0 THEN '10 dot 0 dot 0 dot 1' ELSE '10 dot 0 dot 0 dot 1 port ' || s_suppkey END AS endpoint, round_even(s_suppkey % 9 / 8.0 * 100, 0)::BIGINT AS percent, greatest(0, 40 - s_suppkey % 60) AS left FROM supplier""")
