@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jobs
 from ..operators import flows, sequences
-from ..sources import archive, capture, capture_ranges, file_sink, files, media, office, packet, pdf, table_ranges
+from ..sources import archive, capture, capture_ranges, capture_scan, file_sink, files, media, office, packet, pdf, table_ranges
 from . import fixtures
 from .events_as_packets import ORACLE as PACKETS
 from .events_as_packets import duck_address, packets
@@ -89,6 +89,18 @@ def capture_in_ranges(spark, sf_dir):
     return got.filter("seq is not null").select(F.element_at(F.split("file", "-"), -1).cast("long").alias("part"), "seq", "at_ns", F.when(F.col("kind") == "ip", F.coalesce("src_port", F.lit(0))).cast("long").alias("src_port"))
 
 
+@query(f"""WITH p AS (SELECT seq // {PER_LARGE} AS part, at_ns FROM ({PACKETS}) AS p), m AS (SELECT (min(at_ns) + max(at_ns)) // 2 AS middle FROM p)
+SELECT part::BIGINT AS part, count(*) AS packets, min(at_ns) AS first_ns, max(at_ns) AS last_ns, true AS whole FROM p, m WHERE at_ns >= middle GROUP BY part""")
+def capture_pruned(spark, sf_dir):
+    """Totals of captures of both formats from the middle of their time on, without their packets' bytes."""
+    folder = shared_folder(spark).removeprefix("file://")
+    _stored(capture_files(spark, sf_dir, lambda x, g: capture.write_blocks(x) if g % 2 else capture.write_classic(x, nano=True), per_file=PER_LARGE), folder)
+    low, high = capture_scan.scan(spark, folder, "at_ns").agg(F.min("at_ns"), F.max("at_ns")).first()
+    read_ = capture_scan.scan(spark, folder, "file", "at_ns", "original_len", "captured_len", low=(low + high) // 2)
+    totals = read_.groupBy("file").agg(F.count("*").alias("packets"), F.min("at_ns").alias("first_ns"), F.max("at_ns").alias("last_ns"), (F.sum("original_len") == F.sum("captured_len")).alias("whole"))
+    return totals.select(F.element_at(F.split("file", "-"), -1).cast("long").alias("part"), "packets", "first_ns", "last_ns", "whole")
+
+
 @query(f"""SELECT {duck_address('low')} AS low_addr, {duck_address('high')} AS high_addr, proto_num::BIGINT AS proto_num, count(*) AS packets, min(at_ns) AS first_ns, max(at_ns) AS last_ns
 FROM (SELECT least(src_num, dst_num) AS low, greatest(src_num, dst_num) AS high, proto_num, at_ns FROM ({PACKETS}) AS p WHERE kind = 'ip') AS d GROUP BY ALL""")
 def capture_stream_conversations(spark, sf_dir):

@@ -11,7 +11,7 @@ import glob
 import io
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame
@@ -25,14 +25,14 @@ _CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000),
 _SECTION = b"\x0a\x0d\x0d\x0a"
 
 
-def packets(name: str, f: BinaryIO) -> Iterator[tuple]:
+def packets(name: str, f: BinaryIO, skip: Skip | None = None) -> Iterator[tuple]:
     """Rows of SCHEMA; the last one alone says truncated, capped or error, and has no data if it is no packet."""
     state = {"truncated": False, "capped": False, "error": None}
     n, magic = 0, f.read(4)
     if magic in _CLASSIC:
-        source = _classic(f, *_CLASSIC[magic], state)
+        source = _classic(f, *_CLASSIC[magic], state, skip)
     elif magic == _SECTION:
-        source = _blocks(f, state)
+        source = _blocks(f, state, skip)
     else:
         source = iter(())
         state["error"] = "not a capture"
@@ -50,29 +50,33 @@ def packets(name: str, f: BinaryIO) -> Iterator[tuple]:
     yield (name, None, None, None, None, None, state["truncated"], state["capped"], state["error"])
 
 
-def _classic(f: BinaryIO, order: str, tick: int, state: dict) -> Iterator[tuple]:
+def _classic(f: BinaryIO, order: str, tick: int, state: dict, skip: Skip | None) -> Iterator[tuple]:
     head = f.read(20)
     if len(head) < 20:
         return
-    yield from classic_records(f, order, tick, struct.unpack(f"{order}I", head[16:])[0] & 0xFFFF, state, 24)
+    yield from classic_records(f, order, tick, struct.unpack(f"{order}I", head[16:])[0] & 0xFFFF, state, 24, skip=skip)
 
 
-def classic_records(f: BinaryIO, order: str, tick: int, link: int, state: dict, at: int, stop: float = float("inf")) -> Iterator[tuple]:
-    """The packets whose records begin from at, where f is, to before stop; state["at"] is where the next one begins."""
+def classic_records(f: BinaryIO, order: str, tick: int, link: int, state: dict, at: int, stop: float = float("inf"), skip: Skip | None = None) -> Iterator[tuple]:
+    """The packets whose records begin from at, where f is, to before stop; state["at"] is where the next one begins.
+
+    The data of a packet whose time skip takes is passed by: its length stands in its place.
+    """
     state["at"] = at
     while state["at"] < stop and len(record := f.read(16)) == 16:
         seconds, ticks, kept, original = struct.unpack(f"{order}4I", record)
         if kept > MOST_BYTES:
             raise ValueError("damaged: a packet of impossible length")
-        data = f.read(kept)
-        if len(data) < kept:
+        when = seconds * 1_000_000_000 + min(ticks * tick, 999_999_999)
+        data = skip.past(f, kept) if skip and skip.takes(when) else f.read(kept)
+        if data is None or not isinstance(data, int) and len(data) < kept:
             state["truncated"] = True
             return
         state["at"] += 16 + kept
-        yield seconds * 1_000_000_000 + min(ticks * tick, 999_999_999), link, data, original
+        yield when, link, data, original
 
 
-def _blocks(f: BinaryIO, state: dict) -> Iterator[tuple]:
+def _blocks(f: BinaryIO, state: dict, skip: Skip | None) -> Iterator[tuple]:
     start = f.read(8)
     if len(start) < 8:
         return
@@ -81,14 +85,14 @@ def _blocks(f: BinaryIO, state: dict) -> Iterator[tuple]:
     if total < 12 or total % 4 or total > MOST_BLOCK:
         raise ValueError("damaged: a block of impossible length")
     f.read(total - 12)
-    yield from block_records(f, order, [], state, total)
+    yield from block_records(f, order, [], state, total, skip=skip)
 
 
-def block_records(f: BinaryIO, order: str, links: list[tuple[int, int, bool]], state: dict, at: int, stop: float = float("inf")) -> Iterator[tuple]:
+def block_records(f: BinaryIO, order: str, links: list[tuple[int, int, bool]], state: dict, at: int, stop: float = float("inf"), skip: Skip | None = None) -> Iterator[tuple]:
     """The packets of the blocks that begin from at, where f is, to before stop.
 
     links: link type, resolution and unusable clock of the interfaces named so far; new ones are added. state["at"] is
-    where the next block begins, state["ended"] whether another section does there.
+    where the next block begins, state["ended"] whether another section does there. skip: as for classic records.
     """
     state["at"] = at
     while state["at"] < stop and len(head := f.read(8)) == 8:
@@ -98,26 +102,55 @@ def block_records(f: BinaryIO, order: str, links: list[tuple[int, int, bool]], s
             return
         if total < 12 or total % 4 or total > MOST_BLOCK:
             raise ValueError("damaged: a block of impossible length")
-        body = f.read(total - 8)
-        if len(body) < total - 8:
+        inner, passed = total - 12, False
+        body = f.read(min(_FIXED.get(kind, total), total - 8) if skip else total - 8)
+        if skip and kind in _FIXED and inner >= _FIXED[kind] and len(body) == _FIXED[kind]:
+            passed = skip.takes(_time(body, order, links)[0] if kind == 6 else None)
+            rest = skip.past(f, total - 8 - len(body)) if passed else f.read(total - 8 - len(body))
+            if rest is None:
+                state["truncated"] = True
+                return
+            body += b"" if passed else rest
+        if not passed and len(body) < total - 8:
             state["truncated"] = True
             return
-        body = body[:-4]
+        body = body[:inner]
         state["at"] += total
         if kind == 1 and len(body) >= 8:
             links.append(_interface(body, order))
-        elif kind == 6 and len(body) >= 20:
-            which, high, low, kept, original = struct.unpack(f"{order}5I", body[:20])
-            if kept > len(body) - 20:
+        elif kind == 6 and inner >= 20:
+            kept, original = struct.unpack(f"{order}2I", body[12:20])
+            if kept > inner - 20:
                 state["truncated"] = True
                 return
-            link, resolution, off = links[which] if which < len(links) else (1, 6, False)
-            ticks = high << 32 | low
-            at = None if off or resolution > 9 else ticks * 10 ** (9 - resolution)
-            yield at if at is None or at < 1 << 63 else None, link, body[20 : 20 + kept], original
-        elif kind == 3 and len(body) >= 4:
+            when, link = _time(body, order, links)
+            yield when, link, kept if passed else body[20 : 20 + kept], original
+        elif kind == 3 and inner >= 4:
             link = links[0][0] if links else 1
-            yield None, link, body[4:], struct.unpack(f"{order}I", body[:4])[0]
+            yield None, link, inner - 4 if passed else body[4:], struct.unpack(f"{order}I", body[:4])[0]
+
+
+#: Bytes of a packet's block before its data, by kind (fixed values).
+_FIXED = {6: 20, 3: 4}
+
+
+def _time(body: bytes, order: str, links: list[tuple[int, int, bool]]) -> tuple[int | None, int]:
+    """Time in ns, null if its interface has no usable clock, and link type of a packet's block."""
+    which, high, low = struct.unpack(f"{order}3I", body[:12])
+    link, resolution, off = links[which] if which < len(links) else (1, 6, False)
+    at = None if off or resolution > 9 else (high << 32 | low) * 10 ** (9 - resolution)
+    return at if at is None or at < 1 << 63 else None, link
+
+
+class Skip:
+    """Which packets' data isn't wanted, by their time, and how it is passed by in a file of size bytes."""
+
+    def __init__(self, takes: Callable[[int | None], bool], size: int):
+        self.takes, self.size = takes, size
+
+    def past(self, f: BinaryIO, n: int) -> int | None:
+        """n, if so many bytes were there to pass by."""
+        return n if f.seek(n, 1) <= self.size else None
 
 
 def _interface(body: bytes, order: str) -> tuple[int, int, bool]:
