@@ -72,13 +72,15 @@ def zip_positions(a: Column, b: Column) -> Column:
     return F.slice(F.arrays_zip(a, b), 1, n)
 
 
-def playable_entries(entries: DataFrame) -> DataFrame:
-    """Archive entries that can be played: contained names, no litter, a known extension, claimed size in bounds; 500 in archive order."""
+def playable_entries(entries: DataFrame, most: int | None = TRACKS) -> DataFrame:
+    """Archive entries that can be played: contained names, no litter, a known extension, claimed size in bounds; so many in archive order, None for all."""
     parts, base = F.split("path", "[/\\\\]"), F.element_at(F.split("path", "[/\\\\]"), -1)
     litter = F.array_contains(parts, "__MACOSX") | base.startswith("._") | (base == ".DS_Store")
     contained = ~F.array_contains(parts, "..") & ~F.col("path").startswith("/") & ~F.col("path").rlike("^[A-Za-z]:")
     ok = entries.filter(~F.col("path").endswith("/") & contained & ~litter & F.lower(F.regexp_extract(base, r"\.([^.]+)$", 1)).isin(*PLAYABLE) & (F.col("size") <= TRACK_BYTES))
-    return ok.withColumn("__n", F.row_number().over(Window.partitionBy("archive").orderBy("entry_index"))).filter(F.col("__n") <= TRACKS).drop("__n")
+    if most is None:
+        return ok
+    return ok.withColumn("__n", F.row_number().over(Window.partitionBy("archive").orderBy("entry_index"))).filter(F.col("__n") <= most).drop("__n")
 
 
 def arrange(candidates: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
