@@ -117,12 +117,13 @@ def flow_capped_stream(spark, sf_dir):
     where = shared_folder(spark)
     rows = packets(spark, sf_dir)
     rows.repartition(4, F.xxhash64("seq")).write.parquet(f"{where}/in")
+    reach = rows.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]  # any packet may come last
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
 
     def keep(batch, epoch):
         batch.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{where}/out/{epoch}")  # the same, where a batch runs again
 
-    q = capped_stream(stream, _CAP).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q = capped_stream(stream, _CAP, reach).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.schema("file string, kind string, held long, overflow long, settled boolean, batch long").parquet(f"{where}/out/*")
     return out.groupBy("file", "kind").agg(F.max_by(F.struct("held", "overflow"), "batch").alias("x")).select("kind", "x.held", "x.overflow")

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from skriva.plans import catalogue
+from skriva.streaming import bounded
 
 
 def against_sql(spark, name, folder, **tables):
@@ -37,3 +38,8 @@ def test_reports_name_the_services_of_clients_ports(spark, tmp_path):
     users = [port - 1024 for port in (1433, 8443) for _ in range(20)]
     said = against_sql(spark, "capture_report", tmp_path, events=events(users))
     assert "TCP, SQL Server:" in said[0][1] and "TCP, HTTPS:" in said[0][1]
+
+
+def test_bounded_tables_wait_for_what_comes_last(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bounded.capped_stream, "__defaults__", (None, 50, bounded.IDLE_MS))  # as a file of many more packets than REACH
+    against_sql(spark, "flow_capped_stream", tmp_path, events=events([i * i % 397 for i in range(2000)]))
