@@ -81,7 +81,11 @@ def report(packets: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return whole.select("file", F.regexp_replace(text, r"(?U)\s+\z", "").alias("text"))
 
 
-def narration_usable(narration: Column, source: Column) -> Column:
-    """Whether a written summary may stand for the report (fixed values: 120 characters, a twelfth, 240 at most)."""
+def narration_usable(narration: Column, source: Column | None = None, size: Column | None = None) -> Column:
+    """Whether a written summary may stand for the report (fixed values: 120 characters, a twelfth, 240 at most).
+
+    size: the report's characters, where they are known without its text.
+    """
+    size = F.length(source) if size is None else size
     n = F.length(F.regexp_replace(narration, r"(?U)\A\s+|\s+\z", ""))
-    return (n >= 120) & (n >= F.least(F.expr("1") * F.floor(F.length(source) / 12), F.lit(240)))
+    return (n >= 120) & (n >= F.least(F.expr("1") * F.floor(size / 12), F.lit(240)))

@@ -248,7 +248,7 @@ def reading_checks(spark, sf_dir):
     narrated = lambda n: F.concat(F.lit(" "), F.repeat(F.lit("y"), n.cast("int")), F.lit("\n"))
     return read(spark, sf_dir, "orders").select(
         "o_orderkey", sequences.garbled(_pick("o_orderkey", _SHOWN), _pick("o_orderkey", _LOST)).alias("garbled"), F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]")).alias("pairs"),
-        media.narration_usable(narrated(o % 120), F.repeat(F.lit("z"), F.lit(400))).alias("video_ok"), capture_report.narration_usable(narrated(o % 300), F.repeat(F.lit("z"), (c * 10).cast("int"))).alias("capture_ok"),
+        media.narration_usable(narrated(o % 120), F.repeat(F.lit("z"), F.lit(400))).alias("video_ok"), capture_report.narration_usable(narrated(o % 300), size=c * 10).alias("capture_ok"),
         media.narration_request(F.lit("  p \n"), o.cast("string")).alias("request"),
     )
 

@@ -43,3 +43,9 @@ def test_reports_name_the_services_of_clients_ports(spark, tmp_path):
 def test_bounded_tables_wait_for_what_comes_last(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bounded.capped_stream, "__defaults__", (None, 50, bounded.IDLE_MS))  # as a file of many more packets than REACH
     against_sql(spark, "flow_capped_stream", tmp_path, events=events([i * i % 397 for i in range(2000)]))
+
+
+def test_reports_of_any_length_are_not_made_to_be_measured(spark, tmp_path):
+    keys = pa.array([150, 151, 152], pa.int64())
+    orders = pa.table({"o_orderkey": keys, "o_custkey": pa.array([7, 30_000, 400_000_000], pa.int64())})
+    assert len(against_sql(spark, "reading_checks", tmp_path, orders=orders)) == 3
