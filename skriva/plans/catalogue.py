@@ -434,9 +434,10 @@ def pdf_roundtrip(spark, sf_dir):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf_file([t or ""], i % 2 == 0) for i, t in enumerate(b.column(1).to_pylist())], pa.binary())], ["path", "content"])
 
-    words = F.regexp_extract_all("text", F.lit("[!-~¡-¬®-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+"), F.lit(0))
-    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 12).cast("int")), lambda i: F.array_join(F.slice(words, i * 12 + 1, 12), " "))
-    docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("path"), F.when(F.size(words) > 0, F.array_join(lines, "\n")).otherwise("").alias("text"))
+    # the words are a column of their own: within the lambda they would be looked for once a line
+    words = _read(spark, sf_dir, "documents").select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("path"), F.regexp_extract_all("text", F.lit("[!-~¡-¬®-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+"), F.lit(0)).alias("words"))
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 12).cast("int")), lambda i: F.array_join(F.slice("words", i * 12 + 1, 12), " "))
+    docs = words.select("path", F.when(F.size("words") > 0, F.array_join(lines, "\n")).otherwise("").alias("text"))
     return pdf.read_pages(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
 
 

@@ -5,7 +5,8 @@ import datetime
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from skriva.plans import catalogue
+from skriva.plans import catalogue, fixtures
+from skriva.sources import pdf
 from skriva.streaming import bounded
 
 
@@ -49,3 +50,11 @@ def test_reports_of_any_length_are_not_made_to_be_measured(spark, tmp_path):
     keys = pa.array([150, 151, 152], pa.int64())
     orders = pa.table({"o_orderkey": keys, "o_custkey": pa.array([7, 30_000, 400_000_000], pa.int64())})
     assert len(against_sql(spark, "reading_checks", tmp_path, orders=orders)) == 3
+
+
+def test_a_line_of_a_page_is_placed_once(monkeypatch):
+    made, times = [], pdf._times
+    monkeypatch.setattr(pdf, "_times", lambda a, b: made.append(1) or times(a, b))
+    text = "two words (and \\ more) " * 50
+    ((_, _, said, kept, dropped, error),) = pdf.pages_of("x", fixtures.pdf_file([text]))
+    assert (said, kept, dropped, error) == (text, len(text), 0, None) and len(made) < 20
