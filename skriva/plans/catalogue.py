@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spoken, text
+from ..functions.arrow import spread
 from ..operators import flows, frame_chain, sequences
 from .events_as_packets import ORACLE as PACKETS
 from .events_as_packets import duck_address, packets
@@ -398,12 +399,12 @@ def _office(spark, sf_dir, kind):
     def made(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
             texts = [word_file(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["path", "content"])
 
     docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return office.read_word(docs.mapInArrow(made, "path string, content binary")).select("path", "text")
+    return office.read_word(spread(docs, "path").mapInArrow(made, "path string, content binary")).select("path", "text")
 
 
 @query("SELECT concat('deck-', conv_id::VARCHAR) AS path, 'Presentation with ' || CASE count(*) WHEN 1 THEN '1 slide' ELSE count(*) || ' slides' END || '.' || string_agg(chr(10) || chr(10) || 'Slide ' || i || ' of ' || n || '. ' || role || '.' || chr(10) || 'turn ' || turn || '.' || CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '[.!?:;,]$') THEN chr(10) || t ELSE chr(10) || t || '.' END, '' ORDER BY i) AS text FROM (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^" + _WS + "+', ''), '" + _WS + "+$', '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE turn <> 3) GROUP BY conv_id")
@@ -431,11 +432,11 @@ def pdf_roundtrip(spark, sf_dir):
     from .fixtures import pdf_file
 
     def made(batches):
-        for b in batches:
+        for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf_file([t or ""], i % 2 == 0) for i, t in enumerate(b.column(1).to_pylist())], pa.binary())], ["path", "content"])
 
     # the words are a column of their own: within the lambda they would be looked for once a line
-    words = _read(spark, sf_dir, "documents").select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("path"), F.regexp_extract_all("text", F.lit("[!-~¡-¬®-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+"), F.lit(0)).alias("words"))
+    words = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("path"), F.regexp_extract_all("text", F.lit("[!-~¡-¬®-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+"), F.lit(0)).alias("words"))
     lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 12).cast("int")), lambda i: F.array_join(F.slice("words", i * 12 + 1, 12), " "))
     docs = words.select("path", F.when(F.size("words") > 0, F.array_join(lines, "\n")).otherwise("").alias("text"))
     return pdf.read_pages(docs.mapInArrow(made, "path string, content binary")).select("path", "text")

@@ -5,7 +5,7 @@ import datetime
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from skriva.plans import catalogue, fixtures
+from skriva.plans import catalogue, fixtures, formats
 from skriva.sources import pdf
 from skriva.streaming import bounded
 
@@ -58,3 +58,10 @@ def test_a_line_of_a_page_is_placed_once(monkeypatch):
     text = "two words (and \\ more) " * 50
     ((_, _, said, kept, dropped, error),) = pdf.pages_of("x", fixtures.pdf_file([text]))
     assert (said, kept, dropped, error) == (text, len(text), 0, None) and len(made) < 20
+
+
+def test_files_of_a_small_table_are_made_by_many_tasks(spark):
+    rows = spark.range(1000).coalesce(1).selectExpr("cast(id as string) as path")
+    made = formats.built(rows, lambda r: r["path"].encode())
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert {(r["path"], bytes(r["content"])) for r in made.collect()} == {(str(i), str(i).encode()) for i in range(1000)}
