@@ -366,6 +366,20 @@ def test_gradient_is_the_slope():
             assert abs((loss(up) - loss(low)) / 2e-5 - got[name][where]) < 1e-4
 
 
+def test_training_takes_every_window_once():
+    counts = np.array([3000, 5, 700])
+    ids = np.random.default_rng(8).integers(0, 9, counts.sum())
+    first, size, _ = lm.windows(counts)
+    seen, taken = [], 0
+    for last in (False, True):
+        down = lm.Descent(small_model())
+        down.step = lambda x, before, y, on: seen.append(on.sum())
+        down.add(ids, counts, lambda i: i % lm.FIRST > 0 if last else i % lm.FIRST == 0)  # noqa: B023
+        down.flush()
+        taken = down.taken
+    assert taken == len(first) and sum(seen) == size.sum()
+
+
 def test_training_lowers_the_loss():
     model = small_model()
     ids = np.tile([1, 2, 3, 4, 9, 8, 7], 3000)
