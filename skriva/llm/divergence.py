@@ -32,6 +32,8 @@ from . import shared
 LEAST, SMOOTH, ONE, TOLD = 30, 5, 1_000_000_000, 50
 #: Counts that a task holds before it adds them up, and sums that it holds before it sends them on.
 HELD, SUMS = 1 << 20, 1 << 21
+#: Groups up to which their totals are broadcast (some 100 bytes each); beyond, they and the index are shuffled.
+MOST_BROADCAST = 50_000
 #: Every ASCII byte that is no letter parts terms.
 BREAKS = np.ones(256, bool)
 BREAKS[65:91] = BREAKS[97:123] = BREAKS[128:] = False
@@ -189,7 +191,9 @@ def report(docs: DataFrame, least: int = LEAST, told: int = TOLD) -> DataFrame:
     groups = docs.select(blank("lang"), blank("source")).distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
     groups = shared.kept(groups.withColumn("p0", F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms")))))
-    posted = index.join(groups, ["lang", "source"]).select("lang", "term", "source", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), share(F.col("of_lang"), F.col("lang_total"), F.col("terms")).alias("q"), "p0")
+    # the index's files are small for its rows, so Spark, which goes by the files' size, would broadcast it instead of the groups
+    few = groups.count() <= MOST_BROADCAST
+    posted = index.join(F.broadcast(groups) if few else groups.hint("merge"), ["lang", "source"]).select("lang", "term", "source", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), share(F.col("of_lang"), F.col("lang_total"), F.col("terms")).alias("q"), "p0")
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     above = posted.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))

@@ -80,3 +80,10 @@ def test_shares_of_large_counts(spark):
     n, total, kept = 40_000_000_000_000, 900_000_000_000_000, 70_000_000
     got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(kept)).alias("p")).head().p
     assert got == 1 + 10**9 * (n + 5) // (total + 5 * kept)
+
+
+def test_the_index_is_not_broadcast(spark):
+    """Its files are small for its rows, so Spark would send it to the driver instead of the groups."""
+    plan = divergence.report(spark.createDataFrame(corpus(6), SCHEMA), 1)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if re.search(r"Join \[lang#\d+, source#\d+\], \[lang#\d+, source#\d+\], Inner", x)]
+    assert joins and not any("BuildLeft" in x for x in joins)
