@@ -26,17 +26,17 @@ def classes(lists: DataFrame, about: DataFrame, fits: Column, linked: Callable[[
     """
     lists = shared.kept(lists)
     long = shared.kept(lists.groupBy("key").agg(F.min("sig").alias("least"), F.count("*").alias("m")).filter("m > 1"))
-    lists = shared.kept(lists.join(long, "key").join(about, "sig"))
+    lists = shared.kept(lists.join(shared.dealt(long), "key").join(shared.dealt(about), "sig"))
     hub = F.struct("sig", *(c for c in about.columns if c != "sig")).alias("hub")
     pair = [F.col("hub.sig").alias("a"), F.col("sig").alias("b")]
-    comp = components(linked(lists.join(lists.filter("sig = least").select("key", hub), "key").filter((F.col("sig") != F.col("hub.sig")) & fits).select(*pair).distinct()))
+    comp = components(linked(lists.join(shared.dealt(lists.filter("sig = least").select("key", hub)), "key").filter((F.col("sig") != F.col("hub.sig")) & fits).select(*pair).distinct()))
     lists = lists.filter("m > 2").drop("least")
     columns = lists.columns
     at, more, last = 0, 16, None
     while True:
-        named = lists.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        named = lists.join(shared.dealt(comp).withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         split = shared.kept(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m")).filter(f"low <> high and m > {at}").select("key"))
-        lists = shared.kept(named.join(split, "key", "left_semi"))
+        lists = shared.kept(named.join(shared.dealt(split), "key", "left_semi"))
         if last is not None:
             shared.drop(last)
         last = lists
@@ -44,15 +44,15 @@ def classes(lists: DataFrame, about: DataFrame, fits: Column, linked: Callable[[
             return comp
         place = F.expr("(cast(sig as double) / 18446744073709551616D + 0.5D) * m")
         hubs = lists.filter((place >= at) & (place < at + more)).select("key", hub, F.col("comp").alias("of"))
-        pairs = lists.join(hubs, "key").filter((F.col("comp") != F.col("of")) & (F.col("sig") > F.col("hub.sig")) & fits).select(*pair)
+        pairs = lists.join(shared.dealt(hubs), "key").filter((F.col("comp") != F.col("of")) & (F.col("sig") > F.col("hub.sig")) & fits).select(*pair)
         found = linked(pairs.distinct())
-        name = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
+        name = lambda df, c: df.join(shared.dealt(comp).select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
         found = shared.kept(name(name(found, "a"), "b").distinct())
         if not found.isEmpty():
             merged = components(found).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
             alone = found.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("comp"))
             old = comp.union(alone).distinct()
-            comp = shared.kept(old.join(merged, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")))
+            comp = shared.kept(old.join(shared.dealt(merged), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")))
         at, more = at + more, more * 16
         shared.tidy(lists.sparkSession)
         lists = lists.select(*columns)

@@ -113,8 +113,8 @@ def join(docs: DataFrame, id_column: str = "doc_id", k: int = K, percent: int =
     fits = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (similarity("bits", "hub.bits") >= LOOSE)
     lists = sketch.filter("bands is not null").select(F.explode("bands").alias("key"), "sig").distinct()
     comp = hubs.classes(lists, about, fits, lambda pairs: _linked(shared.kept(pairs), docs, nodes, k, percent))
-    of = nodes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    of = nodes.join(shared.dealt(comp).withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "comp").select("sig", "component_id")
+    named = of.join(shared.dealt(least), "comp").select("sig", "component_id")
     component = F.coalesce("component_id", "doc_id")
-    return sketch.select("doc_id", "n", "sig").join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return sketch.select("doc_id", "n", "sig").join(shared.dealt(named), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skriva.llm import hubs, minhash
+from skriva.llm import hubs, minhash, toccurrence
 
 from .test_operators import SCHEMA, corpus, words
 
@@ -151,3 +151,17 @@ def test_recall_at_the_threshold(spark):
     got = {r.doc_id: r.component_id for r in minhash.join(spark.createDataFrame(out, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(classes([shingles(t) for _, t in out])))
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(120)) > 30
+
+
+@pytest.mark.parametrize("join", [minhash.join, toccurrence.join])
+def test_the_graph_is_not_broadcast(spark, monkeypatch, join):
+    """Sides of its joins that are below Spark's threshold would stay in the driver's memory, round after round."""
+    monkeypatch.setattr(toccurrence, "MOST_BROADCAST", -1)
+    runs = lambda: (lambda x: [x.apply(i) for i in range(x.size())])(spark._jsparkSession.sharedState().statusStore().executionsList())
+    before = {r.executionId() for r in runs()}
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: i + 1], f"x{i}", *words[i + 1 :]])) for i in range(6)] + [(9, "another text")]
+    got = join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(6)] + [(9, 9)]
+    plans = [r.physicalPlanDescription() for r in runs() if r.executionId() not in before]
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
