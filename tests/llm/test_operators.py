@@ -597,10 +597,30 @@ def test_paired_over_batches(size):
     want = set()
     for k in range(40):
         own = row[key == k].tolist()
-        want |= {tuple(sorted((x, own[j]))) for i, x in enumerate(own) for j in {0, max(i - 1, 0)} if x != own[j]}
+        want |= {tuple(sorted((x, y))) for i, x in enumerate(own) for y in own[:i] if x != y}
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_all_windows_with_room_are_paired(size):
+    """Also those that have room for a passage with neither the first of their group nor the one before; large groups go on."""
+    key, row = np.array([1, 1, 1, 1, 2, 2, 3, 3, 3, 3, 3, 4, 4]), np.array([5, 6, 7, 8, 5, 6, 1, 2, 3, 4, 5, 1, 1])
+    room = np.array([46 << 8, 23 << 8 | 23, 46, 23 << 8 | 23, 46, 46, *[46] * 5, 46, 46], np.int16)
+    batches = [pa.record_batch({"key": key[i : i + size], "node": row[i : i + size], "room": room[i : i + size]}) for i in range(0, len(key), size)]
+    got = [r for b in compact.parted(iter(batches), 4) for r in b.to_pylist()]
+    assert sorted((r["a"], r["b"]) for r in got if r["key"] is None) == [(5, 6), (6, 8)]
+    assert [(r["key"], r["a"], r["room"]) for r in got if r["key"] is not None] == [(3, i, 46) for i in range(1, 6)]
+
+
+def test_windows_of_a_large_group_are_paired_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(compact, "MOST", 7)
+    windows = [(9, i, None, [46 << 8, 46, 23 << 8 | 23][i % 3]) for i in range(60)]
+    tiles = compact._tiles(spark.createDataFrame(windows + [(None, 1, 2, None)], "key long, a long, b long, room short"))
+    got = [tuple(r) for r in shared.arrow(tiles, compact.paired, "a long, b long").collect()]
+    assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 == j % 3]
+    assert tiles.groupBy("key").count().agg({"count": "max"}).first()[0] < 40
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 1000])
 def test_lists_of_several_over_batches(size):
     rng = np.random.default_rng(size)
