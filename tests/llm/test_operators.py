@@ -485,6 +485,29 @@ def test_pages_that_name_an_article(spark):
     assert got[90] == "See 2\n" + main.format(1) and got[91] == "Read our terms today\nStory 3 of the day\nRepeated line"
 
 
+def test_training_lays_out_few_windows_at_once():
+    """Runs of a batch are bounded, and the descent's steps are those over the whole batch."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 400, 300)
+    ids = [rng.integers(0, 50, n).astype("<u2").tobytes() for n in sizes]
+    batch = pa.record_batch({"text": [""] * 300, "ids": pa.array(ids, pa.binary())})
+    cut = list(lm.runs(iter([batch.slice(0, 0), batch.slice(1)]), 1, 2000))
+    assert [x for b in cut for x in b.column(1).to_pylist()] == ids[1:] and len(cut) > 30
+    assert all(b.num_rows == 1 or sum(map(len, b.column(1).to_pylist())) <= 2000 for b in cut)
+    shape = {"E": (lm.ROWS + 1, lm.WIDTH), **{k: (lm.WIDTH, lm.WIDTH) for k in "QKVS"}, "R": (lm.WINDOW,), "U": (lm.WIDTH, lm.TOPICS), "B": (lm.TOPICS,), "M": (lm.CLASSES, lm.TOPICS)}
+    params = {k: rng.normal(0, 0.3, x) for k, x in shape.items()}
+    pairs = np.full((lm.CLASSES + 1, lm.CLASSES), -np.log(lm.CLASSES))
+    model = lm.Model(50, np.arange(51), np.zeros(51), np.ones(51, bool), pairs, params, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    made = []
+    for some in (lm.runs(iter([batch]), 1, 2000), [batch]):
+        now = lm.Descent(model)
+        for b in some:
+            now.add(*lm._ids(b.column(1), "<u2"), lambda i: i % 3 > 0)
+        now.flush()
+        made.append(now.p)
+    assert all(np.array_equal(made[0][k], made[1][k]) for k in params)
+
+
 def test_compact_windows_by_definition():
     rng = np.random.default_rng(4)
     counts = np.array([0, 5, 60, 80])
