@@ -141,6 +141,12 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches_of(rows(), _NAMES, _WALK_KINDS, 64)
 
 
+def tasks(spark: SparkSession, sizes: list[int], size: int) -> int:
+    """How many tasks walk files of these sizes by ranges of so many bytes: as many as a shuffle has, more only for ranges that take long together."""
+    all_ = sum(-(-n // size) for n in sizes)
+    return max(1, min(all_, 10_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(sizes) // RANGE)))
+
+
 def ranges(spark: SparkSession, path: str, size: int = RANGE, write=None) -> DataFrame:
     """The certain ranges of all files at path, with base (the number of the first packet) and known (earlier interfaces).
 
@@ -151,8 +157,7 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE, write=None) -> Dat
     files = spark.createDataFrame([(p, os.path.getsize(p)) for p in found], "path string, size bigint")
     cut = files.select("path", "size", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(size).cast("bigint"))).alias("i", "start"))
     cut = cut.select("path", F.col("i").cast("bigint").alias("i"), "start", F.least(F.col("start") + size, F.greatest("size", F.lit(1))).alias("stop"), "size", F.lit(None).cast("bigint").alias("first"))
-    tasks = max(1, sum(-(-os.path.getsize(p) // size) for p in found))
-    walked = write(cut.repartition(min(tasks, 10_000), "path", "i").mapInArrow(_walked, _WALK))
+    walked = write(cut.repartition(tasks(spark, [os.path.getsize(p) for p in found], size), "path", "i").mapInArrow(_walked, _WALK))
     by_file = Window.partitionBy("path").orderBy("i")
     while True:
         # what is before a range that fails ends the file for the sequential reader, so nothing behind it has to be certain

@@ -97,3 +97,9 @@ def test_the_limit_of_packets(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(capture, "MOST_PACKETS", most)
     with open(tmp_path / "many.pcap", "rb") as f:
         assert got == sorted(capture.packets(str(tmp_path / "many.pcap"), f), key=repr)
+
+
+def test_small_ranges_share_tasks(spark):
+    """The tasks are as many as a shuffle has, whatever the number of ranges; large ranges have one each."""
+    assert capture_ranges.tasks(spark, [1 << 20] * 3, 1 << 10) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert capture_ranges.tasks(spark, [1 << 40], capture_ranges.RANGE) == 10_000 and capture_ranges.tasks(spark, [100 << 26], 1 << 26) == 100 and capture_ranges.tasks(spark, [], 1) == 1
