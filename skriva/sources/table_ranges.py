@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import batches_of
+from .capture_ranges import tasks
 from .files import _HIGH, rows_of
 
 RANGE = 64 << 20
@@ -136,7 +137,7 @@ def read_tables(spark: SparkSession, path: str, size: int = RANGE, write=None) -
     found = sorted(p for p in glob.glob(os.path.join(path, "**"), recursive=True) if os.path.isfile(p)) if os.path.isdir(path) else sorted(glob.glob(path))
     files = spark.createDataFrame([(p, os.path.getsize(p)) for p in found], "path string, size bigint").filter("size > 0")
     parts = files.select("path", "size", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(size).cast("bigint"))).alias("i", "start")).withColumn("stop", F.least(F.col("start") + size, "size"))
-    parts = parts.repartition(max(1, min(sum(-(-os.path.getsize(p) // size) for p in found), 10_000)), "path", "i")
+    parts = parts.repartition(tasks(spark, [os.path.getsize(p) for p in found], size), "path", "i")
 
     def looked(batches):
         def rows():
