@@ -23,8 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..functions.arrow import BATCH, bounded, spread
 from .files import write_wav
 
+#: Files in a batch that is read back.
+FILES = 4096
+
 
 @dataclass
 class Part(WriterCommitMessage):
@@ -100,14 +104,48 @@ def write_files(df: DataFrame, path: str, run: str) -> None:
     or leads elsewhere fails too. No rows: an empty run. Other columns aren't read.
     """
     df.sparkSession.dataSource.register(NamedFiles)
-    rows = df.select("name", F.col("content").cast("binary").alias("content")).repartition("name")
+    rows = spread(df.select("name", F.col("content").cast("binary").alias("content")), "name")
     rows.write.format("named_files").mode("append").option("path", path).option("run", run).save()
 
 
 def read_files(spark: SparkSession, path: str, run: str) -> DataFrame:
-    """name and content of the files of a run; Spark passes by empty files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(os.path.join(path, f"run={run}"))
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    """name and content of the files of a run; empty files are passed by.
+
+    A task reads what a task of the writer wrote. Listed by Spark, all names would go through the driver, and a task get
+    some thirty files, as a file counts as 4 MB there.
+    """
+    shown = os.path.join(path, f"run={_checked(run)}")
+    parts = sorted(os.listdir(shown))
+
+    def rows(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from _batches(os.path.join(shown, parts[i]))
+
+    each = spark.range(0, len(parts), 1, max(len(parts), 1))
+    return bounded(each).mapInArrow(rows, "name string, content binary")
+
+
+def _batches(folder: str) -> Iterator[pa.RecordBatch]:
+    """name and content of a folder's files that aren't empty, in batches bounded by files and by bytes."""
+    names: list[str] = []
+    contents: list[bytes] = []
+    size = 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
+    with os.scandir(folder) as found:
+        for entry in found:
+            with open(entry.path, "rb") as f:
+                content = f.read()
+            if not content:
+                continue
+            names.append(entry.name)
+            contents.append(content)
+            size += len(content)
+            if len(names) >= FILES or size >= BATCH:
+                yield batch()
+                names, contents, size = [], [], 0
+    if names:
+        yield batch()
 
 
 def waves(df: DataFrame) -> DataFrame:

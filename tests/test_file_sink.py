@@ -28,6 +28,19 @@ def test_run_is_written_once(spark, tmp_path):
     assert {r.name: bytes(r.content) for r in file_sink.read_files(spark, str(tmp_path), "one").collect()} == {k: v for k, v in want.items() if v}
 
 
+def test_tasks_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    """A shuffle's tasks write the files, however few bytes they have, and as many read them back, in batches."""
+    monkeypatch.setattr(file_sink, "FILES", 7)
+    df = spark.range(600).selectExpr("concat('f', id) AS name", "cast(id AS string) AS content")
+    file_sink.write_files(df, str(tmp_path), "r")
+    assert len(os.listdir(tmp_path / "run=r")) == 4
+    back = file_sink.read_files(spark, str(tmp_path), "r")
+    assert back.rdd.getNumPartitions() == 4
+    assert {r.name: bytes(r.content) for r in back.collect()} == {f"f{i}": str(i).encode() for i in range(600)}
+    with pytest.raises(FileNotFoundError):
+        file_sink.read_files(spark, str(tmp_path), "none")
+
+
 @pytest.mark.parametrize("names", [["a", "a"], ["a", None], ["a", "../b"], ["a", ".."], ["a", ""], ["a", "_b"]])
 def test_bad_names_leave_nothing(spark, tmp_path, names):
     df = spark.createDataFrame([(n, "x") for n in names], "name string, content string")
