@@ -132,3 +132,13 @@ def test_language_file():
 def test_fill(spark):
     row = spark.range(1).select(messages.filled(F.lit("{a} {{a}} {b} {a"), F.create_map(F.lit("a"), F.lit("1"))).alias("said"))
     assert row.head().said == "1 {a} {b} 1"
+
+
+def test_replacing_scans_a_text_three_times_a_rule(spark):
+    """Whether there is a match, the matches and what is between them; letters are looked for before what precedes them."""
+    rule = text.Rule("the", "a")
+    said, made = text.replace("t", [rule])
+    df = spark.createDataFrame([("The 'the the. breathe THE",), (None,), ("none",)], "t string")
+    out = df.select(said.alias("said"), made.alias("made"))
+    assert [tuple(x) for x in out.collect()] == [("A 'the a. breathe A", 3), (None, 0), ("none", 0)]
+    assert said._jc.toString().count("(?=the)") == 3
