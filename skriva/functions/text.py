@@ -130,18 +130,18 @@ def pack(found: list[str], most: int) -> list[str]:
 def chunks(c: Column | str, most: int = CHUNK) -> Column:
     """Chunks of at most `most` characters, on unit bounds where those allow; a longer unit has chunks of its own.
 
-    A fold over units and, for a unit that is too long, its words (each with the white space after it; a
-    longer word is cut); a null before and after a long unit closes the chunk. No Python.
+    A fold over units. One that is too long is cut first, by one expression: as many characters as fit that end with
+    white space or the unit, else that many of a word; no two of these fit in a chunk. A null before and after
+    them closes the chunk. No Python.
     """
     start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("now"))
     size = F.lit(most)
-    word = lambda w: F.when(F.length(w) <= size, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w), size), lambda i: F.substr(w, i, size)))
-    words = lambda u: F.flatten(F.transform(F.regexp_extract_all(u, F.lit(r"(?U)\S*\s|\S+\z"), F.lit(0)), word))
+    hard = lambda u: F.regexp_extract_all(u, F.lit(rf"(?Us).{{1,{most}}}(?:(?<=\s)|\z)|.{{{most}}}"), F.lit(0))
     none = F.array(F.lit(None).cast("string"))
-    items = F.flatten(F.transform(units(c), lambda u: F.when(F.length(u) <= size, F.array(u)).otherwise(F.concat(none, words(u), none))))
+    items = F.flatten(F.transform(units(c), lambda u: F.when(F.length(u) <= size, F.array(u)).otherwise(F.concat(none, hard(u), none))))
 
     def close(acc):
-        return _bound(trim(acc["now"]), lambda t: F.when(t != "", F.concat(acc["out"], F.array(t))).otherwise(acc["out"]))
+        return _bound(F.regexp_extract(acc["now"], r"(?Us)\S(?:.*\S)?", 0), lambda t: F.when(t != "", F.concat(acc["out"], F.array(t))).otherwise(acc["out"]))
 
     def step(acc, u):
         fits = F.length(acc["now"]) + F.length(u) <= size

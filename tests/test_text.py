@@ -142,3 +142,18 @@ def test_replacing_scans_a_text_three_times_a_rule(spark):
     out = df.select(said.alias("said"), made.alias("made"))
     assert [tuple(x) for x in out.collect()] == [("A 'the a. breathe A", 3), (None, 0), ("none", 0)]
     assert said._jc.toString().count("(?=the)") == 3
+
+
+def test_units_and_hard_chunks_as_in_python(spark):
+    """Random texts of ends, quotes, white space and letters of two code units, at sizes that cut words; a unit that is too long is cut at once."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab.!\n 　\"'。𝒳\u2028") for _ in range(r.randint(0, 200))) for _ in range(300)] + ["x" * 9000, "a b " * 9000, ". " * 9000, "a\n" * 9000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", text.units("t").alias("u"), *[text.chunks("t", n).alias(f"c{n}") for n in (1, 7, 30)]).collect()
+    white = r"[\s\x85]"
+    for x in got:
+        units = [u for u in re.findall(rf"""(?s).*?(?:[.!?。！？\n](?=[\s"']|\Z){white}*|\Z)""", texts[x.i]) if u]
+        assert x.u == units
+        for n in (1, 7, 30):
+            assert x[f"c{n}"] == text.pack(units, n)
+    assert "sequence(" not in text.chunks("t", 7)._jc.toString()
