@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,6 +19,25 @@ MOST_RULES, MOST_CHARS = 200_000, 16_000_000
 _RULES: dict = {}
 
 
+#: Words whose results a worker keeps, and their greatest length.
+WORDS, LONG = 1 << 18, 100
+
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def split(text: str) -> list[str]:
+    """What is between the words of a text, and its words, in turn: words are at the odd places."""
+    return _word_runs(128 if text.isascii() else 0x110000 if _ASTRAL.search(text) else 0x10000).split(text)
+
+
+@lru_cache(3)
+def _word_runs(below: int) -> re.Pattern:
+    """Runs of the letters of a word in texts of lower code points; of those of two code units each range would be tried at what is no letter."""
+    runs = regex.finditer(r"[\p{Alphabetic}\p{N}'’]+", "".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(below)))
+    return re.compile("([" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in (r.span() for r in runs)) + "]+)")
+
+
 @lru_cache(1 << 16)
 def _is_word(c: str) -> bool:
     return regex.match(r"[\p{Alphabetic}\p{N}'’]", c) is not None
@@ -30,23 +51,71 @@ def keyed(text: str) -> str:
     return low
 
 
+def _capital(text: str) -> bool:
+    """Whether the first of its letters is a capital."""
+    first = regex.search(r"\p{Alphabetic}", text)
+    return first is not None and regex.match(r"\p{Uppercase}", first[0]) is not None
+
+
 class Rules:
-    """Rules (find, to, whole word) in their order, with an automaton that tells which of them a text may match."""
+    """Rules (find, to, whole word) in their order.
 
-    def __init__(self, rules: list[tuple[str, str, bool]]):
-        import ahocorasick
+    Where all are of whole words and of letters of a word alone, each word of a text is taken for itself: no rule sees beyond
+    it, and what comes in its place joins none of its neighbours. Else an automaton tells which rules a text may match.
+    """
 
+    def __init__(self, rules: list[tuple[str, str, bool]]):
         self.rules = [(keyed(find), to, to[:1].upper() + to[1:], whole) for find, to, whole in rules]
         self.longest = max(len(r[0]) for r in self.rules)
-        by_find: dict[str, list[int]] = {}
+        self.by_find: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
-            by_find.setdefault(r[0], []).append(i)
-        self.automaton = ahocorasick.Automaton()
-        for find, which in by_find.items():
-            self.automaton.add_word(find, which)
-        self.automaton.make_automaton()
+            self.by_find.setdefault(r[0], []).append(i)
+        self.by_word = all(whole and split(find) == ["", find, ""] for find, _, _, whole in self.rules)
+        self.known: dict[str, tuple[str, int]] = {}
+        if not self.by_word:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for find, which in self.by_find.items():
+                self.automaton.add_word(find, which)
+            self.automaton.make_automaton()
 
     def apply(self, text: str) -> tuple[str, int]:
+        """(text, replacements made)."""
+        return self._by_words(text) if self.by_word else self._in_turn(text)
+
+    def _by_words(self, text: str) -> tuple[str, int]:
+        parts, made = split(text), 0
+        for i in range(1, len(parts), 2):
+            word = parts[i]
+            got = self.known.get(word)
+            if got is None:
+                got = self._word(word)
+                if len(self.known) >= WORDS:
+                    self.known.clear()
+                if len(word) <= LONG:
+                    self.known[word] = got
+            parts[i] = got[0]
+            made += got[1]
+        return "".join(parts), made
+
+    def _word(self, word: str) -> tuple[str, int]:
+        """What a word becomes: the first rule of its letters, then later ones for the words of what that brings in."""
+        out: list[str] = []
+        made, waiting = 0, [(word, -1)]
+        while waiting:
+            text, after = waiting.pop()
+            which = self.by_find.get(keyed(text), ())
+            at = bisect_right(which, after)
+            if at == len(which):
+                out.append(text)
+                continue
+            made += 1
+            _, to, big, _ = self.rules[which[at]]
+            waiting += [(p, which[at]) for p in reversed(split(big if _capital(text) else to)) if p]
+        return "".join(out), made
+
+    def _in_turn(self, text: str) -> tuple[str, int]:
         """(text, replacements made). Only rules whose letters are in the text, or come into it, are tried."""
         key, made = keyed(text), 0
         known = {i for _, which in self.automaton.iter(key) for i in which}
@@ -78,8 +147,7 @@ class Rules:
             if whole and (at and _is_word(text[at - 1]) or end < len(text) and _is_word(text[end])):
                 at = key.find(find, at + 1)
                 continue
-            first = regex.search(r"\p{Alphabetic}", text[at:end])
-            new = big if first and regex.match(r"\p{Uppercase}", first[0]) else to
+            new = big if _capital(text[at:end]) else to
             parts += [text[done:at], new]
             size += at - done + len(new)
             spans.append((size - len(new), size))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from skriva.functions import text
@@ -71,3 +72,25 @@ def test_no_rules_and_nulls(spark):
     assert [tuple(x) for x in removed.orderBy("id").collect()] == [(1, "a b", " b", 1), (2, None, None, 0)]
     with pytest.raises(ValueError, match="said"):
         replacements.replaced(none, "text", spark.createDataFrame([], SCHEMA), written)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_words_for_themselves_are_as_rules_in_turn(seed, monkeypatch):
+    """Rules of whole words build on each other, bring in several words or none, and are there twice; letters of all kinds."""
+    r = random.Random(seed)
+    monkeypatch.setattr(replacements, "WORDS", 3)
+    letters = "abAB'éÉ’ß1𝒳İiΣσςǅ"
+    word = lambda most, some=letters: "".join(r.choice(some) for _ in range(r.randint(1, most)))
+    rules = [(word(2), word(3, letters + " - ") if r.random() < 0.8 else "", True) for _ in range(60)]
+    by_word = replacements.Rules(rules)
+    in_turn = replacements.Rules([*rules, ("none of it", "", True)])
+    assert by_word.by_word and not in_turn.by_word
+    texts = [" ".join(word(2) + r.choice(["", ".", "-"]) for _ in range(r.randint(0, 40))) for _ in range(100)]
+    got = [by_word.apply(t) for t in texts]
+    assert got == [in_turn.apply(t) for t in texts] and sum(n for _, n in got) > 100
+
+
+@pytest.mark.parametrize("below", [0x80, 0x10000, 0x110000])
+def test_a_word_is_the_same_run_of_letters(below):
+    every = "".join(chr(c) for c in range(below) if not 0xD800 <= c < 0xE000)
+    assert replacements.split(every) == regex.split(r"([\p{Alphabetic}\p{N}'’]+)", every)
