@@ -781,3 +781,19 @@ def test_chat_layouts_meet_in_one_table(spark):
     made = chat.canonical(chat.messages(df)).collect()
     assert len({r.fingerprint for r in made}) == 4 and all(r.fingerprint in chat.MAPPINGS for r in made)
     assert sorted((r.id, r.pos, r.role, r.text) for r in made) == sorted((i, t, r or "", x or "") for i, t, r, x in rows)
+
+
+def test_token_ids_known_parts_are_not_put_in_again():
+    """A part that the younger generation has stays; one that only the older has comes over, and a new one is made."""
+
+    class Counted(dict):
+        def update(self, items):
+            items = list(items)
+            self.came = [p for p, _ in items]
+            super().update(items)
+
+    coder = idcodec.Encoder(queries.vocabulary())
+    first = coder.learn([b" one", b" two"])
+    coder.old, coder.parts = {b" three": coder.learn([b" three"])[0]}, Counted({b" one": first[0]})
+    assert coder.learn([b" one", b" two", b" three"]) == [*first, coder.old[b" three"]]
+    assert coder.parts.came == [b" two", b" three"]
