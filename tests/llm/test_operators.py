@@ -797,3 +797,30 @@ def test_token_ids_known_parts_are_not_put_in_again():
     coder.old, coder.parts = {b" three": coder.learn([b" three"])[0]}, Counted({b" one": first[0]})
     assert coder.learn([b" one", b" two", b" three"]) == [*first, coder.old[b" three"]]
     assert coder.parts.came == [b" two", b" three"]
+
+
+def test_all_training_words_vote_on_the_weight(spark):
+    """Three rows, none of which a draw of one row in 16 need hit, and words that are rare: the likeliest weight of all tried."""
+    held = F.col("doc_id") == 2
+    said = ["alpha zyxgrub beta zyxgrub alpha " * 6, "zyxgrub alpha once", "unseen alpha", None]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    texts, tokens = lm.tokenised(docs, held, queries.vocabulary())
+    fitted = lm.fit(texts, tokens, queries.vocabulary())
+    few = dataclasses.replace(fitted[0], words=fitted[0].words[:1], times=fitted[0].times[:1])
+    coder = idcodec.Encoder(queries.vocabulary())
+    count = Counter(w for i, t in enumerate(said) if i != 2 for w in [*(t or "").split(), None])
+    total = sum(count.values())
+    votes = np.zeros(len(lm.WEIGHTS))
+    for i, t in enumerate(said):
+        if i != 2:
+            split = [*(t or "").split(), None]
+            own = [coder.library.encode(" " + w, add_special_tokens=False).ids for w in split[:-1]] + [[fitted[0].end]]
+            ids = np.array([x for w in own for x in w])
+            spelt = lm.by_word(ids, np.array([len(ids)]), np.array([len(own)]), fitted[0])
+            share = np.array([(count[w] - 1) / total for w in split])
+            votes += [lm.mixed_log(spelt, share, w).sum() for w in lm.WEIGHTS]
+    rows = lm.scores(texts, fitted, "<u2").collect()
+    assert fitted[0].weight == lm.WEIGHTS[votes.argmax()] > lm.WEIGHTS[0]
+    # the same where most counts come by the join
+    again = {r.doc_id: r.score for r in lm.scores(texts, (few, *fitted[1:]), "<u2").collect()}
+    assert few.weight == fitted[0].weight and all(abs(r.score - again[r.doc_id]) < 1e-6 for r in rows)
