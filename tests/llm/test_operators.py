@@ -824,3 +824,19 @@ def test_all_training_words_vote_on_the_weight(spark):
     # the same where most counts come by the join
     again = {r.doc_id: r.score for r in lm.scores(texts, (few, *fitted[1:]), "<u2").collect()}
     assert few.weight == fitted[0].weight and all(abs(r.score - again[r.doc_id]) < 1e-6 for r in rows)
+
+
+def test_near_copies_are_sent_by_blocks_not_by_pairs(spark, monkeypatch):
+    """300 texts that are all candidates of each other: each goes where two blocks meet, and every pair is verified in one place."""
+    monkeypatch.setattr(compact, "BLOCK", 64)
+    pairs = [(a, b) for a in range(300) for b in range(a + 1, 300)] + [(500, 501)]
+    candidates = spark.createDataFrame(pairs, "a long, b long")
+    nodes = [*range(300), 500, 501]
+    small, large = (spark.createDataFrame([(n, size) for n in nodes], "node long, size long") for size in (2_000, compact.BYTES // 30))
+    for sizes, most in ((small, 8), (large, 20)):
+        got = compact.meetings(candidates, compact.blocks(candidates, sizes)).collect()
+        assert sorted((r.node, b) for r in got for b in r.others) == pairs
+        assert all({b for r in got if r.tile == t for b in r.others} <= {r.node for r in got if r.tile == t} for t in {r.tile for r in got})
+        assert len(got) < 302 * most  # some 45,000 where each partner is sent its own
+    tiles = Counter(r.tile for r in compact.meetings(candidates, compact.blocks(candidates, large)).collect())
+    assert max(tiles.values()) < 120
