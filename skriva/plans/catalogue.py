@@ -117,9 +117,10 @@ def flow_capped_stream(spark, sf_dir):
 
     where = shared_folder(spark)
     rows = packets(spark, sf_dir)
-    rows.repartition(4, F.xxhash64("seq")).write.parquet(f"{where}/in")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # of a batch: what its tasks read
+    rows.repartition(4 * files, F.xxhash64("seq")).write.parquet(f"{where}/in")
     reach = rows.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]  # any packet may come last
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{where}/in")
 
     def keep(batch, epoch):
         batch.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{where}/out/{epoch}")  # the same, where a batch runs again

@@ -3,13 +3,17 @@
 A table admits keys in the order of their first packet, and packets reach a stream in any order. So the state of a file
 and kind holds each key's first place and its weight only while the order is open: once all packets up to the last
 admitted key's first have been seen, no later one can take its place, and from then on the state is the admitted keys
-and two counters. Rows are pre-aggregated by key within each Arrow batch before the shuffle.
+and two counters. Of the packets' numbers it holds the runs up to the last admitted key's first alone, as soon as there
+are so many keys. Rows are pre-aggregated by key within runs of ROWS rows before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,7 +24,9 @@ from ..operators import flows
 REACH, IDLE_MS = 1_000_000, 3_600_000
 #: Places of a packet within each kind's order: a host's packet has a source and a destination.
 PLACES = {"conversations": 1, "hosts": 2, "queries": 1}
-_PART = "file string, kind string, key string, first long, n long"
+#: Sightings that a task combines at a time, and rows that a state takes in at a time.
+ROWS = 1 << 18
+_PART = "file string, kind string, key string, first long, n long, runs binary"
 _OUT = "file string, kind string, held long, overflow long, settled boolean"
 
 
@@ -42,30 +48,62 @@ def _sightings(packets: DataFrame) -> DataFrame:
     return packets.filter("seq is not null").select("file", F.explode(every).alias("x")).select("file", "x.*")
 
 
-def _combined(frames: Iterator) -> Iterator:
-    """Keys by batch with first place and weight; runs of packet numbers as rows without a key (first to before n)."""
-    import pandas as pd
-
-    for df in frames:
-        keyed = df[df["kind"].notna()]
-        parts = [keyed.groupby(["file", "kind", "key"], as_index=False, dropna=False).agg(first=("place", "min"), n=("n", "sum"))]
-        for name, places in df[df["kind"].isna()].groupby("file", dropna=False)["place"]:
-            at = places.drop_duplicates().sort_values().to_numpy()
-            starts = [0, *((at[1:] != at[:-1] + 1).nonzero()[0] + 1).tolist()]
-            runs = [(int(at[i]), int(at[j - 1]) + 1) for i, j in zip(starts, [*starts[1:], len(at)], strict=True)]
-            parts.append(pd.DataFrame([(name if isinstance(name, str) else None, kind, None, lo, hi) for kind in PLACES for lo, hi in runs], columns=["file", "kind", "key", "first", "n"]))
-        yield pd.concat([p for p in parts if len(p)]) if any(len(p) for p in parts) else pd.DataFrame(columns=["file", "kind", "key", "first", "n"])
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys with first place and weight; a row without a key for each file and kind: runs of packet numbers, all starts and then all ends."""
+    schema = pa.schema([("file", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("first", pa.int64()), ("n", pa.int64()), ("runs", pa.binary())])
+
+    def flush(held):
+        rows = pa.Table.from_batches(held)
+        packet = rows["kind"].is_null()
+        keyed = rows.filter(pa.compute.invert(packet)).group_by(["file", "kind", "key"], use_threads=False).aggregate([("place", "min"), ("n", "sum")])
+        names = ["file", "kind", "key", "place_min", "n_sum"]
+        yield from pa.Table.from_arrays([*(keyed[c] for c in names), pa.nulls(len(keyed), pa.binary())], schema=schema).to_batches(10_000)
+        of = rows.filter(packet).select(["file", "place"])
+        for file in pa.compute.unique(of["file"]).to_pylist():
+            mine = of.filter(of["file"].is_null() if file is None else pa.compute.equal(of["file"], file))
+            at = np.asarray(mine["place"])
+            told = np.concatenate(joined(at, at + 1)).astype("<i8").tobytes()
+            k = len(PLACES)
+            yield pa.RecordBatch.from_arrays([pa.array([file] * k, pa.string()), pa.array(list(PLACES)), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([told] * k, pa.binary())], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= ROWS:
+            yield from flush(held)
+            held = []
+    if held:
+        yield from flush(held)
+
+
+def joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs from lo to before hi, in order, with those that touch as one."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
+    new = np.append(True, lo[1:] > hi[:-1])[: len(lo)]
+    return lo[new], hi[np.append(new[1:], True)[: len(hi)]]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs from lo to before hi, in order, with those that touch joined."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
+    """joined() of pairs."""
+    lo, hi = joined(*np.array(spans, np.int64).reshape(-1, 2).T)
+    return list(zip(lo.tolist(), hi.tolist(), strict=True))
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as to:
+        to.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+_KEYS = pa.schema([("key", pa.large_string()), ("first", pa.int64()), ("n", pa.int64())])
+
+
+def _united(parts: list[pa.Table]) -> pa.Table:
+    """Each key once, with its first place and its weight."""
+    rows = pa.concat_tables(parts).group_by("key", use_threads=False).aggregate([("first", "min"), ("n", "sum")])
+    return pa.Table.from_arrays([rows[c] for c in ("key", "first_min", "n_sum")], schema=_KEYS)
 
 
 class Tables(StatefulProcessor):
@@ -74,44 +112,61 @@ class Tables(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.table = handle.getValueState("table", "keys array<string>, firsts array<bigint>, weights array<bigint>")
-        self.order = handle.getValueState("order", "starts array<bigint>, stops array<bigint>")
+        self.table = handle.getValueState("table", "rows binary")
+        self.order = handle.getValueState("order", "runs binary, newest bigint")
         self.told = handle.getValueState("told", "overflow bigint, settled boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         file, kind = key
-        keys, firsts, weights = self.table.get() if self.table.exists() else ([], [], [])
         overflow, settled = self.told.get() if self.told.exists() else (0, False)
-        table = dict(zip(keys, zip(firsts, weights, strict=True), strict=True))
-        spans = list(zip(*self.order.get(), strict=True)) if self.order.exists() else []
+        table = pa.ipc.open_stream(bytes(self.table.get()[0])).read_all() if self.table.exists() else _KEYS.empty_table()
+        runs, newest = self.order.get() if self.order.exists() else (b"", 0)
+        lo, hi = np.frombuffer(bytes(runs), "<i8").reshape(2, -1)
+        parts, spans, waiting = [table], [(lo, hi)], 0
         for df in rows:
-            runs = df[df["key"].isna()]
-            spans = merged(spans + list(zip(runs["first"].astype(int).tolist(), runs["n"].astype(int).tolist(), strict=True)))
-            for k, first, n in df[df["key"].notna()][["key", "first", "n"]].itertuples(index=False):
-                if settled:
-                    overflow += 0 if k in table else int(n)
-                else:
-                    was = table.get(k, (int(first), 0))
-                    table[k] = (min(was[0], int(first)), was[1] + int(n))
+            told = df["runs"].notna()
+            if not settled:
+                spans += [np.frombuffer(bytes(x), "<i8").reshape(2, -1) for x in df.loc[told, "runs"]]
+            keyed = df.loc[~told]
+            if settled:
+                overflow += int(keyed.loc[~keyed["key"].isin(table["key"].to_pylist()), "n"].sum())
+            elif len(keyed):
+                parts.append(pa.Table.from_arrays([pa.array(keyed["key"], pa.large_string()), pa.array(keyed["first"].astype("int64")), pa.array(keyed["n"].astype("int64"))], schema=_KEYS))
+                waiting += len(keyed)
+                if waiting > ROWS + parts[0].num_rows:
+                    parts, waiting = [_united(parts)], 0
         most = self.held[kind]
         if not settled:
+            table = _united(parts)
+            lo, hi = joined(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+            newest = max(newest, int(hi[-1]) if len(hi) else 0)
             # all packets before low are here, or too far behind the newest one to be waited for
-            low = max(spans[0][1] if spans and spans[0][0] == 0 else 0, (spans[-1][1] if spans else 0) - self.reach)
-            inside = sorted(table, key=lambda k: table[k][0])
-            overflow = sum(table[k][1] for k in inside[most:])
-            if len(table) >= most and (not most or table[inside[most - 1]][0] < low * PLACES[kind]):
-                settled, table = True, {k: table[k] for k in inside[:most]}
-            spans = [] if settled else merged([(0, low), *((lo, hi) for lo, hi in spans if hi > low)]) if low else spans
-            self.table.update((list(table), [f for f, _ in table.values()], [n for _, n in table.values()]))
-            self.order.update(([lo for lo, _ in spans], [hi for _, hi in spans]))
+            low = max(int(hi[0]) if len(lo) and lo[0] == 0 else 0, newest - self.reach)
+            first, n = np.asarray(table["first"]), np.asarray(table["n"])
+            inside = np.argsort(first, kind="stable")
+            overflow = int(n[inside[most:]].sum())
+            end = None  # the packet whose place is that of the last admitted key
+            if len(first) >= most:
+                end = int(first[inside[most - 1]]) // PLACES[kind] if most else -1
+                if end < low:
+                    settled, table = True, table.take(inside[:most])
+            if settled:
+                lo, hi = lo[:0], hi[:0]
+            else:
+                if low:
+                    lo, hi = joined(np.append(0, lo[hi > low]), np.append(low, hi[hi > low]))
+                if end is not None:  # no later key is admitted by a packet beyond it
+                    lo, hi = lo[lo <= end], hi[lo <= end]
+            self.table.update((_packed(table),))
+            self.order.update((np.concatenate([lo, hi]).astype("<i8").tobytes(), newest))
         self.told.update((overflow, settled))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        if table:
-            yield pd.DataFrame([(file, kind, min(len(table), most), overflow, settled)], columns=["file", "kind", "held", "overflow", "settled"])
+        if table.num_rows:
+            yield pd.DataFrame([(file, kind, min(table.num_rows, most), overflow, settled)], columns=["file", "kind", "held", "overflow", "settled"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.table.clear()
@@ -134,6 +189,6 @@ def capped_stream(packets: DataFrame, held: dict[str, int] | None = None, reach:
     """
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     packets.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    parts = _sightings(packets).mapInPandas(_combined, _PART)
+    parts = _sightings(packets).mapInArrow(_combined, _PART)
     tables = Tables(flows.HELD | (held or {}), reach, idle_ms)
     return parts.groupBy("file", "kind").transformWithStateInPandas(statefulProcessor=tables, outputStructType=_OUT, outputMode="Update", timeMode="ProcessingTime")

@@ -94,3 +94,43 @@ def test_an_idle_file_is_forgotten(spark, tmp_path):
     run(spark, tmp_path, CAP, idle_ms=1)  # its batch also ends the idle file
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     assert newest(run(spark, tmp_path, CAP, idle_ms=1)) == first
+
+
+def test_a_state_takes_in_runs_in_one_piece(spark, tmp_path, monkeypatch):
+    """A batch of 6,000 packets with holes: one row of runs for each kind, and no run beyond the last admitted key is kept."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("file", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("place", pa.int64()), ("n", pa.int64())])
+    places = [i * 2 for i in range(3000)]
+    rows = pa.RecordBatch.from_arrays([pa.array(["f"] * 6000), pa.array([None] * 3000 + ["hosts"] * 3000), pa.array([None] * 3000 + [f"k{i % 50}" for i in range(3000)]), pa.array(places + [2 * p for p in places]), pa.array([0] * 3000 + [1] * 3000)], schema=schema)
+    got = pa.Table.from_batches(bounded._combined(iter([rows.slice(i, 500) for i in range(0, 6000, 500)]))).to_pylist()
+    keys = {r["key"]: (r["first"], r["n"]) for r in got if r["key"]}
+    assert keys == {f"k{i}": (4 * i, 60) for i in range(50)} and len(got) == 50 + len(bounded.PLACES)
+    assert all(np.frombuffer(r["runs"], "<i8").reshape(2, -1).tolist() == [places, [p + 1 for p in places]] for r in got if not r["key"])
+    kept = {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        exists = lambda self: self.name in kept
+        get = lambda self: kept[self.name]
+        update = lambda self, value: kept.__setitem__(self.name, value)
+
+    class Handle:
+        getValueState = lambda self, name, _: Value(name)  # noqa: E731, N815
+        listTimers = lambda self: []  # noqa: E731, N815
+        registerTimer = lambda self, _: None  # noqa: E731, N815
+
+    class Now:
+        getCurrentProcessingTimeInMs = lambda self: 0  # noqa: E731, N815
+
+    import pandas as pd
+
+    state = bounded.Tables({"hosts": 9}, 1 << 40, 1)
+    state.init(Handle())
+    told = [r for df in state.handleInputRows(("f", "hosts"), iter([pd.DataFrame([r for r in got if r["kind"] == "hosts"])]), Now()) for r in df.itertuples(index=False)]
+    assert [tuple(r) for r in told] == [("f", "hosts", 9, 41 * 60, False)]
+    runs, newest = kept["order"]
+    assert newest == 5999 and len(runs) // 16 == 9  # packets 0 to 16, every other one
