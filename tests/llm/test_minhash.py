@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skriva.llm import hubs, minhash, toccurrence
+from skriva.llm import hubs, minhash, shared, toccurrence
 
 from .test_operators import SCHEMA, corpus, words
 
@@ -165,3 +165,21 @@ def test_the_graph_is_not_broadcast(spark, monkeypatch, join):
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(6)] + [(9, 9)]
     plans = [r.physicalPlanDescription() for r in runs() if r.executionId() not in before]
     assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_the_driver_broadcasts_ids_alone(spark, monkeypatch):
+    """Who asks for a text isn't sent through the driver, and each id is once, however many ask; ids may be null."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(toccurrence, "BLOCK", 4)
+    monkeypatch.setattr(toccurrence.F, "broadcast", lambda df: sent.append((df.columns, df.count())) or broadcast(df))
+    common = " ".join(f"w{i}" for i in range(60))
+    rows = [(None if i == 3 else i, f"{common} x{i}") for i in range(40)] + [(100 + i, f"a{i} b{i} c{i} d{i}") for i in range(20)]
+    got = toccurrence.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == sorted((i is None, i or 0, 0 if i is None or i < 40 else i) for i, _ in rows)
+    assert sent and all(columns == ["key"] and n <= 40 for columns, n in sent)
+
+
+def test_small_checkpoints_are_read_in_few_tasks(spark):
+    rows = shared.kept(spark.range(1000).repartition(64))
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and rows.count() == 1000
+    shared.drop(rows)
